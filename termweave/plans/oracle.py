@@ -74,3 +74,34 @@ TF_CTE = """tf as (
 
 def with_ctes(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
+
+
+def nonblank_sql(col: str = "text") -> str:
+    return f"({col} is not null and regexp_matches({col}, '[^{T.WS}]'))"
+
+
+def tfidf_ctes(min_chars: int = 1, ngram=(1, 1), max_features: int | None = 200) -> list[str]:
+    """CTEs nb, ndocs, rw, rtf, vocab, wt, sc(set_id, doc_id, role, term, frequency,
+    weight, tfidf_score)."""
+    lo, hi = ngram
+    grams = " || ".join(ngrams_sql("w", n) for n in range(max(lo, 1), hi + 1))
+    cut = f"where rank <= {max_features}" if max_features else ""
+    return [
+        f"nb as (select * from docs where {nonblank_sql('text')})",
+        "ndocs as (select set_id, count(*) as n_docs from nb group by set_id)",
+        f"""rw as (select set_id, doc_id, role, unnest(g) as term from (
+  select set_id, doc_id, role, {grams} as g from (
+    select set_id, doc_id, role, {words_sql('text', min_chars)} as w from nb)))""",
+        "rtf as (select set_id, doc_id, role, term, count(*) as tf from rw group by set_id, doc_id, role, term)",
+        f"""vocab as (select * from (
+  select set_id, term, total, df, cast(row_number() over (partition by set_id order by total desc, term)
+         as integer) as rank
+  from (select set_id, term, cast(sum(tf) as bigint) as total, count(*) as df from rtf
+        group by set_id, term)) {cut})""",
+        """wt as (select rtf.set_id, rtf.doc_id, rtf.role, rtf.term, rtf.tf as frequency,
+  rtf.tf * (ln((1.0 + ndocs.n_docs) / (1.0 + vocab.df)) + 1.0) as weight
+  from rtf join vocab on rtf.set_id = vocab.set_id and rtf.term = vocab.term
+  join ndocs on rtf.set_id = ndocs.set_id)""",
+        """sc as (select *, weight / sqrt(sum(weight * weight) over (partition by set_id, doc_id))
+  as tfidf_score from wt)""",
+    ]

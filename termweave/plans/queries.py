@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import text as T
 from termweave.operators import terms as TM
+from termweave.operators import tfidf as TF
 from termweave.plans import oracle as O
 from termweave.sources import docsets as DS
 from termweave.sources.stopwords import spark_default
@@ -41,9 +42,14 @@ def stop():
     return spark_default("french")
 
 
+def doc_sets(spark, sf_dir) -> DS.DocSets:
+    """Every document, as comparison sets by source (role tagged)."""
+    return DS.with_roles(DS.read_documents(spark, sf_dir))
+
+
 def docs(spark, sf_dir) -> DataFrame:
     """``(set_id, doc_id, role, text)`` for every document."""
-    return DS.with_roles(DS.read_documents(spark, sf_dir))
+    return doc_sets(spark, sf_dir).docs
 
 
 def doc_tokens(spark, sf_dir) -> DataFrame:
@@ -155,3 +161,94 @@ def q_density(spark, sf_dir):
           "select set_id, doc_id, cast(len(tokens) as bigint) as tokens from toks")
 def q_token_counts(spark, sf_dir):
     return TM.token_counts(doc_tokens(spark, sf_dir)).select("set_id", "doc_id", "tokens")
+
+
+# ---------------------------------------------------------------- V: TF-IDF
+
+@register("nonblank_docs", O.with_ctes(O.DOCS_CTE) +
+          f"select set_id, doc_id from docs where {O.nonblank_sql('text')}")
+def q_nonblank_docs(spark, sf_dir):
+    return DS.nonblank(DS.read_documents(spark, sf_dir)).select("set_id", "doc_id")
+
+
+@register("vocabulary", O.with_ctes(O.DOCS_CTE, *O.tfidf_ctes(1, (1, 1), 200)) +
+          "select set_id, term, total, rank from vocab")
+def q_vocabulary(spark, sf_dir):
+    s = doc_sets(spark, sf_dir)
+    v = TF.vocabulary(TF.raw_term_counts(s.docs, 1), 200)
+    return v.select("set_id", "term", F.col("total").cast("bigint").alias("total"),
+                    F.col("rank").cast("int").alias("rank"))
+
+
+@register("idf", O.with_ctes(O.DOCS_CTE, *O.tfidf_ctes(1, (1, 1), 200)) +
+          "select vocab.set_id, term, df, n_docs, round(ln((1.0 + n_docs) / (1.0 + df)) + 1.0, 6) as idf "
+          "from vocab join ndocs on vocab.set_id = ndocs.set_id")
+def q_idf(spark, sf_dir):
+    s = doc_sets(spark, sf_dir)
+    v = TF.vocabulary(TF.raw_term_counts(s.docs, 1), 200)
+    t = TF.idf(v, TF.doc_counts(s.docs), s)
+    return t.select("set_id", "term", "df", "n_docs", r6("idf").alias("idf"))
+
+
+@register("tfidf_weights", O.with_ctes(O.DOCS_CTE, *O.tfidf_ctes(1, (1, 1), 200)) +
+          "select set_id, doc_id, term, frequency, round(weight, 6) as weight, "
+          "round(tfidf_score, 6) as tfidf_score from sc")
+def q_tfidf_weights(spark, sf_dir):
+    t = TF.tfidf(doc_sets(spark, sf_dir), 1, (1, 1), 200)
+    return t.select("set_id", "doc_id", "term", "frequency", r6("weight").alias("weight"),
+                    r6("tfidf_score").alias("tfidf_score"))
+
+
+@register("tfidf_multi", O.with_ctes(O.DOCS_CTE, *O.tfidf_ctes(1, (1, 1), 200)) +
+          "select set_id, doc_id, term, round(tfidf_score, 6) as tfidf_score from sc")
+def q_tfidf_multi(spark, sf_dir):
+    t = TF.analyze_multiple_documents(doc_sets(spark, sf_dir), 200)
+    return t.select("set_id", "doc_id", "term", r6("tfidf_score").alias("tfidf_score"))
+
+
+def _tfidf_ngrams_query(n):
+    sql = (O.with_ctes(O.DOCS_CTE, *O.tfidf_ctes(2, (n, n), TOP_N)) +
+           "select * from (select set_id, doc_id, term, round(tfidf_score, 6) as tfidf_score, "
+           "cast(row_number() over (partition by set_id, doc_id order by tfidf_score desc, term) "
+           f"as integer) as rank from sc) where rank <= {TOP_N}")
+
+    def q(spark, sf_dir):
+        t = TF.analyze_ngrams(doc_sets(spark, sf_dir), (n, n), TOP_N)
+        t = TF.ranked(t, TOP_N)
+        return t.select("set_id", "doc_id", "term", r6("tfidf_score").alias("tfidf_score"), "rank")
+    register(f"tfidf_ngrams_{n}", sql)(q)
+
+
+for _n in (1, 2, 3):
+    _tfidf_ngrams_query(_n)
+
+
+@register("score_top_terms", O.with_ctes(O.DOCS_CTE, *O.tfidf_ctes(1, (1, 1), 200)) +
+          "select * from (select set_id, doc_id, term, round(tfidf_score, 6) as tfidf_score, "
+          "cast(row_number() over (partition by set_id, doc_id order by tfidf_score desc, term) "
+          "as integer) as rank from sc) where rank <= 20")
+def q_score_top_terms(spark, sf_dir):
+    t = TF.ranked(TF.analyze_multiple_documents(doc_sets(spark, sf_dir), 200), 20)
+    return t.select("set_id", "doc_id", "term", r6("tfidf_score").alias("tfidf_score"), "rank")
+
+
+@register("single_doc_scores", O.with_ctes(O.DOCS_CTE, *O.tfidf_ctes(2, (1, 1), None)) +
+          "select set_id, doc_id, term, frequency, round(frequency * 1.0 / sum(frequency) over "
+          "(partition by set_id, doc_id), 6) as score, rank from (select set_id, doc_id, term, "
+          "tf as frequency, cast(row_number() over (partition by set_id, doc_id order by tf desc, term) "
+          "as integer) as rank from rtf) where rank <= 100")
+def q_single_doc_scores(spark, sf_dir):
+    t = TF.analyze_single_document(docs(spark, sf_dir), 100)
+    return t.select("set_id", "doc_id", "term", "frequency", r6("score").alias("score"), "rank")
+
+
+@register("tfidf_gap", O.with_ctes(O.DOCS_CTE, *O.tfidf_ctes(1, (1, 1), 200)) +
+          "select c.set_id, c.term, round(avg(c.tfidf_score), 6) as avg_tfidf_score, "
+          "count(*) as competitors from sc c "
+          "where c.role = 'competitor' and not exists (select 1 from sc t where t.role = 'target' "
+          "and t.set_id = c.set_id and t.term = c.term) and exists (select 1 from docs d where "
+          "d.role = 'target' and d.set_id = c.set_id and " + O.nonblank_sql("d.text") + ") "
+          "group by c.set_id, c.term")
+def q_tfidf_gap(spark, sf_dir):
+    g = TF.tfidf_gap(doc_sets(spark, sf_dir), 200)
+    return g.select("set_id", "term", r6("avg_tfidf_score").alias("avg_tfidf_score"), "competitors")

@@ -22,6 +22,8 @@ Scale notes
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,16 +33,34 @@ from termweave.session import cut_lineage, spread
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its row count is at most ``max_rows``.
+@dataclass
+class DocSets:
+    """``docs (set_id, doc_id, role, text)`` plus the counted number of sets.
 
-    The side is persisted and counted once; above the bound it is returned
-    unhinted so the planner (and AQE, from measured sizes) picks a shuffle join.
+    ``n_sets`` bounds every per-set table (``n_sets * k`` rows for a per-set
+    top-k), so those can be broadcast without counting them again.
     """
+
+    docs: DataFrame
+    n_sets: int
+
+    def small(self, df: DataFrame, rows_per_set: int = 1) -> DataFrame:
+        """Broadcast ``df`` when ``n_sets * rows_per_set`` is within the bound."""
+        return bounded_broadcast(df, self.n_sets * rows_per_set)
+
+
+def bounded_broadcast(df: DataFrame, bound_rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only for a side whose proven row bound is within ``max_rows``;
+    otherwise leave the choice to the planner / AQE (shuffle join)."""
+    return F.broadcast(df) if bound_rows <= max_rows else df
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, int]:
+    """Persist and count ``df``; broadcast it only when it has at most
+    ``max_rows`` rows (else a shuffle join is planned).  Returns the count too."""
     df = df.persist()
-    if df.count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    n = df.count()
+    return (F.broadcast(df) if n <= max_rows else df), n
 
 
 def read_documents(spark, sf_dir: str, set_col: str = "source") -> DataFrame:
@@ -64,18 +84,18 @@ def targets(docs: DataFrame) -> DataFrame:
     return docs.groupBy("set_id").agg(F.min("doc_id").alias("target_id"))
 
 
-def with_roles(docs: DataFrame, max_competitors: int | None = None) -> DataFrame:
+def with_roles(docs: DataFrame, max_competitors: int | None = None) -> DocSets:
     """Add ``role`` ('target' | 'competitor').
 
     ``docs`` needs ``set_id, doc_id``; other columns are passed through.
     """
     if max_competitors is not None:
         docs = keep_first(docs, max_competitors)
-    t = broadcast_if_small(targets(docs.select("set_id", "doc_id")))
+    t, n_sets = broadcast_if_small(targets(docs.select("set_id", "doc_id")))
     out = docs.join(t, "set_id").withColumn(
         "role", F.when(F.col("doc_id") == F.col("target_id"), F.lit("target"))
         .otherwise(F.lit("competitor"))).drop("target_id")
-    return out
+    return DocSets(out, n_sets)
 
 
 def nonblank(docs: DataFrame, text_col: str = "text") -> DataFrame:
