@@ -105,3 +105,20 @@ def tfidf_ctes(min_chars: int = 1, ngram=(1, 1), max_features: int | None = 200)
         """sc as (select *, weight / sqrt(sum(weight * weight) over (partition by set_id, doc_id))
   as tfidf_score from wt)""",
     ]
+
+
+STATS_CTE = """stats as (
+  select set_id, n, term,
+         cast(coalesce(sum(frequency) filter (where role = 'competitor'), 0) as bigint) as frequency,
+         bool_or(role = 'target') as in_target,
+         bool_or(role = 'competitor') as in_comp,
+         min(doc_id) filter (where role = 'competitor') as first_doc,
+         arg_min(first_pos, doc_id) filter (where role = 'competitor') as first_pos
+  from tf group by set_id, n, term)"""
+
+
+def gap_sql(k: int | None) -> str:
+    cut = f"where rank <= {k}" if k else ""
+    return ("select set_id, n, term, frequency, rank from (select set_id, n, term, frequency, "
+            "cast(row_number() over (partition by set_id, n order by frequency desc, first_doc, "
+            f"first_pos) as integer) as rank from stats where in_comp and not in_target) {cut}")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.functions import text as T
+from termweave.operators import compare as CM
 from termweave.operators import terms as TM
 from termweave.operators import tfidf as TF
 from termweave.plans import oracle as O
@@ -252,3 +253,94 @@ def q_single_doc_scores(spark, sf_dir):
 def q_tfidf_gap(spark, sf_dir):
     g = TF.tfidf_gap(doc_sets(spark, sf_dir), 200)
     return g.select("set_id", "term", r6("avg_tfidf_score").alias("avg_tfidf_score"), "competitors")
+
+
+# ---------------------------------------------------------------- C / D: sets
+
+def _tf_roles(spark, sf_dir, ns=(1, 2, 3)):
+    s = doc_sets(spark, sf_dir)
+    return s, TM.term_frequency(TM.doc_tokens(s.docs, stop(), keep=("role",)), ns, keep=("role",))
+
+
+@register("competitor_bag", O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte()) +
+          "select set_id, n, count(*) as terms, count(distinct term) as distinct_terms "
+          "from terms where role = 'competitor' group by set_id, n")
+def q_competitor_bag(spark, sf_dir):
+    t = TM.terms(doc_tokens(spark, sf_dir), (1, 2, 3), keep=("role",))
+    return CM.competitor_bag(t).groupBy("set_id", "n").agg(
+        F.count(F.lit(1)).alias("terms"), F.countDistinct("term").alias("distinct_terms"))
+
+
+def _gap_query(n, k=50):
+    sql = O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte((n,)), O.TF_CTE, O.STATS_CTE) + O.gap_sql(k)
+
+    def q(spark, sf_dir):
+        _, tf = _tf_roles(spark, sf_dir, (n,))
+        return CM.gap_terms(CM.set_term_stats(tf), k)
+    register(f"gap_terms_{n}", sql)(q)
+
+
+for _n in (1, 2, 3):
+    _gap_query(_n)
+
+
+@register("common_terms", O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte(), O.TF_CTE, O.STATS_CTE) +
+          "select set_id, n, term, frequency from stats where in_target and in_comp")
+def q_common_terms(spark, sf_dir):
+    _, tf = _tf_roles(spark, sf_dir)
+    st = CM.set_term_stats(tf)
+    return st.filter(F.col("in_target") & F.col("in_competitors")).select("set_id", "n", "term", "frequency")
+
+
+COVERAGE_SQL = (O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte(), O.TF_CTE, O.STATS_CTE) +
+                """, summ as (select set_id, n,
+  count(*) filter (where in_target and in_comp) as common_terms_count,
+  count(*) filter (where in_comp) as total_competitor_unique_terms,
+  count(*) filter (where in_target) as total_target_terms from stats group by set_id, n),
+grid as (select distinct set_id, ns.n from docs, (values (1), (2), (3)) ns(n)),
+cov as (select g.set_id, g.n, coalesce(common_terms_count, 0) as common_terms_count,
+  coalesce(total_competitor_unique_terms, 0) as total_competitor_unique_terms,
+  coalesce(total_target_terms, 0) as total_target_terms
+  from grid g left join summ s on g.set_id = s.set_id and g.n = s.n)
+""")
+
+
+@register("coverage", COVERAGE_SQL +
+          "select set_id, n, common_terms_count, round(case when total_competitor_unique_terms > 0 "
+          "then common_terms_count * 100.0 / total_competitor_unique_terms else 0 end, 6) "
+          "as coverage_percentage, total_competitor_unique_terms, total_target_terms from cov")
+def q_coverage(spark, sf_dir):
+    s, tf = _tf_roles(spark, sf_dir)
+    c = CM.comparison_summary(CM.set_term_stats(tf), s)
+    return c.withColumn("coverage_percentage", r6("coverage_percentage"))
+
+
+@register("set_metrics", O.with_ctes(O.DOCS_CTE, O.tokens_cte()) +
+          "select set_id, count(distinct doc_id) as documents, "
+          "cast(coalesce(sum(len(tokens)) filter (where role = 'target'), 0) as bigint) as target_words, "
+          "cast(coalesce(sum(len(tokens)) filter (where role = 'competitor'), 0) as bigint) as competitor_words "
+          "from toks group by set_id")
+def q_set_metrics(spark, sf_dir):
+    return CM.set_metrics(doc_tokens(spark, sf_dir))
+
+
+@register("doc_roles", O.with_ctes(O.DOCS_CTE) + "select set_id, doc_id, role, ord from docs")
+def q_doc_roles(spark, sf_dir):
+    d = docs(spark, sf_dir).select("set_id", "doc_id", "role")
+    return DS.with_ordinal(d)
+
+
+@register("default_names", O.with_ctes(O.DOCS_CTE) +
+          "select set_id, doc_id, case when ord = 0 then 'Target' else 'Competitor ' || ord end as name "
+          "from docs")
+def q_default_names(spark, sf_dir):
+    d = DS.read_documents(spark, sf_dir).select("set_id", "doc_id")
+    return CM.default_names(DS.with_ordinal(d)).select("set_id", "doc_id", "name")
+
+
+@register("doc_labels", O.with_ctes(O.DOCS_CTE) +
+          "select set_id, doc_id, case when ord = 0 then 'target' else 'Competitor ' || ord end as label "
+          "from docs")
+def q_doc_labels(spark, sf_dir):
+    d = DS.with_ordinal(DS.read_documents(spark, sf_dir).select("set_id", "doc_id"))
+    return CM.entry_labels(d, key="doc_id").select("set_id", "doc_id", "label")
