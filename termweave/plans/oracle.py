@@ -122,3 +122,32 @@ def gap_sql(k: int | None) -> str:
     return ("select set_id, n, term, frequency, rank from (select set_id, n, term, frequency, "
             "cast(row_number() over (partition by set_id, n order by frequency desc, first_doc, "
             f"first_pos) as integer) as rank from stats where in_comp and not in_target) {cut}")
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^[{T.WS}]+|[{T.WS}]+$', '', 'g')"
+
+
+def decode_sql(x: str) -> str:
+    for ent, ch in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{ent}', '{ch}')"
+    return x
+
+
+def pages_cte() -> str:
+    """Page sets: set_id = lower-cased network location, ord by page_id."""
+    from termweave.functions.markup import EXCLUDED_TAGS
+    from termweave.sources.pages import FETCH_ERROR, HOST, URL_VALID
+
+    h = "html"
+    for tag in EXCLUDED_TAGS:
+        h = f"regexp_replace({h}, '(?s)<{tag}\\b.*?</{tag}>', '', 'g')"
+    return f"""pg as (
+  select page_id, url, html, {h} as kept,
+         lower(regexp_extract(url, '{HOST}', 1)) as set_id,
+         coalesce(regexp_matches(url, '{URL_VALID}'), false) as valid,
+         case when not coalesce(regexp_matches(url, '{URL_VALID}'), false) or html is null
+              then '{FETCH_ERROR}' end as error,
+         cast(row_number() over (partition by lower(regexp_extract(url, '{HOST}', 1))
+              order by page_id) - 1 as integer) as ord
+  from pages)"""

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from termweave.functions import text as T
 from termweave.operators import compare as CM
+from termweave.operators import content as CT
 from termweave.operators import terms as TM
 from termweave.operators import tfidf as TF
 from termweave.plans import oracle as O
 from termweave.sources import docsets as DS
+from termweave.sources import pages as PG
 from termweave.sources.stopwords import spark_default
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -344,3 +346,101 @@ def q_default_names(spark, sf_dir):
 def q_doc_labels(spark, sf_dir):
     d = DS.with_ordinal(DS.read_documents(spark, sf_dir).select("set_id", "doc_id"))
     return CM.entry_labels(d, key="doc_id").select("set_id", "doc_id", "label")
+
+
+# ---------------------------------------------------------------- S / P: pages
+
+def page_entries(spark, sf_dir) -> DataFrame:
+    """Pages as comparison entries ``(set_id, ord, page_id, url, html)``:
+    set = host, ord by page_id (exact, skew-safe)."""
+    p = PG.read_pages(spark, sf_dir).withColumn("set_id", PG.host("url"))
+    return DS.with_ordinal(p, "set_id", "page_id")
+
+
+@register("page_rows", "select page_id, url, cast(length(html) as bigint) as n_chars from pages")
+def q_page_rows(spark, sf_dir):
+    p = PG.read_pages(spark, sf_dir)
+    return p.select("page_id", "url", F.char_length("html").cast("bigint").alias("n_chars"))
+
+
+@register("valid_pages", O.with_ctes(O.pages_cte()) +
+          "select page_id, url, valid, coalesce(starts_with(url, 'http'), false) as http from pg")
+def q_valid_pages(spark, sf_dir):
+    p = PG.read_pages(spark, sf_dir)
+    return p.select("page_id", "url", PG.url_valid("url").alias("valid"),
+                    F.coalesce(F.col("url").startswith("http"), F.lit(False)).alias("http"))
+
+
+@register("input_checks", O.with_ctes(O.pages_cte()) +
+          "select set_id, coalesce(bool_or(starts_with(url, 'http')) filter (where ord = 0), false) as target_ok, "
+          "count(*) filter (where ord > 0) as competitors, "
+          "coalesce(bool_and(starts_with(url, 'http')) filter (where ord > 0), true) as competitors_ok, "
+          "coalesce(bool_or(starts_with(url, 'http')) filter (where ord = 0), false) and "
+          "count(*) filter (where ord > 0) >= 1 and "
+          "coalesce(bool_and(starts_with(url, 'http')) filter (where ord > 0), true) as runnable "
+          "from pg group by set_id")
+def q_input_checks(spark, sf_dir):
+    return PG.input_ok(page_entries(spark, sf_dir))
+
+
+@register("page_errors", O.with_ctes(O.pages_cte()) + "select page_id, url, error from pg")
+def q_page_errors(spark, sf_dir):
+    return PG.fetch_status(PG.read_pages(spark, sf_dir)).select("page_id", "url", "error")
+
+
+@register("page_dedupe", "select url, min(page_id) as page_id, "
+          "cast(length(arg_min(html, page_id)) as bigint) as n_chars from pages group by url")
+def q_page_dedupe(spark, sf_dir):
+    d = PG.dedupe_by_url(PG.read_pages(spark, sf_dir))
+    return d.select("url", "page_id", F.char_length("html").cast("bigint").alias("n_chars"))
+
+
+@register("comparable_sets", O.with_ctes(O.pages_cte()) +
+          "select set_id, count(distinct url) as loaded from pg where error is null "
+          "group by set_id having count(distinct url) >= 2")
+def q_comparable_sets(spark, sf_dir):
+    p = PG.fetch_status(PG.read_pages(spark, sf_dir)).withColumn("set_id", PG.host("url"))
+    return PG.comparable_sets(p)
+
+
+@register("stopword_hits", O.with_ctes(O.DOCS_CTE) +
+          "select doc_id, cast(len(list_filter(string_split(" + O.clean_sql("text") + ", ' '), "
+          "lambda x: length(x) >= 2)) - len(" + O.tokens_sql("text") + ") as bigint) as stopwords_removed "
+          "from docs")
+def q_stopword_hits(spark, sf_dir):
+    d = DS.read_documents(spark, sf_dir)
+    cleaned = T.clean_text("text")
+    kept_all = F.size(T.tokens_from_clean(cleaned, None))
+    kept = F.size(T.tokens_from_clean(cleaned, stop()))
+    return d.select("doc_id", (kept_all - kept).cast("bigint").alias("stopwords_removed"))
+
+
+def _title_h1_sql():
+    t = O.strip_sql(O.decode_sql("regexp_extract(kept, '(?s)<title[^>]*>(.*?)</title>', 1)"))
+    h1s = ("list_transform(regexp_extract_all(kept, '(?s)<h1[^>]*>(.*?)</h1>', 1), lambda x: " +
+           O.strip_sql(O.decode_sql("regexp_replace(x, '<[^>]*>', '', 'g')")) + ")")
+    return (O.with_ctes(O.pages_cte()) +
+            f"select page_id, url, {t} as title, case when len({h1s}) > 0 then "
+            f"array_to_string({h1s}, ', ') else 'Aucun' end as h1, "
+            "cast(len(regexp_extract_all(kept, '<h2[ >]', 0)) as integer) as h2_count from pg")
+
+
+@register("page_title_h1", _title_h1_sql())
+def q_page_title_h1(spark, sf_dir):
+    c = CT.page_content(PG.read_pages(spark, sf_dir))
+    return CT.page_summary(c).select("page_id", "url", "title", "h1", "h2_count")
+
+
+@register("page_content")
+def q_page_content(spark, sf_dir):
+    c = PG.content_with_status(PG.read_pages(spark, sf_dir))
+    return c.select("page_id", "url", "title", "meta_description",
+                    *[F.array_join(f"h{i}", "|").alias(f"h{i}") for i in range(1, 7)],
+                    "body_text", F.array_join("images_alt", "|").alias("images_alt"),
+                    "all_text", "text_length", "error")
+
+
+@register("empty_pages")
+def q_empty_pages(spark, sf_dir):
+    c = PG.content_with_status(PG.read_pages(spark, sf_dir))
+    return CT.empty_content(c).select("page_id", "url", "error")
