@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from termweave.functions import text as T
 from termweave.operators import compare as CM
 from termweave.operators import content as CT
+from termweave.operators import report as RP
 from termweave.operators import terms as TM
 from termweave.operators import tfidf as TF
 from termweave.plans import oracle as O
@@ -444,3 +445,103 @@ def q_page_content(spark, sf_dir):
 def q_empty_pages(spark, sf_dir):
     c = PG.content_with_status(PG.read_pages(spark, sf_dir))
     return CT.empty_content(c).select("page_id", "url", "error")
+
+
+# ---------------------------------------------------------------- R: chart tables
+
+_TOP_UNI = (O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte((1,)), O.TF_CTE) +
+            ", top as (select set_id, doc_id, term, frequency, cast(row_number() over (partition by "
+            "set_id, doc_id order by frequency desc, first_pos) as integer) as rank from tf), "
+            "dens as (select set_id, doc_id, term, frequency * 100.0 / sum(frequency) over "
+            "(partition by set_id, doc_id) as density, cast(row_number() over (partition by set_id, "
+            "doc_id order by frequency desc, first_pos) as integer) as rank from tf)\n")
+
+
+@register("bar_table", _TOP_UNI +
+          "select set_id, doc_id, term, frequency, rank, cast(row_number() over (partition by set_id, "
+          "doc_id order by frequency, rank desc) as integer) as bar_order, "
+          "round_even(cast(frequency as double), 4) as label from top where rank <= 20")
+def q_bar_table(spark, sf_dir):
+    tf = TM.term_frequency(doc_tokens(spark, sf_dir), (1,))
+    b = RP.bar_table(TM.top_terms(tf, 20), "frequency")
+    return b.select("set_id", "doc_id", "term", "frequency", "rank", "bar_order", "label")
+
+
+@register("density_bars", _TOP_UNI +
+          "select set_id, doc_id, term, round(density, 6) as density, rank, cast(row_number() over "
+          "(partition by set_id, doc_id order by density, rank desc) as integer) as bar_order, "
+          "cast(round_even(density, 2) as varchar) || '%' as label from dens where rank <= 20")
+def q_density_bars(spark, sf_dir):
+    tf = TM.term_frequency(doc_tokens(spark, sf_dir), (1,))
+    b = RP.density_bars(TM.density(tf, 20))
+    return b.select("set_id", "doc_id", "term", r6("density").alias("density"), "rank",
+                    "bar_order", "label")
+
+
+@register("gap_bars", O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte((1,)), O.TF_CTE, O.STATS_CTE) +
+          "select set_id, n, term, frequency, rank, cast(row_number() over (partition by set_id, n "
+          "order by frequency, rank desc) as integer) as bar_order, "
+          "round_even(cast(frequency as double), 4) as label from (" + O.gap_sql(50) + ") where rank <= 20")
+def q_gap_bars(spark, sf_dir):
+    _, tf = _tf_roles(spark, sf_dir, (1,))
+    b = RP.gap_bars(CM.gap_terms(CM.set_term_stats(tf), 50))
+    return b.select("set_id", "n", "term", "frequency", "rank", "bar_order", "label")
+
+
+@register("term_weights", _TOP_UNI +
+          "select set_id, doc_id, term, frequency, rank, round(frequency * 1.0 / max(frequency) over "
+          "(partition by set_id, doc_id), 6) as weight from top where rank <= 100")
+def q_term_weights(spark, sf_dir):
+    tf = TM.term_frequency(doc_tokens(spark, sf_dir), (1,))
+    w = TM.term_weights(tf, 100, 100)
+    return w.select("set_id", "doc_id", "term", "frequency", "rank", r6("weight").alias("weight"))
+
+
+@register("comparison_matrix", O.with_ctes(O.DOCS_CTE, *O.tfidf_ctes(2, (1, 1), TOP_N)) +
+          """, top as (select * from (select set_id, doc_id, term, tfidf_score, row_number() over
+  (partition by set_id, doc_id order by tfidf_score desc, term) as r from sc) where r <= 15),
+chosen as (select * from (select set_id, term, cast(row_number() over (partition by set_id
+  order by max(tfidf_score) desc, term) as integer) as term_order from top group by set_id, term)
+  where term_order <= 15),
+dws as (select distinct set_id, doc_id from sc)
+select dws.set_id, dws.doc_id, chosen.term, chosen.term_order,
+  round(coalesce(sc.tfidf_score, 0.0), 6) as value
+from dws join chosen on dws.set_id = chosen.set_id
+left join sc on sc.set_id = dws.set_id and sc.doc_id = dws.doc_id and sc.term = chosen.term""")
+def q_comparison_matrix(spark, sf_dir):
+    s = doc_sets(spark, sf_dir)
+    m = RP.comparison_matrix(TF.analyze_ngrams(s, (1, 1), TOP_N), s, 15)
+    return m.withColumn("value", r6("value"))
+
+
+@register("coverage_bands", COVERAGE_SQL +
+          ", cv as (select set_id, n, case when total_competitor_unique_terms > 0 then "
+          "common_terms_count * 100.0 / total_competitor_unique_terms else 0 end as c from cov) "
+          "select set_id, n, round(c, 6) as coverage_percentage, case when c < 50 then 'low' when c < 75 "
+          "then 'mid' else 'high' end as band, round(c - 80, 6) as delta, c >= 90 as meets_threshold from cv")
+def q_coverage_bands(spark, sf_dir):
+    s, tf = _tf_roles(spark, sf_dir)
+    b = CM.coverage_bands(CM.comparison_summary(CM.set_term_stats(tf), s))
+    return b.select("set_id", "n", r6("coverage_percentage").alias("coverage_percentage"), "band",
+                    r6("delta").alias("delta"), "meets_threshold")
+
+
+@register("metric_labels", COVERAGE_SQL +
+          """, m as (select set_id, count(distinct doc_id) as documents,
+  cast(coalesce(sum(len(tokens)) filter (where role = 'target'), 0) as bigint) as target_words,
+  cast(coalesce(sum(len(tokens)) filter (where role = 'competitor'), 0) as bigint) as competitor_words
+  from toks group by set_id),
+c1 as (select set_id, case when total_competitor_unique_terms > 0 then
+  common_terms_count * 100.0 / total_competitor_unique_terms else 0 end as c from cov where n = 1)
+select set_id, metric, label from (
+  select m.set_id, 'documents' as metric, cast(documents as varchar) as label from m
+  union all select set_id, 'target_words', cast(target_words as varchar) from m
+  union all select set_id, 'competitor_words', cast(competitor_words as varchar) from m
+  union all select set_id, 'coverage_percentage', printf('%.2f', round_even(c, 2)) from c1)""")
+def q_metric_labels(spark, sf_dir):
+    s = doc_sets(spark, sf_dir)
+    toks = TM.doc_tokens(s.docs, stop(), keep=("role",))
+    metrics = CM.set_metrics(toks)
+    tf = TM.term_frequency(toks, (1,), keep=("role",))
+    cov = CM.comparison_summary(CM.set_term_stats(tf), s, (1,)).select("set_id", "coverage_percentage")
+    return RP.metric_labels(metrics.join(cov, "set_id"))
