@@ -20,24 +20,30 @@ from pyspark.sql import functions as F
 
 from termweave.sources.docsets import DocSets
 
-IS_COMP = F.col("role") == "competitor"
-IS_TARGET = F.col("role") == "target"
+
+
+def _is_comp() -> F.Column:
+    return F.col("role") == "competitor"
+
+
+def _is_target() -> F.Column:
+    return F.col("role") == "target"
 
 
 def competitor_bag(terms: DataFrame) -> DataFrame:
     """The competitors' terms, concatenated in input order (no copy: a
     filter; order key ``(doc_id, pos)``)."""
-    return terms.filter(IS_COMP)
+    return terms.filter(_is_comp())
 
 
 def set_term_stats(tf: DataFrame) -> DataFrame:
     """C3 per term: ``(set_id, n, term, frequency, in_target, in_competitors,
     first_seen)`` from per-document counts with a ``role`` column."""
     return tf.groupBy("set_id", "n", "term").agg(
-        F.sum(F.when(IS_COMP, F.col("frequency")).otherwise(F.lit(0))).cast("bigint").alias("frequency"),
-        F.max(IS_TARGET).alias("in_target"),
-        F.max(IS_COMP).alias("in_competitors"),
-        F.min(F.when(IS_COMP, F.struct("doc_id", "first_pos"))).alias("first_seen"))
+        F.sum(F.when(_is_comp(), F.col("frequency")).otherwise(F.lit(0))).cast("bigint").alias("frequency"),
+        F.max(_is_target()).alias("in_target"),
+        F.max(_is_comp()).alias("in_competitors"),
+        F.min(F.when(_is_comp(), F.struct("doc_id", "first_pos"))).alias("first_seen"))
 
 
 def gap_terms(stats: DataFrame, k: int | None = 50) -> DataFrame:
@@ -86,8 +92,8 @@ def set_metrics(tokens: DataFrame, url_col: str | None = None) -> DataFrame:
     size = F.size("tokens").cast("bigint")
     return tokens.groupBy("set_id").agg(
         F.countDistinct(url_col or "doc_id").alias("documents"),
-        F.coalesce(F.sum(F.when(IS_TARGET, size)), F.lit(0)).cast("bigint").alias("target_words"),
-        F.coalesce(F.sum(F.when(IS_COMP, size)), F.lit(0)).cast("bigint").alias("competitor_words"))
+        F.coalesce(F.sum(F.when(_is_target(), size)), F.lit(0)).cast("bigint").alias("target_words"),
+        F.coalesce(F.sum(F.when(_is_comp(), size)), F.lit(0)).cast("bigint").alias("competitor_words"))
 
 
 def default_names(ordered: DataFrame, target_name: str = "Target",
