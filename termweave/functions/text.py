@@ -26,6 +26,11 @@ KEPT_LETTERS = "àâäæçéèêëïîôùûüÿœ"
 # - URL and e-mail shapes removed by the cleaner (\S+ spelled with WS)
 URL_PATTERN = rf"https?://[^{WS}]+|www\.[^{WS}]+"
 EMAIL_PATTERN = rf"[^{WS}]+@[^{WS}]+"
+# Same matches as EMAIL_PATTERN: a match always spans a whole non-space run
+# (it can only start where a run starts and its greedy tail runs to the run's
+# end), so anchoring the start at a run boundary removes the quadratic retries
+# from every position inside long words.
+EMAIL_AT_RUN_START = rf"(?<![^{WS}])[^{WS}]+@[^{WS}]+"
 # - word tokens of the TF-IDF tokenisers: A = one or more word chars, B = two or more
 WORD_A = r"[\p{L}\p{N}_]+"
 WORD_B = r"[\p{L}\p{N}_]{2,}"
@@ -65,8 +70,9 @@ def clean_text(c: Column | str, alphabet: str = KEPT_LETTERS) -> Column:
     Null and empty input give ``''``.
     """
     t = F.lower(F.coalesce(_col(c), F.lit("")))
-    t = F.regexp_replace(t, URL_PATTERN, "")
-    t = F.regexp_replace(t, EMAIL_PATTERN, "")
+    # the regexes only run on texts that can match (cheap substring tests first)
+    t = F.when(t.contains("://") | t.contains("www."), F.regexp_replace(t, URL_PATTERN, "")).otherwise(t)
+    t = F.when(t.contains("@"), F.regexp_replace(t, EMAIL_AT_RUN_START, "")).otherwise(t)
     t = F.regexp_replace(t, non_word_pattern(alphabet), " ")
     return F.trim(t)
 

@@ -46,6 +46,18 @@ def set_term_stats(tf: DataFrame) -> DataFrame:
         F.min(F.when(_is_comp(), F.struct("doc_id", "first_pos"))).alias("first_seen"))
 
 
+def term_stats(terms: DataFrame) -> DataFrame:
+    """``set_term_stats`` straight from the exploded terms table (one
+    aggregate, partially combined where the documents were read; the token
+    arrays never need a per-document shuffle)."""
+    return terms.groupBy("set_id", "n", "term").agg(
+        F.count_if(_is_comp()).cast("bigint").alias("frequency"),
+        F.max(_is_target()).alias("in_target"),
+        F.max(_is_comp()).alias("in_competitors"),
+        F.min(F.when(_is_comp(), F.struct("doc_id", F.col("pos").cast("int").alias("first_pos"))))
+        .alias("first_seen"))
+
+
 def gap_terms(stats: DataFrame, k: int | None = 50) -> DataFrame:
     """Competitor terms the target lacks, by competitor frequency desc,
     ties by first occurrence in the competitor bag; top ``k`` per (set, n).

@@ -26,12 +26,17 @@ def by_document(df: DataFrame) -> DataFrame:
 
 def doc_tokens(docs: DataFrame, stopwords: Iterable[str] | None, min_length: int = 2,
                alphabet: str = T.KEPT_LETTERS, text_col: str = "text",
-               keep: Sequence[str] = ()) -> DataFrame:
-    """T11 per document: ``(set_id, doc_id, *keep, tokens ARRAY<STRING>)``."""
+               keep: Sequence[str] = (), by_doc: bool = True) -> DataFrame:
+    """T11 per document: ``(set_id, doc_id, *keep, tokens ARRAY<STRING>)``.
+
+    ``by_doc=True`` hash-partitions the token arrays by document so the
+    per-document operators run exchange-free; set-level operators pass
+    ``False`` and aggregate partially where the documents were read.
+    """
     cols = [*DOC_KEYS, *keep]
     out = docs.select(*cols, T.tokenize(F.col(text_col), stopwords, min_length, alphabet)
                       .alias("tokens"))
-    return by_document(out)
+    return by_document(out) if by_doc else out
 
 
 def raw_word_tokens(docs: DataFrame, min_chars: int, text_col: str = "text",
@@ -51,7 +56,8 @@ def terms(tokens: DataFrame, ns: Sequence[int] = (1, 2, 3), keep: Sequence[str]
     grams = F.array(*[F.struct(F.lit(int(n)).alias("n"), T.ngrams(F.col("tokens"), int(n)).alias("g"))
                       for n in ns])
     per_n = tokens.select(*DOC_KEYS, *keep, F.inline(grams))
-    return per_n.select(*DOC_KEYS, *keep, "n", F.posexplode("g").alias("pos", "term"))
+    out = per_n.select(*DOC_KEYS, *keep, "n", F.posexplode_outer("g").alias("pos", "term"))
+    return out.filter(F.col("term").isNotNull())
 
 
 def term_frequency(tokens: DataFrame, ns: Sequence[int] = (1, 2, 3),

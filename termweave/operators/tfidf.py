@@ -21,6 +21,7 @@ decides whether it is broadcast to the document counts.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,11 @@ def raw_term_counts(docs: DataFrame, min_chars: int, ngram_range: tuple[int, int
     toks = TM.raw_word_tokens(nonblank(docs), min_chars, keep=keep)
     lo, hi = ngram_range
     grams = T.ngram_range(F.col("tokens"), lo, hi)
-    exploded = toks.select(*DOC_KEYS, *keep, F.explode(grams).alias("term"))
+    # explode_outer + null filter: plain explode makes Spark infer a
+    # ``size(tokens) > 0`` filter and push the whole tokeniser below the
+    # document repartition (evaluated twice, before the data is spread)
+    exploded = toks.select(*DOC_KEYS, *keep, F.explode_outer(grams).alias("term"))
+    exploded = exploded.filter(F.col("term").isNotNull())
     return exploded.groupBy(*DOC_KEYS, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -81,7 +86,8 @@ def tfidf(sets: DocSets, min_chars: int = 1, ngram_range: tuple[int, int] = (1,
     ``min_chars=1, (1, 1), 200`` is ``analyze_multiple_documents`` (V8);
     ``min_chars=2`` with any range is ``analyze_ngrams`` (V9).
     """
-    tf = raw_term_counts(sets.docs, min_chars, ngram_range, keep)
+    # the counts feed both the vocabulary and the weights: computed once
+    tf = raw_term_counts(sets.docs, min_chars, ngram_range, keep).persist(StorageLevel.MEMORY_AND_DISK)
     vocab = vocabulary(tf, max_features)
     table = idf(vocab, doc_counts(sets.docs), sets)
     return weights(tf, table, sets, max_features, keep)

@@ -57,7 +57,16 @@ def docs(spark, sf_dir) -> DataFrame:
 
 
 def doc_tokens(spark, sf_dir) -> DataFrame:
-    return TM.doc_tokens(docs(spark, sf_dir), stop(), keep=("role",))
+    """Clean tokens per document, partitioned by document (no roles needed)."""
+    return TM.doc_tokens(DS.read_documents(spark, sf_dir), stop())
+
+
+def set_terms(spark, sf_dir, ns=(1, 2, 3)):
+    """Role-tagged exploded terms for set-level aggregates (no per-document
+    repartition: the set aggregate combines partially in place)."""
+    s = doc_sets(spark, sf_dir)
+    toks = TM.doc_tokens(s.docs, stop(), keep=("role",), by_doc=False)
+    return s, TM.terms(toks, ns, keep=("role",))
 
 
 def r6(c) -> F.Column:
@@ -269,7 +278,7 @@ def _tf_roles(spark, sf_dir, ns=(1, 2, 3)):
           "select set_id, n, count(*) as terms, count(distinct term) as distinct_terms "
           "from terms where role = 'competitor' group by set_id, n")
 def q_competitor_bag(spark, sf_dir):
-    t = TM.terms(doc_tokens(spark, sf_dir), (1, 2, 3), keep=("role",))
+    _, t = set_terms(spark, sf_dir)
     return CM.competitor_bag(t).groupBy("set_id", "n").agg(
         F.count(F.lit(1)).alias("terms"), F.countDistinct("term").alias("distinct_terms"))
 
@@ -278,8 +287,8 @@ def _gap_query(n, k=50):
     sql = O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte((n,)), O.TF_CTE, O.STATS_CTE) + O.gap_sql(k)
 
     def q(spark, sf_dir):
-        _, tf = _tf_roles(spark, sf_dir, (n,))
-        return CM.gap_terms(CM.set_term_stats(tf), k)
+        _, t = set_terms(spark, sf_dir, (n,))
+        return CM.gap_terms(CM.term_stats(t), k)
     register(f"gap_terms_{n}", sql)(q)
 
 
@@ -290,8 +299,8 @@ for _n in (1, 2, 3):
 @register("common_terms", O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte(), O.TF_CTE, O.STATS_CTE) +
           "select set_id, n, term, frequency from stats where in_target and in_comp")
 def q_common_terms(spark, sf_dir):
-    _, tf = _tf_roles(spark, sf_dir)
-    st = CM.set_term_stats(tf)
+    _, t = set_terms(spark, sf_dir)
+    st = CM.term_stats(t)
     return st.filter(F.col("in_target") & F.col("in_competitors")).select("set_id", "n", "term", "frequency")
 
 
@@ -313,8 +322,8 @@ cov as (select g.set_id, g.n, coalesce(common_terms_count, 0) as common_terms_co
           "then common_terms_count * 100.0 / total_competitor_unique_terms else 0 end, 6) "
           "as coverage_percentage, total_competitor_unique_terms, total_target_terms from cov")
 def q_coverage(spark, sf_dir):
-    s, tf = _tf_roles(spark, sf_dir)
-    c = CM.comparison_summary(CM.set_term_stats(tf), s)
+    s, t = set_terms(spark, sf_dir)
+    c = CM.comparison_summary(CM.term_stats(t), s)
     return c.withColumn("coverage_percentage", r6("coverage_percentage"))
 
 
@@ -324,7 +333,8 @@ def q_coverage(spark, sf_dir):
           "cast(coalesce(sum(len(tokens)) filter (where role = 'competitor'), 0) as bigint) as competitor_words "
           "from toks group by set_id")
 def q_set_metrics(spark, sf_dir):
-    return CM.set_metrics(doc_tokens(spark, sf_dir))
+    s = doc_sets(spark, sf_dir)
+    return CM.set_metrics(TM.doc_tokens(s.docs, stop(), keep=("role",), by_doc=False))
 
 
 @register("doc_roles", O.with_ctes(O.DOCS_CTE) + "select set_id, doc_id, role, ord from docs")
@@ -483,8 +493,8 @@ def q_density_bars(spark, sf_dir):
           "order by frequency, rank desc) as integer) as bar_order, "
           "round_even(cast(frequency as double), 4) as label from (" + O.gap_sql(50) + ") where rank <= 20")
 def q_gap_bars(spark, sf_dir):
-    _, tf = _tf_roles(spark, sf_dir, (1,))
-    b = RP.gap_bars(CM.gap_terms(CM.set_term_stats(tf), 50))
+    _, t = set_terms(spark, sf_dir, (1,))
+    b = RP.gap_bars(CM.gap_terms(CM.term_stats(t), 50))
     return b.select("set_id", "n", "term", "frequency", "rank", "bar_order", "label")
 
 
@@ -520,8 +530,8 @@ def q_comparison_matrix(spark, sf_dir):
           "select set_id, n, round(c, 6) as coverage_percentage, case when c < 50 then 'low' when c < 75 "
           "then 'mid' else 'high' end as band, round(c - 80, 6) as delta, c >= 90 as meets_threshold from cv")
 def q_coverage_bands(spark, sf_dir):
-    s, tf = _tf_roles(spark, sf_dir)
-    b = CM.coverage_bands(CM.comparison_summary(CM.set_term_stats(tf), s))
+    s, t = set_terms(spark, sf_dir)
+    b = CM.coverage_bands(CM.comparison_summary(CM.term_stats(t), s))
     return b.select("set_id", "n", r6("coverage_percentage").alias("coverage_percentage"), "band",
                     r6("delta").alias("delta"), "meets_threshold")
 
@@ -540,8 +550,8 @@ select set_id, metric, label from (
   union all select set_id, 'coverage_percentage', printf('%.2f', round_even(c, 2)) from c1)""")
 def q_metric_labels(spark, sf_dir):
     s = doc_sets(spark, sf_dir)
-    toks = TM.doc_tokens(s.docs, stop(), keep=("role",))
+    toks = TM.doc_tokens(s.docs, stop(), keep=("role",), by_doc=False)
     metrics = CM.set_metrics(toks)
-    tf = TM.term_frequency(toks, (1,), keep=("role",))
-    cov = CM.comparison_summary(CM.set_term_stats(tf), s, (1,)).select("set_id", "coverage_percentage")
+    t = TM.terms(toks, (1,), keep=("role",))
+    cov = CM.comparison_summary(CM.term_stats(t), s, (1,)).select("set_id", "coverage_percentage")
     return RP.metric_labels(metrics.join(cov, "set_id"))
