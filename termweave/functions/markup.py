@@ -168,6 +168,20 @@ def _nodes_udf(html: pd.Series) -> pd.DataFrame:
     })
 
 
+# Marked non-deterministic only so the optimizer never copies the parse into a
+# pushed-down filter (it would run twice, and before the data is spread); the
+# function itself is deterministic, so recomputation after a lost executor
+# gives the same rows.
+_nodes_once = _nodes_udf.asNondeterministic()
+
+
 def nodes(html: Column | str) -> Column:
     """P1 as a column expression: ``STRUCT<elements, texts>`` (see module doc)."""
-    return _nodes_udf(F.col(html) if isinstance(html, str) else html)
+    from pyspark.sql import SparkSession
+
+    from termweave.session import ship_package
+
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship_package(spark)
+    return _nodes_once(F.col(html) if isinstance(html, str) else html)

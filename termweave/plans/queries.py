@@ -555,3 +555,42 @@ def q_metric_labels(spark, sf_dir):
     t = TM.terms(toks, (1,), keep=("role",))
     cov = CM.comparison_summary(CM.term_stats(t), s, (1,)).select("set_id", "coverage_percentage")
     return RP.metric_labels(metrics.join(cov, "set_id"))
+
+
+# ---------------------------------------------------------------- page flows (rows-only:
+# the page text comes from the markup parser, which SQL cannot reproduce)
+
+def _page_sets(spark, sf_dir):
+    from termweave.plans import flows as FL
+
+    pages = PG.read_pages(spark, sf_dir)
+    return FL.comparison_documents(FL.page_entries(pages), FL.loaded_content(pages))
+
+
+@register("page_top_terms")
+def q_page_top_terms(spark, sf_dir):
+    from termweave.plans import flows as FL
+
+    r = FL.single_page_report(PG.read_pages(spark, sf_dir), stop(), (1, 2, 3), TOP_N)
+    return r.select("set_id", "doc_id", "n", "term", "frequency", r6("density").alias("density"), "rank")
+
+
+@register("page_set_metrics")
+def q_page_set_metrics(spark, sf_dir):
+    from termweave.plans import flows as FL
+
+    return FL.comparison_metrics(_page_sets(spark, sf_dir), stop())
+
+
+@register("page_gap_terms")
+def q_page_gap_terms(spark, sf_dir):
+    from termweave.plans import flows as FL
+
+    return FL.comparison_gaps(_page_sets(spark, sf_dir), stop(), (1, 2, 3), 50)
+
+
+@register("page_tfidf_ngrams")
+def q_page_tfidf_ngrams(spark, sf_dir):
+    s = _page_sets(spark, sf_dir)
+    t = TF.ranked(TF.analyze_ngrams(s, (1, 1), TOP_N), TOP_N)
+    return t.select("set_id", "doc_id", "term", r6("tfidf_score").alias("tfidf_score"), "rank")

@@ -86,5 +86,25 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(want, *keys) if keys else df.repartition(want)
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``termweave`` importable in the Python workers (what ``--py-files``
+    does): zip the package once and add it to the session's Python files.
+    Needed by the one Python UDF; a no-op after the first call."""
+    import shutil
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="termweave-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "termweave"), "zip",
+                                  root_dir=os.path.dirname(pkg), base_dir=os.path.basename(pkg))
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))
+
+
 def env_path(name: str, default: str) -> str:
     return os.environ.get(name, default)
