@@ -38,24 +38,30 @@ def competitor_bag(terms: DataFrame) -> DataFrame:
 
 def set_term_stats(tf: DataFrame) -> DataFrame:
     """C3 per term: ``(set_id, n, term, frequency, in_target, in_competitors,
-    first_seen)`` from per-document counts with a ``role`` column."""
+    first_doc, first_pos)`` from per-document counts with a ``role`` column.
+
+    First occurrence among competitors is the smallest ``(doc_id, first_pos)``:
+    ``min(doc_id)`` and ``min_by(first_pos, doc_id)`` (one row per document,
+    so the pick is exact).  All buffers are fixed-width, so Spark keeps a hash
+    aggregate with partial combination (a struct ``min`` would fall back to a
+    sort-based aggregate over every row).
+    """
+    comp_doc = F.when(_is_comp(), F.col("doc_id"))
     return tf.groupBy("set_id", "n", "term").agg(
         F.sum(F.when(_is_comp(), F.col("frequency")).otherwise(F.lit(0))).cast("bigint").alias("frequency"),
         F.max(_is_target()).alias("in_target"),
         F.max(_is_comp()).alias("in_competitors"),
-        F.min(F.when(_is_comp(), F.struct("doc_id", "first_pos"))).alias("first_seen"))
+        F.min(comp_doc).alias("first_doc"),
+        F.min_by(F.when(_is_comp(), F.col("first_pos")), comp_doc).alias("first_pos"))
 
 
 def term_stats(terms: DataFrame) -> DataFrame:
-    """``set_term_stats`` straight from the exploded terms table (one
-    aggregate, partially combined where the documents were read; the token
-    arrays never need a per-document shuffle)."""
-    return terms.groupBy("set_id", "n", "term").agg(
-        F.count_if(_is_comp()).cast("bigint").alias("frequency"),
-        F.max(_is_target()).alias("in_target"),
-        F.max(_is_comp()).alias("in_competitors"),
-        F.min(F.when(_is_comp(), F.struct("doc_id", F.col("pos").cast("int").alias("first_pos"))))
-        .alias("first_seen"))
+    """``set_term_stats`` from the exploded terms table (per-document counts
+    first; with document-partitioned tokens that step needs no exchange)."""
+    keys = [c for c in ("set_id", "doc_id", "role", "n", "term") if c in terms.columns]
+    tf = terms.groupBy(*keys).agg(F.count(F.lit(1)).alias("frequency"),
+                                  F.min("pos").cast("int").alias("first_pos"))
+    return set_term_stats(tf)
 
 
 def gap_terms(stats: DataFrame, k: int | None = 50) -> DataFrame:
@@ -65,7 +71,8 @@ def gap_terms(stats: DataFrame, k: int | None = 50) -> DataFrame:
     ``(set_id, n, term, frequency, rank)``; a blank target makes every
     competitor term a gap."""
     gaps = stats.filter(F.col("in_competitors") & ~F.col("in_target"))
-    w = Window.partitionBy("set_id", "n").orderBy(F.desc("frequency"), F.asc("first_seen"))
+    w = Window.partitionBy("set_id", "n").orderBy(F.desc("frequency"), F.asc("first_doc"),
+                                                  F.asc("first_pos"))
     out = gaps.withColumn("rank", F.row_number().over(w))
     if k is not None:
         out = out.filter(F.col("rank") <= k)

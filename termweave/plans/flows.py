@@ -68,7 +68,7 @@ def comparison_metrics(sets: DocSets, stopwords: Iterable[str] | None) -> DataFr
 def comparison_gaps(sets: DocSets, stopwords: Iterable[str] | None, ns=(1, 2, 3),
                     k: int = 50) -> DataFrame:
     """Gap terms per (set, n), top ``k``."""
-    toks = TM.doc_tokens(sets.docs, stopwords, keep=("role",), by_doc=False)
+    toks = TM.doc_tokens(sets.docs, stopwords, keep=("role",))
     return CM.gap_terms(CM.term_stats(TM.terms(toks, ns, keep=("role",))), k)
 
 

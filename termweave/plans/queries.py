@@ -62,10 +62,10 @@ def doc_tokens(spark, sf_dir) -> DataFrame:
 
 
 def set_terms(spark, sf_dir, ns=(1, 2, 3)):
-    """Role-tagged exploded terms for set-level aggregates (no per-document
-    repartition: the set aggregate combines partially in place)."""
+    """Role-tagged exploded terms over document-partitioned tokens (the
+    per-document counts of the set aggregates then need no exchange)."""
     s = doc_sets(spark, sf_dir)
-    toks = TM.doc_tokens(s.docs, stop(), keep=("role",), by_doc=False)
+    toks = TM.doc_tokens(s.docs, stop(), keep=("role",))
     return s, TM.terms(toks, ns, keep=("role",))
 
 
