@@ -28,8 +28,10 @@ from pyspark.sql import DataFrame
 
 from termweave.llm.common import map_texts
 
-# Distinct words a task remembers; the memory is emptied when it is full.
-WORD_MEMORY = 400_000
+# Distinct words a task remembers twice over (see Memory), and the prefixes it
+# remembers, of at most so many letters.
+WORD_MEMORY = 60_000
+PREFIX_LETTERS = 16
 SPLIT = regex.compile(r"\s+")
 
 
@@ -96,6 +98,7 @@ class Encoder:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})  # both bounded by the vocabulary
         self.reachable: dict[str, bool] = {}
+        self.prefixes: dict[str, str] = {}  # last token of a word's beginning
         self.words = Memory(self.word)
         self.stretches = Memory(self.stretch)
         self.special = special
@@ -142,7 +145,7 @@ class Encoder:
         both stand at the border.  At equal rank the left merge comes first."""
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) >= WORD_MEMORY:
+            if len(self.pairs) >= 4 * WORD_MEMORY:
                 self.pairs.clear()
             rank, left = self.rank, self.edge(b, 0)
             ok = True
@@ -166,9 +169,16 @@ class Encoder:
         letters = [self.letters[b] for b in word.encode("utf-8")]
         letters[-1] += self.word_end
         step, accept, reachable, pairs = self.step, self.accept, self.reachable, self.pairs
-        last: list[str | None] = [None] * (len(letters) + 1)
-        back = [0] * (len(letters) + 1)
-        for end in range(1, len(letters) + 1):
+        n, line, known = len(letters), "".join(letters), self.prefixes
+        last: list[str | None] = [None] * (n + 1)
+        back = [0] * (n + 1)
+        for end in range(1, n + 1):
+            short = end <= PREFIX_LETTERS and end < n
+            if short:
+                token = known.get(line[:end])
+                if token is not None:
+                    last[end], back[end] = token, end - len(token)
+                    continue
             state, start = 0, end
             while start:
                 start -= 1
@@ -183,7 +193,11 @@ class Encoder:
                         pairs[before, token] if (before, token) in pairs else self.compatible(before, token)):
                     last[end], back[end] = token, start
                     break
-        out, end = [], len(letters)
+            if short and last[end] is not None:
+                if len(known) >= 2 * WORD_MEMORY:
+                    known.clear()
+                known[line[:end]] = last[end]
+        out, end = [], n
         while end:
             out.append(self.ids[last[end]])
             end = back[end]
@@ -211,16 +225,21 @@ class Encoder:
 
 
 class Memory(dict):
-    """A dict that fills itself by ``fn`` and starts anew when full."""
+    """A dict that fills itself by ``fn``.  When full it keeps one older
+    generation, so words in use survive."""
 
     def __init__(self, fn):
         super().__init__()
-        self.fn = fn
+        self.fn, self.older = fn, {}
 
     def __missing__(self, key):
         if len(self) >= WORD_MEMORY:
+            self.older = dict(self)
             self.clear()
-        got = self[key] = self.fn(key)
+        got = self.older.get(key)
+        if got is None:
+            got = self.fn(key)
+        self[key] = got
         return got
 
 

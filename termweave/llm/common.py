@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from termweave.session import ensure_checkpoint_dir, ship_package, spread
 
 # Rows turned into Python objects at a time inside a task.
-SLICE_ROWS = 256
+SLICE_ROWS = 32
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bpe, rules
+from termweave.llm import bpe, rules, simhash, substring, suffix
 from termweave.llm.common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -31,6 +31,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return substring.dedup_words(docs, window=20).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return rules.measured_cascade(docs).select(
@@ -38,12 +44,39 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return simhash.near_duplicates(docs, shingle=3, max_bits=3).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return suffix.dedup_bytes(docs, window=100).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_substring_dedup": op2_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_simhash": op8_simhash,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS seq
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM d WHERE len(words) >= 20)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY seq ORDER BY doc_id, i) AS k
+                                FROM win) WHERE k > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps
+         FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM late) GROUP BY doc_id)
+SELECT d.doc_id, len(words) AS n_words, coalesce(len(ps), 0) AS n_removed,
+       sha256(array_to_string(list_select(words, list_filter(range(1, len(words) + 1),
+              lambda p: ps IS NULL OR NOT list_contains(ps, p))), ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)""",
     "op7_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
