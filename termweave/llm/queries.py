@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bpe, rules, simhash, substring, suffix
+from termweave.llm import bpe, decontaminate, html_content, licenses, quality, rules
+from termweave.llm import simhash, substring, suffix, toxicity
 from termweave.llm.common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -37,6 +38,42 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _fold(buckets: int, which: int) -> F.Column:
+    """Whether crc32 of the id as text falls into one of the folds (null: no)."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % buckets == which, F.lit(False))
+
+
+def _scored(df: DataFrame, held_out: F.Column, threshold: float) -> DataFrame:
+    return df.select("doc_id", held_out.alias("held_out"), "score",
+                     F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = _fold(5, 0)
+    return _scored(quality.score(docs, labels, label_col="quality", allowed=~held_out), held_out, 0.3)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = _fold(3, 1)
+    return _scored(toxicity.score(docs, labels, label_col="toxic", allowed=~held_out), held_out, 0.7)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.find_items(docs, items).select(
+        "doc_id", "item_id", "n_shared", "n_shingles", "containment")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return licenses.scan(docs).drop("text")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return rules.measured_cascade(docs).select(
@@ -56,12 +93,22 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return html_content.extract(pages).drop("html")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_quality": op3_quality,
+    "op4_toxicity": op4_toxicity,
+    "op5_decontamination": op5_decontamination,
+    "op6_licenses": op6_licenses,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_html": op10_html,
 }
 
 ORACLE: dict[str, str] = {
@@ -77,6 +124,19 @@ SELECT d.doc_id, len(words) AS n_words, coalesce(len(ps), 0) AS n_removed,
        sha256(array_to_string(list_select(words, list_filter(range(1, len(words) + 1),
               lambda p: ps IS NULL OR NOT list_contains(ps, p))), ' ')) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)""",
+    "op5_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+       FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5)),
+n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, n_shingles, count(*) / n_shingles AS containment
+FROM ds JOIN bs USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_shingles HAVING count(*) / n_shingles >= 0.8""",
     "op7_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
