@@ -8,6 +8,7 @@ repeated column names cannot break it).
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -35,8 +36,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner delete the shuffle files of finished phases
-    now (it acts when the JVM collects the unreachable plans)."""
+    now: it acts when the JVM collects the unreachable plans.  Spark's listener
+    bus still holds the query that ended last, so a trivial one ends first, and
+    the Python gateway lets go of its objects once a second."""
     gc.collect()
+    spark.range(1).count()
+    time.sleep(1.2)
     spark.sparkContext._jvm.System.gc()
 
 

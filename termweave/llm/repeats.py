@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termweave.llm.common import checkpoint, positional, release, ship_package, shuffle_partitions
+from termweave.llm.common import checkpoint, positional, ship_package, shuffle_partitions
 
 U = np.uint64
 BLOCK_BYTES = 4 << 20
 KEYS_PER_BUCKET = 1 << 20
+ZSTD_LEVEL = 5  # blocks travel twice and lie in the checkpoint folder meanwhile
 
 KEYS_SCHEMA = "kind int, bucket int, block long, bits int, keys binary"
 BITS_SCHEMA = "kind int, bucket int, block long, other binary, earlier binary"
@@ -41,7 +42,8 @@ BITS_SCHEMA = "kind int, bucket int, block long, other binary, earlier binary"
 
 def _ipc(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZSTD_LEVEL))
+    with pa.ipc.new_stream(sink, table.schema, options=options) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -90,11 +92,9 @@ def ordered_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield emit()
 
     n = shuffle_partitions(df.sparkSession)
-    sorted_rows = (base.repartitionByRange(n, F.col(f"c{i}").asc_nulls_first())
-                   .sortWithinPartitions(F.col(f"c{i}").asc_nulls_first(), f"c{t}"))
-    blocks = checkpoint(sorted_rows.mapInArrow(run, "block long, n_bytes long, payload binary"))
-    release(df.sparkSession)
-    return blocks
+    return checkpoint(base.repartitionByRange(n, F.col(f"c{i}").asc_nulls_first())
+                      .sortWithinPartitions(F.col(f"c{i}").asc_nulls_first(), f"c{t}")
+                      .mapInArrow(run, "block long, n_bytes long, payload binary"))
 
 
 def block_rows(payload: bytes, i: int, t: int) -> tuple[pa.Table, list[bytes], np.ndarray]:

@@ -263,6 +263,7 @@ def dedup_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     i, t = df.columns.index(id_col), df.columns.index(text_col)
     blocks = R.ordered_blocks(df, id_col, text_col)
+    release(spark)
     words = (blocks.agg(F.sum("n_bytes")).first()[0] or 0) // 5
     bits = R.bucket_bits(2 * words // (window - gram + 2))
     shard_bits = max(3, (words // SHARD_WORDS).bit_length())

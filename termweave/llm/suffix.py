@@ -114,17 +114,20 @@ def _samples(blocks: DataFrame, i: int, t: int, window: int, bits: int) -> DataF
 
 
 def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                window: int = WINDOW) -> DataFrame:
+                window: int = WINDOW, as_text: bool = False) -> DataFrame:
     """Append ``kept`` (binary: the remaining bytes), ``n_bytes``, ``n_removed`` and
-    ``n_spans`` (maximal removed runs) to every row."""
+    ``n_spans`` (maximal removed runs) to every row.  ``as_text``: ``kept`` is a
+    string without the rest of a character that was cut, and null for null."""
     spark = df.sparkSession
     i, t = df.columns.index(id_col), df.columns.index(text_col)
     blocks = R.ordered_blocks(df, id_col, text_col)
+    release(spark)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     v, cover = cover_for(window)
     bits = R.bucket_bits(total * len(cover) // v)
     full_bits = R.bucket_bits(total // 4)
     full_width = (64 - full_bits + 7) // 8
+    kept_type = pa.string() if as_text else pa.binary()
     seen = checkpoint(R.shared_keys(_samples(blocks, i, t, window, bits), {0: 4, 1: 8}))
     release(spark)
 
@@ -151,7 +154,8 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n_spans.append(int(np.count_nonzero(np.diff(cut.astype(np.int8), prepend=0) == 1)) if r else 0)
             kept.append(np.frombuffer(text, np.uint8)[~cut].tobytes() if r else text)
         out = b.table
-        for name, values in (("r_kept", pa.array(kept, pa.binary())),
+        whole = pa.array([x.decode("utf-8", "ignore") for x in kept] if as_text else kept, kept_type)
+        for name, values in (("r_kept", whole),
                              ("r_n_bytes", pa.array(b.size, pa.int64())),
                              ("r_n_removed", pa.array(n_removed, pa.int64())),
                              ("r_n_spans", pa.array(n_spans, pa.int64()))):
@@ -159,6 +163,8 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return out
 
     schema = T.StructType(positional(df).schema.fields + T.StructType.fromDDL(
-        "r_kept binary, r_n_bytes long, r_n_removed long, r_n_spans long").fields)
+        f"r_kept {'string' if as_text else 'binary'}, r_n_bytes long, r_n_removed long, r_n_spans long").fields)
     done = R.answer(blocks, seen.unionByName(judged), finish, schema)
+    if as_text:
+        done = done.withColumn("r_kept", F.when(F.col(f"c{t}").isNotNull(), F.col("r_kept")))
     return named_back(done, df.columns, ["kept", "n_bytes", "n_removed", "n_spans"])
