@@ -8,7 +8,10 @@ element stack with the rules of a lenient HTML tree:
   opened after it); with none open it is ignored;
 * void elements never open; ``<x/>`` is an empty element;
 * ``script``/``style`` bodies are raw text; comments are not text but split
-  text nodes; entities are decoded; the document closes at its end;
+  text nodes; the document closes at its end;
+* entities are decoded; an unknown one stays as ``&name`` without its semicolon;
+* text under ``rt``, ``rp`` and ``template`` is not text of the elements around it
+  (nor of elements inside a template), so it is dropped;
 * elements under an excluded tag (and the excluded element itself) are
   dropped with all their text (P2 runs before every other extraction).
 
@@ -26,6 +29,9 @@ is Spark expressions (``termweave.operators.content``).
 
 from __future__ import annotations
 
+import html
+from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -42,6 +48,9 @@ VOID_TAGS = frozenset((
     "meta", "param", "source", "track", "wbr", "basefont", "bgsound", "command", "frame",
     "image", "isindex", "nextid", "spacer"))
 
+# - elements whose text belongs to themselves only
+OWN_TEXT_TAGS = frozenset(("rt", "rp", "template"))
+
 ATTR_TAGS = frozenset(("meta", "img"))
 
 ATTR_T = Ty.ArrayType(Ty.StructType([Ty.StructField("k", Ty.StringType()),
@@ -63,24 +72,31 @@ class NodeStream(HTMLParser):
     """Tree builder over ``html.parser`` events producing the node stream."""
 
     def __init__(self, excluded=EXCLUDED_TAGS, attr_tags=ATTR_TAGS):
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.excluded = frozenset(excluded)
         self.attr_tags = frozenset(attr_tags)
         self.elements: list[dict] = []
         self.texts: list[str] = []
         self.stack: list[tuple[str, int | None]] = []  # (tag, element index or None if dropped)
         self.hidden = 0  # open excluded elements
+        self.quiet = 0  # open elements that keep their text to themselves
         self.buf: list[str] = []
 
     # -- text
     def handle_data(self, data):
         self.buf.append(data)
 
+    def handle_charref(self, name):
+        self.buf.append(html.unescape(f"&#{name};"))
+
+    def handle_entityref(self, name):
+        self.buf.append(html5.get(f"{name};", f"&{name}"))
+
     def flush(self):
         if self.buf:
             s = "".join(self.buf).strip()
             self.buf = []
-            if s and not self.hidden:
+            if s and not self.hidden and not self.quiet:
                 self.texts.append(s)
 
     # -- structure
@@ -101,11 +117,13 @@ class NodeStream(HTMLParser):
         if void:
             return
         self.stack.append((tag, idx))
+        self.quiet += tag in OWN_TEXT_TAGS
         if drop:
             self.hidden += 1
 
     def _close_top(self):
         tag, idx = self.stack.pop()
+        self.quiet -= tag in OWN_TEXT_TAGS
         if idx is None:
             self.hidden -= 1
         else:
@@ -150,22 +168,24 @@ class NodeStream(HTMLParser):
         return {"elements": self.elements, "texts": self.texts}
 
 
-def parse_nodes(html: str | None) -> dict | None:
+def parse_nodes(page: str | None) -> dict | None:
     """Node stream of one page (``None`` for a null page)."""
-    if html is None:
+    if page is None:
         return None
     p = NodeStream()
-    p.feed(html)
+    p.feed(page)
     return p.finish()
 
 
 @F.pandas_udf(NODES_T)
-def _nodes_udf(html: pd.Series) -> pd.DataFrame:
-    rows = [parse_nodes(h) if isinstance(h, str) else None for h in html]
-    return pd.DataFrame({
-        "elements": [r["elements"] if r else None for r in rows],
-        "texts": [r["texts"] if r else None for r in rows],
-    })
+def _nodes_udf(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    # batches are bounded in bytes by spark.sql.execution.arrow.maxBytesPerBatch
+    for batch in pages:
+        rows = [parse_nodes(h) if isinstance(h, str) else None for h in batch]
+        yield pd.DataFrame({
+            "elements": [r["elements"] if r else None for r in rows],
+            "texts": [r["texts"] if r else None for r in rows],
+        })
 
 
 # Marked non-deterministic only so the optimizer never copies the parse into a
@@ -175,7 +195,7 @@ def _nodes_udf(html: pd.Series) -> pd.DataFrame:
 _nodes_once = _nodes_udf.asNondeterministic()
 
 
-def nodes(html: Column | str) -> Column:
+def nodes(page: Column | str) -> Column:
     """P1 as a column expression: ``STRUCT<elements, texts>`` (see module doc)."""
     from pyspark.sql import SparkSession
 
@@ -184,4 +204,4 @@ def nodes(html: Column | str) -> Column:
     spark = SparkSession.getActiveSession()
     if spark is not None:
         ship_package(spark)
-    return _nodes_once(F.col(html) if isinstance(html, str) else html)
+    return _nodes_once(F.col(page) if isinstance(page, str) else page)

@@ -94,7 +94,7 @@ def comparison_summary(stats: DataFrame, sets: DocSets | None = None,
     if sets is not None:
         grid = (sets.docs.select("set_id").distinct()
                 .select("set_id", F.explode(F.array(*[F.lit(int(n)) for n in ns])).alias("n")))
-        agg = sets.small(grid, len(ns)).join(agg, ["set_id", "n"], "left").na.fill(
+        agg = grid.join(agg, ["set_id", "n"], "left").na.fill(
             0, ["common_terms_count", "total_competitor_unique_terms", "total_target_terms"])
     comp = F.col("total_competitor_unique_terms")
     cov = F.when(comp > 0, F.col("common_terms_count") * 100.0 / comp).otherwise(F.lit(0.0))
@@ -122,6 +122,27 @@ def default_names(ordered: DataFrame, target_name: str = "Target",
                               .otherwise(F.concat(F.lit(prefix), F.col("ord").cast("string"))))
 
 
+def given_names(ordered: DataFrame, names: DataFrame) -> DataFrame:
+    """D2 with names ``(set_id, ord, name)`` given by the caller: documents and
+    names are paired by ``ord`` up to the shorter list, and of several documents
+    of a set with one name only the last stays."""
+    paired = ordered.join(names.select("set_id", "ord", "name"), ["set_id", "ord"])
+    last = paired.groupBy("set_id", "name").agg(F.max("ord").alias("ord"))
+    return paired.join(last, ["set_id", "name", "ord"], "left_semi")
+
+
+def comparison_report(stats: DataFrame, ns: Sequence[int] = (1, 2, 3), k: int = 100) -> DataFrame:
+    """C6 as one table: the summary of every (set, n) with its ``k`` most frequent
+    gap terms, in order, as ``gap_terms ARRAY<STRUCT<term, frequency>>`` (empty
+    when there is none).  ``stats`` is read twice but made once (one exchange)."""
+    gaps = gap_terms(stats, k).groupBy("set_id", "n").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "term", "frequency"))),
+        lambda g: F.struct(g["term"].alias("term"), g["frequency"].alias("frequency"))).alias("gap_terms"))
+    none = F.array().cast("array<struct<term:string,frequency:bigint>>")
+    return comparison_summary(stats, None, ns).join(gaps, ["set_id", "n"], "left").withColumn(
+        "gap_terms", F.coalesce("gap_terms", none))
+
+
 def entry_labels(entries: DataFrame, key: str = "url", target_label: str = "target",
                  prefix: str = "Competitor ") -> DataFrame:
     """One label per distinct (set, key): the target label when the key is

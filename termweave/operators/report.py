@@ -9,11 +9,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termweave.sources.docsets import DocSets
-
 DOC_KEYS = ("set_id", "doc_id")
 
 
+def rounded(value: F.Column, decimals: int) -> F.Column:
+    """Table rounding: scale, round the binary value half to even, scale back (a
+    decimal tie such as 1.015 is rarely one in binary)."""
+    scale = F.lit(float(10 ** decimals))
+    return F.rint(value * scale) / scale
+
+
 def bar_table(ranked: DataFrame, value_col: str, keys: Sequence[str] = DOC_KEYS,
               top_n: int = 20, decimals: int = 4) -> DataFrame:
     """The first ``top_n`` rows (by ``rank``), ordered ascending by value
@@ -21,7 +26,7 @@ def bar_table(ranked: DataFrame, value_col: str, keys: Sequence[str] = DOC_KEYS,
     top = ranked.filter(F.col("rank") <= top_n)
     w = Window.partitionBy(*keys).orderBy(F.asc(value_col), F.desc("rank"))
     return top.withColumn("bar_order", F.row_number().over(w)).withColumn(
-        "label", F.bround(F.col(value_col).cast("double"), decimals))
+        "label", rounded(F.col(value_col).cast("double"), decimals))
 
 
 def density_bars(density: DataFrame, keys: Sequence[str] = DOC_KEYS, top_n: int = 20) -> DataFrame:
@@ -43,7 +48,7 @@ def gap_bars(gaps: DataFrame, keys: Sequence[str] = ("set_id", "n"), top_n: int
     return bar_table(gaps, value, keys, top_n, 4)
 
 
-def comparison_matrix(scores: DataFrame, sets: DocSets | None = None, top_n: int = 15,
+def comparison_matrix(scores: DataFrame, top_n: int = 15,
                       value_col: str = "tfidf_score") -> DataFrame:
     """R2 in long form ``(set_id, doc_id, term, term_order, value)``.
 
@@ -54,20 +59,19 @@ def comparison_matrix(scores: DataFrame, sets: DocSets | None = None, top_n: int
     set, so the grid is built per document without a pair join.
     """
     w_doc = Window.partitionBy(*DOC_KEYS).orderBy(F.desc(value_col), F.asc("term"))
-    top = scores.withColumn("_r", F.row_number().over(w_doc)).filter(F.col("_r") <= top_n)
-    best = top.groupBy("set_id", "term").agg(F.max(value_col).alias("_best"))
+    marked = scores.withColumn("_r", F.row_number().over(w_doc))
+    best = marked.filter(F.col("_r") <= top_n).groupBy("set_id", "term").agg(F.max(value_col).alias("_best"))
     w_set = Window.partitionBy("set_id").orderBy(F.desc("_best"), F.asc("term"))
     chosen = best.withColumn("term_order", F.row_number().over(w_set)).filter(
         F.col("term_order") <= top_n)
     per_set = chosen.groupBy("set_id").agg(
         F.array_sort(F.collect_list(F.struct("term_order", "term"))).alias("_terms"))
-    if sets is not None:
-        per_set = sets.small(per_set)
-    docs = scores.select(*DOC_KEYS).distinct()
-    grid = docs.join(per_set, "set_id").select(*DOC_KEYS, F.inline("_terms"))
-    vals = scores.select(*DOC_KEYS, "term", F.col(value_col).alias("value"))
-    return grid.join(vals, [*DOC_KEYS, "term"], "left").na.fill(0.0, ["value"]).select(
-        *DOC_KEYS, "term", "term_order", "value")
+    # a document's scores as one map (at most the vocabulary's size), looked up per chosen term
+    docs = scores.groupBy(*DOC_KEYS).agg(F.map_from_entries(
+        F.collect_list(F.struct("term", F.col(value_col).cast("double")))).alias("_values"))
+    grid = docs.join(per_set, "set_id").select(*DOC_KEYS, "_values", F.inline("_terms"))
+    return grid.select(*DOC_KEYS, "term", "term_order",
+                       F.coalesce(F.try_element_at("_values", F.col("term")), F.lit(0.0)).alias("value"))
 
 
 def metric_labels(metrics: DataFrame, keys: Sequence[str] = ("set_id",)) -> DataFrame:
@@ -78,6 +82,6 @@ def metric_labels(metrics: DataFrame, keys: Sequence[str] = ("set_id",)) -> Data
     for f in fields:
         is_float = f.dataType.typeName() in ("double", "float")
         v = F.col(f.name)
-        label = F.format_string("%.2f", F.bround(v, 2)) if is_float else v.cast("string")
+        label = F.format_string("%.2f", rounded(v.cast("double"), 2)) if is_float else v.cast("string")
         parts.append(F.struct(F.lit(f.name).alias("metric"), label.alias("label")))
     return metrics.select(*keys, F.inline(F.array(*parts)))

@@ -24,21 +24,38 @@ def by_document(df: DataFrame) -> DataFrame:
     return df.repartition(*DOC_KEYS)
 
 
-def doc_tokens(docs: DataFrame, stopwords: Iterable[str] | None, min_length: int = 2,
+def doc_tokens(docs: DataFrame, stopwords: Iterable[str] | DataFrame | None, min_length: int = 2,
                alphabet: str = T.KEPT_LETTERS, text_col: str = "text",
                keep: Sequence[str] = (), by_doc: bool = True) -> DataFrame:
     """T11 per document: ``(set_id, doc_id, *keep, tokens ARRAY<STRING>)``.
 
-    ``by_doc=True`` hash-partitions the token arrays by document so the
-    per-document operators run exchange-free; set-level operators pass
-    ``False`` and aggregate partially where the documents were read.
+    ``stopwords`` as Python words are a literal set; as a DataFrame (column
+    ``word``, any length) they are anti-joined.  ``by_doc=True`` hash-partitions
+    the token arrays by document so the per-document operators run
+    exchange-free; map-only and set-level operators pass ``False``.
     """
     cols = [*DOC_KEYS, *keep]
-    out = docs.select(*cols, T.tokenize(F.col(text_col), stopwords, min_length, alphabet)
-                      .alias("tokens"))
+    table = stopwords if isinstance(stopwords, DataFrame) else None
+    out = docs.select(*cols, T.tokenize(F.col(text_col), None if table is not None else stopwords,
+                                        min_length, alphabet).alias("tokens"))
+    if table is not None:
+        out = drop_table_words(out, table, cols)
     return by_document(out) if by_doc else out
 
 
+def drop_table_words(tokens: DataFrame, words: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """T10 with a table: tokens anti-joined on the word (the planner picks the
+    strategy, a frequent word is split by adaptive execution), then regrouped by
+    document in their order.  Documents left without tokens keep an empty array."""
+    each = tokens.select(*cols, F.posexplode_outer("tokens").alias("_pos", "_word"))
+    kept = each.join(words.select(F.col("word").alias("_word")), "_word", "left_anti")
+    # the empty marker keeps every document in the grouping
+    rows = tokens.select(*cols).withColumns({"_pos": F.lit(None).cast("int"), "_word": F.lit(None).cast("string")})
+    listed = F.array_sort(F.collect_list(F.when(F.col("_word").isNotNull(), F.struct("_pos", "_word"))))
+    return (kept.select(*rows.columns).unionByName(rows).groupBy(*cols)
+            .agg(F.transform(listed, lambda x: x["_word"]).alias("tokens")))
+
+
 def raw_word_tokens(docs: DataFrame, min_chars: int, text_col: str = "text",
                     keep: Sequence[str] = ()) -> DataFrame:
     """T14/T15 per document (TF-IDF token stream, no cleaning / stopwords)."""

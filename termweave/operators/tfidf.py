@@ -12,25 +12,27 @@ no rows instead of an error (X4); the single-document table always has three
 columns (X5).
 
 Plan shape: token arrays are partitioned by document, so the per-document
-counts and the L2 norm run without an exchange.  The only shuffles are the
-set-level ``(set_id, term)`` totals (partially aggregated first) and the
-per-set vocabulary cut (partial ``WindowGroupLimit`` before the exchange).  The
-vocabulary has at most ``n_sets * max_features`` rows, a proven bound that
-decides whether it is broadcast to the document counts.
+counts and the L2 norm run without an exchange.  The counts are not stored: the
+vocabulary and the weights each make them from the same exchange of tokens,
+which Spark runs once.  The vocabulary cut is a partial ``WindowGroupLimit``.
+The hottest ``(set_id, term)`` has a row for every document of its set, so the
+weighting join is salted: the vocabulary (at most ``max_features`` terms a set) is
+repeated ``SALTS`` times, the rows of a term are dealt over the salts.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions import text as T
 from termweave.operators import terms as TM
-from termweave.sources.docsets import DocSets, bounded_broadcast, nonblank
+from termweave.sources.docsets import DocSets, nonblank
 
 DOC_KEYS = TM.DOC_KEYS
 
+SALTS = 16
+
 
 def raw_term_counts(docs: DataFrame, min_chars: int, ngram_range: tuple[int, int] = (1, 1),
                     keep=("role",)) -> DataFrame:
@@ -62,18 +64,18 @@ def vocabulary(tf: DataFrame, max_features: int | None) -> DataFrame:
     return ranked.filter(F.col("rank") <= max_features) if max_features else ranked
 
 
-def idf(vocab: DataFrame, n_docs: DataFrame, sets: DocSets) -> DataFrame:
+def idf(vocab: DataFrame, n_docs: DataFrame) -> DataFrame:
     """V3: smoothed idf per kept term (``ln((1+N)/(1+df)) + 1``)."""
-    v = vocab.join(sets.small(n_docs), "set_id")
+    v = vocab.join(n_docs, "set_id")
     return v.withColumn("idf", F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0)
 
 
-def weights(tf: DataFrame, idf_table: DataFrame, sets: DocSets, max_features: int | None,
-            keep=("role",)) -> DataFrame:
-    """V4 + V5: ``weight = tf * idf`` and the L2-normalised ``tfidf_score``."""
-    small = idf_table.select("set_id", "term", "idf")
-    small = sets.small(small, max_features) if max_features else small
-    w = tf.join(small, ["set_id", "term"]).withColumn("weight", F.col("tf") * F.col("idf"))
+def weights(tf: DataFrame, idf_table: DataFrame, keep=("role",)) -> DataFrame:
+    """V4 + V5: ``weight = tf * idf`` and the L2-normalised ``tfidf_score``.
+    The rows of a term are dealt over ``SALTS`` keys by document."""
+    small = idf_table.select("set_id", "term", "idf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    dealt = tf.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    w = dealt.join(small, ["set_id", "term", "_salt"]).withColumn("weight", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*DOC_KEYS)))
     return w.withColumn("tfidf_score", F.col("weight") / norm).select(
         *DOC_KEYS, *keep, "term", F.col("tf").alias("frequency"), "weight", "tfidf_score")
@@ -86,11 +88,8 @@ def tfidf(sets: DocSets, min_chars: int = 1, ngram_range: tuple[int, int] = (1,
     ``min_chars=1, (1, 1), 200`` is ``analyze_multiple_documents`` (V8);
     ``min_chars=2`` with any range is ``analyze_ngrams`` (V9).
     """
-    # the counts feed both the vocabulary and the weights: computed once
-    tf = raw_term_counts(sets.docs, min_chars, ngram_range, keep).persist(StorageLevel.MEMORY_AND_DISK)
-    vocab = vocabulary(tf, max_features)
-    table = idf(vocab, doc_counts(sets.docs), sets)
-    return weights(tf, table, sets, max_features, keep)
+    tf = raw_term_counts(sets.docs, min_chars, ngram_range, keep)
+    return weights(tf, idf(vocabulary(tf, max_features), doc_counts(sets.docs)), keep)
 
 
 def analyze_multiple_documents(sets: DocSets, max_features: int = 200) -> DataFrame:
@@ -139,11 +138,11 @@ def tfidf_gap(sets: DocSets, max_features: int = 200) -> DataFrame:
     ``(set_id, term, avg_tfidf_score, competitors)``.
     """
     scores = analyze_multiple_documents(sets, max_features)
-    target_terms = scores.filter(F.col("role") == "target").select("set_id", "term")
-    comp = scores.filter(F.col("role") == "competitor")
-    gaps = comp.join(sets.small(target_terms, max_features), ["set_id", "term"], "left_anti")
+    is_comp = F.col("role") == "competitor"
+    per_term = scores.groupBy("set_id", "term").agg(
+        F.avg(F.when(is_comp, F.col("tfidf_score"))).alias("avg_tfidf_score"),
+        F.count_if(is_comp).alias("competitors"),
+        F.max(~is_comp).alias("_in_target"))
     live = nonblank(sets.docs.filter(F.col("role") == "target")).select("set_id")
-    gaps = gaps.join(sets.small(live), "set_id", "left_semi")
-    return gaps.groupBy("set_id", "term").agg(
-        F.avg("tfidf_score").alias("avg_tfidf_score"),
-        F.count(F.lit(1)).alias("competitors"))
+    return (per_term.filter((F.col("competitors") > 0) & ~F.col("_in_target")).drop("_in_target")
+            .join(live, "set_id", "left_semi"))

@@ -20,7 +20,7 @@ from termweave.operators import compare as CM
 from termweave.operators import content as CT
 from termweave.operators import terms as TM
 from termweave.sources import pages as PG
-from termweave.sources.docsets import DocSets, broadcast_if_small
+from termweave.sources.docsets import DocSets
 
 
 def loaded_content(pages: DataFrame, sep: str = "") -> DataFrame:
@@ -37,32 +37,29 @@ def page_entries(pages: DataFrame) -> DataFrame:
 
 
 def comparison_documents(entries: DataFrame, content: DataFrame) -> DocSets:
-    """D1 + S6: ``docs (set_id, doc_id, role, ord, url, text)`` for comparable sets.
+    """D1 + S6: ``docs (set_id, doc_id, role, ord, url, loaded, text)`` for
+    comparable sets.
 
-    ``doc_id`` is the entry number ``ord`` (a URL entered twice is two entries).
+    ``doc_id`` is the entry number ``ord`` (a URL entered twice is two entries);
+    ``loaded`` says whether the page was read, also when it has no text.
     """
     ok = content.filter(F.col("error").isNull()).select("url", "all_text")
-    joined = entries.join(ok, "url", "left")
+    joined = entries.join(ok, "url", "left").withColumn("loaded", F.col("all_text").isNotNull())
     # target: kept even when it failed (text ''); competitors: only when loaded
-    keep = (F.col("ord") == 0) | F.col("all_text").isNotNull()
-    docs = joined.filter(keep).select(
+    docs = joined.filter((F.col("ord") == 0) | F.col("loaded")).select(
         "set_id", F.col("ord").cast("bigint").alias("doc_id"),
         F.when(F.col("ord") == 0, F.lit("target")).otherwise(F.lit("competitor")).alias("role"),
-        "ord", "url", F.coalesce(F.col("all_text"), F.lit("")).alias("text"))
-    loaded = entries.join(ok.select("url"), "url", "left_semi").withColumn(
+        "ord", "url", "loaded", F.coalesce(F.col("all_text"), F.lit("")).alias("text"))
+    seen = entries.join(ok.select("url"), "url", "left_semi").withColumn(
         "error", F.lit(None).cast("string"))
-    comparable, n_sets = broadcast_if_small(PG.comparable_sets(loaded).select("set_id"))
-    return DocSets(docs.join(comparable, "set_id", "left_semi"), n_sets)
+    return DocSets(docs.join(PG.comparable_sets(seen).select("set_id"), "set_id", "left_semi"))
 
 
 def comparison_metrics(sets: DocSets, stopwords: Iterable[str] | None) -> DataFrame:
     """D3 over page documents: documents = distinct loaded URLs (an empty but
     loaded page counts); words per entry (a URL entered twice counts twice)."""
-    loaded = sets.docs.filter((F.col("role") == "competitor") | (F.col("text") != ""))
-    n_urls = loaded.groupBy("set_id").agg(F.countDistinct("url").alias("documents"))
-    toks = TM.doc_tokens(sets.docs, stopwords, keep=("role",), by_doc=False)
-    words = CM.set_metrics(toks).drop("documents")
-    return sets.small(n_urls).join(words, "set_id")
+    toks = TM.doc_tokens(sets.docs, stopwords, keep=("role", "url", "loaded"), by_doc=False)
+    return CM.set_metrics(toks.withColumn("_url", F.when(F.col("loaded"), F.col("url"))), "_url")
 
 
 def comparison_gaps(sets: DocSets, stopwords: Iterable[str] | None, ns=(1, 2, 3),
@@ -74,9 +71,10 @@ def comparison_gaps(sets: DocSets, stopwords: Iterable[str] | None, ns=(1, 2, 3)
 
 def distinct_url_docs(sets: DocSets) -> DataFrame:
     """F6/R5 run once per distinct loaded URL (first entry's ord labels it)."""
-    d = sets.docs.filter((F.col("role") == "competitor") | (F.col("text") != ""))
-    first = d.groupBy("set_id", "url").agg(F.min("ord").alias("ord"), F.first("text").alias("text"))
-    return first.select("set_id", F.col("ord").cast("bigint").alias("doc_id"), "ord", "url", "text")
+    d = sets.docs.filter("loaded")
+    first = d.groupBy("set_id", "url").agg(F.min("ord").alias("ord"))
+    return d.join(first, ["set_id", "url", "ord"], "left_semi").select(
+        "set_id", "doc_id", "ord", "url", "text")
 
 
 def single_page_report(pages: DataFrame, stopwords: Iterable[str] | None, ns=(1, 2, 3),

@@ -151,3 +151,47 @@ def pages_cte() -> str:
          cast(row_number() over (partition by lower(regexp_extract(url, '{HOST}', 1))
               order by page_id) - 1 as integer) as ord
   from pages)"""
+
+
+def page_text_ctes() -> list[str]:
+    """CTEs ``pg`` and ``pt(page_id, url, set_id, ord, error, title, h1, body_text,
+    all_text)``: the text of the given pages, written from the rules.
+
+    Excluded blocks go first; the rest is cut into comments, tags and texts in
+    order.  A ``p`` without an end tag stays open, so its extent ends at the first
+    later place where fewer ``p`` are open, or at the end of the article.  The
+    given pages have no list item, ``h2`` to ``h6``, image or description."""
+    text = strip_sql(decode_sql("t"))
+    title = strip_sql(decode_sql("regexp_extract(kept, '(?s)<title[^>]*>(.*?)</title>', 1)"))
+    h1 = strip_sql(decode_sql("regexp_extract(kept, '(?s)<h1[^>]*>(.*?)</h1>', 1)"))
+    return [
+        pages_cte(),
+        "sq as (select page_id, regexp_extract_all(kept, '(?s)<!--.*?-->|<[^>]*>|[^<]+') as l from pg)",
+        "tk as materialized (select page_id, unnest(l) as t, generate_subscripts(l, 1) as i from sq)",
+        """dp as materialized (select page_id, t, i, sum(case when t = '<p>' then 1 when t = '</p>' then -1 else 0 end)
+  over (partition by page_id order by i) as open,
+  min(case when t in ('</article>', '</body>') then i end) over (partition by page_id) as stop,
+  max(i) over (partition by page_id) + 1 as past from tk)""",
+        """ps as (select a.page_id, a.i, coalesce(min(b.i), min(least(coalesce(a.stop, a.past), a.past))) as e
+  from dp a left join dp b on a.page_id = b.page_id and b.i > a.i and b.open < a.open
+  where a.t = '<p>' group by a.page_id, a.i)""",
+        f"""px as (select ps.page_id, ps.i, string_agg({text}, '' order by tk.i) as x
+  from ps join tk on ps.page_id = tk.page_id and tk.i > ps.i and tk.i < ps.e and tk.t not like '<%'
+  group by ps.page_id, ps.i)""",
+        """bd as materialized (select ps.page_id, string_agg(coalesce(x, ''), ' ' order by ps.i) as body_text
+  from ps left join px on ps.page_id = px.page_id and ps.i = px.i group by ps.page_id)""",
+        f"""pt as materialized (select *, concat_ws(' ', nullif(title, ''), nullif(h1, ''), nullif(body_text, '')) as all_text
+  from (select pg.page_id, url, set_id, ord, error, {title} as title, {h1} as h1,
+               coalesce(body_text, '') as body_text from pg left join bd on pg.page_id = bd.page_id))""",
+    ]
+
+
+# single pages as documents: the set is the URL
+PAGE_DOCS_CTE = """docs as materialized (select url as set_id, page_id as doc_id, 0 as ord, 'target' as role, all_text as text
+  from pt where error is null and all_text <> '')"""
+
+# pages of comparable hosts as documents: the number of the entry is the id
+HOST_DOCS_CTE = """docs as materialized (select set_id, cast(ord as bigint) as doc_id, ord, url, all_text as text,
+  case when ord = 0 then 'target' else 'competitor' end as role from pt
+  where (ord = 0 or error is null) and set_id in (
+    select set_id from pt where error is null group by set_id having count(distinct url) >= 2))"""

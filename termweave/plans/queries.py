@@ -22,9 +22,11 @@ from termweave.operators import content as CT
 from termweave.operators import report as RP
 from termweave.operators import terms as TM
 from termweave.operators import tfidf as TF
+from termweave.plans import flows as FL
 from termweave.plans import oracle as O
 from termweave.sources import docsets as DS
 from termweave.sources import pages as PG
+from termweave.sources import stopwords as SW
 from termweave.sources.stopwords import spark_default
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,16 +58,17 @@ def docs(spark, sf_dir) -> DataFrame:
     return doc_sets(spark, sf_dir).docs
 
 
-def doc_tokens(spark, sf_dir) -> DataFrame:
-    """Clean tokens per document, partitioned by document (no roles needed)."""
-    return TM.doc_tokens(DS.read_documents(spark, sf_dir), stop())
+def doc_tokens(spark, sf_dir, by_doc=True) -> DataFrame:
+    """Clean tokens per document (no roles needed), partitioned by document when
+    counts per document follow."""
+    return TM.doc_tokens(DS.read_documents(spark, sf_dir), stop(), by_doc=by_doc)
 
 
 def set_terms(spark, sf_dir, ns=(1, 2, 3)):
     """Role-tagged exploded terms over document-partitioned tokens (the
     per-document counts of the set aggregates then need no exchange)."""
     s = doc_sets(spark, sf_dir)
-    toks = TM.doc_tokens(s.docs, stop(), keep=("role",))
+    toks = TM.doc_tokens(s.docs, stop(), keep=("role",), by_doc=False)
     return s, TM.terms(toks, ns, keep=("role",))
 
 
@@ -86,7 +89,7 @@ def q_clean_text(spark, sf_dir):
           "select doc_id, cast(len(tokens) as bigint) as n_tokens, "
           "array_to_string(tokens, ' ') as tokens from toks")
 def q_tokens(spark, sf_dir):
-    t = doc_tokens(spark, sf_dir)
+    t = doc_tokens(spark, sf_dir, by_doc=False)
     return t.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"),
                     F.array_join("tokens", " ").alias("tokens"))
 
@@ -96,7 +99,7 @@ def _ngrams_query(n):
            "select doc_id, n, pos, term from terms")
 
     def q(spark, sf_dir):
-        return TM.terms(doc_tokens(spark, sf_dir), (n,)).select("doc_id", "n", "pos", "term")
+        return TM.terms(doc_tokens(spark, sf_dir, by_doc=False), (n,)).select("doc_id", "n", "pos", "term")
     register(f"ngrams_{n}", sql)(q)
 
 
@@ -159,7 +162,7 @@ for _n in (1, 2, 3):
 
 
 @register("density", O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte((1,)), O.TF_CTE) +
-          "select set_id, doc_id, term, round(d, 6) as density, round_even(d, 2) as density_2, rank "
+          "select set_id, doc_id, term, round(d, 6) as density, round_even(d * 100, 0) / 100 as density_2, rank "
           "from (select set_id, doc_id, term, frequency * 100.0 / sum(frequency) over "
           "(partition by set_id, doc_id) as d, cast(row_number() over (partition by set_id, doc_id "
           f"order by frequency desc, first_pos) as integer) as rank from tf) where rank <= {TOP_N}")
@@ -167,13 +170,13 @@ def q_density(spark, sf_dir):
     tf = TM.term_frequency(doc_tokens(spark, sf_dir), (1,))
     d = TM.density(tf, TOP_N)
     return d.select("set_id", "doc_id", "term", r6("density").alias("density"),
-                    F.bround("density", 2).alias("density_2"), "rank")
+                    RP.rounded(F.col("density"), 2).alias("density_2"), "rank")
 
 
 @register("token_counts", O.with_ctes(O.DOCS_CTE, O.tokens_cte()) +
           "select set_id, doc_id, cast(len(tokens) as bigint) as tokens from toks")
 def q_token_counts(spark, sf_dir):
-    return TM.token_counts(doc_tokens(spark, sf_dir)).select("set_id", "doc_id", "tokens")
+    return TM.token_counts(doc_tokens(spark, sf_dir, by_doc=False)).select("set_id", "doc_id", "tokens")
 
 
 # ---------------------------------------------------------------- V: TF-IDF
@@ -199,7 +202,7 @@ def q_vocabulary(spark, sf_dir):
 def q_idf(spark, sf_dir):
     s = doc_sets(spark, sf_dir)
     v = TF.vocabulary(TF.raw_term_counts(s.docs, 1), 200)
-    t = TF.idf(v, TF.doc_counts(s.docs), s)
+    t = TF.idf(v, TF.doc_counts(s.docs))
     return t.select("set_id", "term", "df", "n_docs", r6("idf").alias("idf"))
 
 
@@ -269,11 +272,6 @@ def q_tfidf_gap(spark, sf_dir):
 
 # ---------------------------------------------------------------- C / D: sets
 
-def _tf_roles(spark, sf_dir, ns=(1, 2, 3)):
-    s = doc_sets(spark, sf_dir)
-    return s, TM.term_frequency(TM.doc_tokens(s.docs, stop(), keep=("role",)), ns, keep=("role",))
-
-
 @register("competitor_bag", O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte()) +
           "select set_id, n, count(*) as terms, count(distinct term) as distinct_terms "
           "from terms where role = 'competitor' group by set_id, n")
@@ -442,7 +440,10 @@ def q_page_title_h1(spark, sf_dir):
     return CT.page_summary(c).select("page_id", "url", "title", "h1", "h2_count")
 
 
-@register("page_content")
+@register("page_content", O.with_ctes(*O.page_text_ctes()) +
+          "select page_id, url, title, '' as meta_description, h1, '' as h2, '' as h3, '' as h4, "
+          "'' as h5, '' as h6, body_text, '' as images_alt, all_text, "
+          "cast(length(all_text) as integer) as text_length, error from pt")
 def q_page_content(spark, sf_dir):
     c = PG.content_with_status(PG.read_pages(spark, sf_dir))
     return c.select("page_id", "url", "title", "meta_description",
@@ -451,10 +452,12 @@ def q_page_content(spark, sf_dir):
                     "all_text", "text_length", "error")
 
 
-@register("empty_pages")
+@register("empty_pages", O.with_ctes(*O.page_text_ctes()) +
+          "select page_id, url, error, all_text = '' as empty from pt")
 def q_empty_pages(spark, sf_dir):
     c = PG.content_with_status(PG.read_pages(spark, sf_dir))
-    return CT.empty_content(c).select("page_id", "url", "error")
+    sides = [f(c).withColumn("empty", F.lit(e)) for f, e in ((CT.empty_content, True), (CT.nonempty_content, False))]
+    return sides[0].unionByName(sides[1]).select("page_id", "url", "error", "empty")
 
 
 # ---------------------------------------------------------------- R: chart tables
@@ -480,7 +483,7 @@ def q_bar_table(spark, sf_dir):
 @register("density_bars", _TOP_UNI +
           "select set_id, doc_id, term, round(density, 6) as density, rank, cast(row_number() over "
           "(partition by set_id, doc_id order by density, rank desc) as integer) as bar_order, "
-          "cast(round_even(density, 2) as varchar) || '%' as label from dens where rank <= 20")
+          "cast(round_even(density * 100, 0) / 100 as varchar) || '%' as label from dens where rank <= 20")
 def q_density_bars(spark, sf_dir):
     tf = TM.term_frequency(doc_tokens(spark, sf_dir), (1,))
     b = RP.density_bars(TM.density(tf, 20))
@@ -520,7 +523,7 @@ from dws join chosen on dws.set_id = chosen.set_id
 left join sc on sc.set_id = dws.set_id and sc.doc_id = dws.doc_id and sc.term = chosen.term""")
 def q_comparison_matrix(spark, sf_dir):
     s = doc_sets(spark, sf_dir)
-    m = RP.comparison_matrix(TF.analyze_ngrams(s, (1, 1), TOP_N), s, 15)
+    m = RP.comparison_matrix(TF.analyze_ngrams(s, (1, 1), TOP_N), 15)
     return m.withColumn("value", r6("value"))
 
 
@@ -547,7 +550,7 @@ select set_id, metric, label from (
   select m.set_id, 'documents' as metric, cast(documents as varchar) as label from m
   union all select set_id, 'target_words', cast(target_words as varchar) from m
   union all select set_id, 'competitor_words', cast(competitor_words as varchar) from m
-  union all select set_id, 'coverage_percentage', printf('%.2f', round_even(c, 2)) from c1)""")
+  union all select set_id, 'coverage_percentage', printf('%.2f', c) from c1)""")
 def q_metric_labels(spark, sf_dir):
     s = doc_sets(spark, sf_dir)
     toks = TM.doc_tokens(s.docs, stop(), keep=("role",), by_doc=False)
@@ -557,40 +560,167 @@ def q_metric_labels(spark, sf_dir):
     return RP.metric_labels(metrics.join(cov, "set_id"))
 
 
-# ---------------------------------------------------------------- page flows (rows-only:
-# the page text comes from the markup parser, which SQL cannot reproduce)
+# ---------------------------------------------------------------- page flows
 
 def _page_sets(spark, sf_dir):
-    from termweave.plans import flows as FL
-
     pages = PG.read_pages(spark, sf_dir)
     return FL.comparison_documents(FL.page_entries(pages), FL.loaded_content(pages))
 
 
-@register("page_top_terms")
-def q_page_top_terms(spark, sf_dir):
-    from termweave.plans import flows as FL
+def _page_sql(docs_cte, *ctes):
+    return O.with_ctes(*O.page_text_ctes(), docs_cte, *ctes)
 
+
+@register("page_top_terms", _page_sql(O.PAGE_DOCS_CTE, O.tokens_cte(), O.terms_cte(), O.TF_CTE) +
+          "select set_id, doc_id, n, term, frequency, round(d, 6) as density, rank from (select *, "
+          "frequency * 100.0 / sum(frequency) over (partition by set_id, doc_id, n) as d, "
+          "cast(row_number() over (partition by set_id, doc_id, n order by frequency desc, first_pos) "
+          f"as integer) as rank from tf) where rank <= {TOP_N}")
+def q_page_top_terms(spark, sf_dir):
     r = FL.single_page_report(PG.read_pages(spark, sf_dir), stop(), (1, 2, 3), TOP_N)
     return r.select("set_id", "doc_id", "n", "term", "frequency", r6("density").alias("density"), "rank")
 
 
-@register("page_set_metrics")
+@register("page_set_metrics", _page_sql(O.HOST_DOCS_CTE, O.tokens_cte()) +
+          ", loaded as (select set_id, count(distinct url) as documents from pt where error is null group by set_id) "
+          "select toks.set_id, documents, "
+          "cast(coalesce(sum(len(tokens)) filter (where role = 'target'), 0) as bigint) as target_words, "
+          "cast(coalesce(sum(len(tokens)) filter (where role = 'competitor'), 0) as bigint) as competitor_words "
+          "from toks join loaded on toks.set_id = loaded.set_id group by toks.set_id, documents")
 def q_page_set_metrics(spark, sf_dir):
-    from termweave.plans import flows as FL
-
     return FL.comparison_metrics(_page_sets(spark, sf_dir), stop())
 
 
-@register("page_gap_terms")
+@register("page_gap_terms", _page_sql(O.HOST_DOCS_CTE, O.tokens_cte(), O.terms_cte(), O.TF_CTE, O.STATS_CTE) +
+          O.gap_sql(50))
 def q_page_gap_terms(spark, sf_dir):
-    from termweave.plans import flows as FL
-
     return FL.comparison_gaps(_page_sets(spark, sf_dir), stop(), (1, 2, 3), 50)
 
 
-@register("page_tfidf_ngrams")
-def q_page_tfidf_ngrams(spark, sf_dir):
-    s = _page_sets(spark, sf_dir)
-    t = TF.ranked(TF.analyze_ngrams(s, (1, 1), TOP_N), TOP_N)
-    return t.select("set_id", "doc_id", "term", r6("tfidf_score").alias("tfidf_score"), "rank")
+@register("page_densities", _page_sql(O.HOST_DOCS_CTE, O.tokens_cte(), O.terms_cte((1,)), O.TF_CTE) +
+          "select set_id, doc_id, term, round(d, 6) as density, rank from (select *, "
+          "frequency * 100.0 / sum(frequency) over (partition by set_id, doc_id) as d, "
+          "cast(row_number() over (partition by set_id, doc_id order by frequency desc, first_pos) "
+          f"as integer) as rank from tf) where rank <= {TOP_N}")
+def q_page_densities(spark, sf_dir):
+    """one density table for each distinct URL of a set."""
+    docs_ = FL.distinct_url_docs(_page_sets(spark, sf_dir))
+    d = TM.density(TM.term_frequency(TM.doc_tokens(docs_, stop()), (1,)), TOP_N)
+    return d.select("set_id", "doc_id", "term", r6("density").alias("density"), "rank")
+
+
+def _page_tfidf(n):
+    sql = (_page_sql(O.HOST_DOCS_CTE, *O.tfidf_ctes(2, (n, n), TOP_N)) +
+           "select * from (select set_id, doc_id, term, round(round(tfidf_score, 9), 6) as tfidf_score, "
+           "cast(row_number() over (partition by set_id, doc_id order by round(tfidf_score, 9) desc, term) "
+           f"as integer) as rank from sc) where rank <= {TOP_N}")
+
+    def q(spark, sf_dir):
+        t = TF.analyze_ngrams(_page_sets(spark, sf_dir), (n, n), TOP_N)
+        # scores that are equal but for the order of addition must tie on both sides
+        t = TF.ranked(t.withColumn("tfidf_score", F.round("tfidf_score", 9)), TOP_N)
+        return t.select("set_id", "doc_id", "term", r6("tfidf_score").alias("tfidf_score"), "rank")
+    register("page_tfidf_ngrams" if n == 1 else f"page_tfidf_ngrams_{n}", sql)(q)
+
+
+for _n in (1, 2, 3):
+    _page_tfidf(_n)
+
+
+# ---------------------------------------------------------------- rest of the partial operators
+
+@register("table_stopword_tokens", O.with_ctes(O.DOCS_CTE, "sw as (select distinct lower(" + O.strip_sql("w") +
+          ") as w from (select unnest(string_split(text, ' ')) as w from benchmark) where " + O.strip_sql("w") +
+          " <> '')", "al as (select doc_id, unnest(g) as x, generate_subscripts(g, 1) as i from (select doc_id, " +
+          O.tokens_sql("text", stop=False) + " as g from docs))") +
+          "select docs.doc_id, coalesce(t.tokens, '') as tokens from docs left join (select doc_id, "
+          "string_agg(x, ' ' order by i) as tokens from al where x not in (select w from sw) group by doc_id) t "
+          "on docs.doc_id = t.doc_id")
+def q_table_stopword_tokens(spark, sf_dir):
+    """S7/T10 with a stopword table of any length (here the words of ``benchmark``)."""
+    lines = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.split("text", " ")).alias("value"))
+    t = TM.doc_tokens(DS.read_documents(spark, sf_dir), SW.stopwords_table(spark, lines=lines))
+    return t.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@register("comparison_report", COVERAGE_SQL + ", gaps as (" + O.gap_sql(100) + "), gl as (select set_id, n, "
+          "string_agg(term || '=' || frequency, '|' order by rank) as gap_terms from gaps group by set_id, n) "
+          "select cov.set_id, cov.n, common_terms_count, round(case when total_competitor_unique_terms > 0 "
+          "then common_terms_count * 100.0 / total_competitor_unique_terms else 0 end, 6) "
+          "as coverage_percentage, total_competitor_unique_terms, total_target_terms, "
+          "coalesce(gap_terms, '') as gap_terms from cov left join gl on cov.set_id = gl.set_id and cov.n = gl.n "
+          "where total_competitor_unique_terms + total_target_terms > 0")
+def q_comparison_report(spark, sf_dir):
+    """C6 with its list of the 100 most frequent gap terms."""
+    _, t = set_terms(spark, sf_dir)
+    c = CM.comparison_report(CM.term_stats(t))
+    pairs = F.transform("gap_terms", lambda g: F.concat(g["term"], F.lit("="), g["frequency"].cast("string")))
+    return c.withColumn("coverage_percentage", r6("coverage_percentage")).withColumn(
+        "gap_terms", F.array_join(pairs, "|"))
+
+
+@register("given_names", O.with_ctes(O.DOCS_CTE) +
+          "select set_id, name, max(doc_id) as doc_id from (select docs.set_id, docs.doc_id, d.lang as name "
+          "from docs join documents d on docs.doc_id = d.doc_id where docs.ord < 40) group by set_id, name")
+def q_given_names(spark, sf_dir):
+    """D2 with given names (here the language), 40 for each set: documents beyond
+    them are cut off and equal names collapse."""
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("source").alias("set_id"), "doc_id", F.col("lang").alias("name"))
+    ordered = DS.with_ordinal(raw)
+    names = ordered.filter(F.col("ord") < 40).select("set_id", "ord", "name")
+    return CM.given_names(ordered.drop("name"), names).select("set_id", "name", "doc_id")
+
+
+@register("language_labels", "with e as (select source as set_id, lang, row_number() over (partition by source "
+          "order by doc_id) - 1 as ord from documents) select set_id, lang, case when min(ord) = 0 then 'target' "
+          "else 'Competitor ' || min(ord) end as label from e group by set_id, lang")
+def q_language_labels(spark, sf_dir):
+    """D4 over a key that repeats inside a set."""
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("set_id"), "doc_id", "lang")
+    return CM.entry_labels(DS.with_ordinal(raw), key="lang").select("set_id", "lang", "label")
+
+
+def _term_weights_query(n):
+    sql = (O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte((n,)), O.TF_CTE) +
+           "select set_id, doc_id, term, frequency, rank, round(frequency * 1.0 / max(frequency) over "
+           "(partition by set_id, doc_id), 6) as weight from (select set_id, doc_id, term, frequency, "
+           "cast(row_number() over (partition by set_id, doc_id order by frequency desc, first_pos) as integer) "
+           "as rank from tf) where rank <= 100")
+
+    def q(spark, sf_dir):
+        w = TM.term_weights(TM.term_frequency(doc_tokens(spark, sf_dir), (n,)), 100, 100)
+        return w.select("set_id", "doc_id", "term", "frequency", "rank", r6("weight").alias("weight"))
+    register(f"term_weights_{n}", sql)(q)
+
+
+for _n in (2, 3):
+    _term_weights_query(_n)
+
+
+@register("top_scores", O.with_ctes(O.DOCS_CTE, *O.tfidf_ctes(2, (1, 1), None)) +
+          ", s as (select *, frequency * 1.0 / sum(frequency) over (partition by set_id, doc_id) as score from "
+          "(select set_id, doc_id, term, tf as frequency, row_number() over (partition by set_id, doc_id "
+          "order by tf desc, term) as r from rtf) where r <= 100) select * from (select set_id, doc_id, term, "
+          "round(score, 6) as score, cast(row_number() over (partition by set_id, doc_id order by score desc, term) "
+          "as integer) as rank from s) where rank <= 20")
+def q_top_scores(spark, sf_dir):
+    """V11 over a table with a ``score`` column."""
+    t = TF.ranked(TF.analyze_single_document(docs(spark, sf_dir), 100).drop("rank"), 20)
+    return t.select("set_id", "doc_id", "term", r6("score").alias("score"), "rank")
+
+
+@register("tfidf_gap_bars", O.with_ctes(O.DOCS_CTE, *O.tfidf_ctes(1, (1, 1), 200)) +
+          ", g as (" + "select c.set_id, c.term, round(avg(c.tfidf_score), 9) as v from sc c "
+          "where c.role = 'competitor' and not exists (select 1 from sc t where t.role = 'target' "
+          "and t.set_id = c.set_id and t.term = c.term) and exists (select 1 from docs d where "
+          "d.role = 'target' and d.set_id = c.set_id and " + O.nonblank_sql("d.text") + ") "
+          "group by c.set_id, c.term), r as (select *, cast(row_number() over (partition by set_id order by v desc, "
+          "term) as integer) as rank from g) select set_id, term, round(v, 6) as avg_tfidf_score, rank, "
+          "cast(row_number() over (partition by set_id order by v, rank desc) as integer) as bar_order, "
+          "round_even(v * 10000, 0) / 10000 as label from r where rank <= 20")
+def q_tfidf_gap_bars(spark, sf_dir):
+    """R4 over TF-IDF gap scores."""
+    g = TF.tfidf_gap(doc_sets(spark, sf_dir), 200).withColumn("avg_tfidf_score", F.round("avg_tfidf_score", 9))
+    b = RP.gap_bars(g, keys=("set_id",))
+    return b.select("set_id", "term", r6("avg_tfidf_score").alias("avg_tfidf_score"), "rank", "bar_order", "label")

@@ -40,34 +40,20 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local tests) create a scratch folder under the system temp dir."""
+    """Use the cluster's ``spark.checkpoint.dir``; where it is unset, a folder in
+    the session's warehouse, which driver and executors share."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running")
-    local = tempfile.mkdtemp(prefix="termweave-ckpt-")
-    sc.setCheckpointDir(local)
-    return local
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's checkpoint folder (survives
-    executor loss, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "/".join(
+        [spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), "_checkpoints", sc.applicationId])
+    sc.setCheckpointDir(folder)
+    return folder
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -86,25 +72,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(want, *keys) if keys else df.repartition(want)
 
 
-_SHIPPED: set[int] = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``termweave`` importable in the Python workers (what ``--py-files``
     does): zip the package once and add it to the session's Python files.
-    Needed by the one Python UDF; a no-op after the first call."""
+    Needed by operators that run Python; a no-op after a session's first call."""
     import shutil
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if getattr(sc, "_termweave_shipped", False):
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = tempfile.mkdtemp(prefix="termweave-pyfiles-")
     archive = shutil.make_archive(os.path.join(out, "termweave"), "zip",
                                   root_dir=os.path.dirname(pkg), base_dir=os.path.basename(pkg))
     sc.addPyFile(archive)
-    _SHIPPED.add(id(sc))
-
-
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)
+    sc._termweave_shipped = True

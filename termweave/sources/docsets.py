@@ -6,18 +6,14 @@ its set in input order (smallest ``doc_id`` here, ``ord = 0``).
 
 Scale notes
 -----------
-* The role comes from a per-set ``min(doc_id)`` table joined back to the
-  documents.  That table has one row per set; it is broadcast only after its
-  row count is checked (``broadcast_if_small``), otherwise a shuffle join is
-  used.  No window is taken over a whole set, so a set holding a third of all
-  documents never lands in one task.
-* ``max_competitors`` keeps the first ``k`` competitors per set with a
-  ``row_number <= k + 1`` filter, which Spark runs as a partial
-  ``WindowGroupLimit`` before the shuffle (at most ``k + 1`` rows per set and
-  partition travel).
-* ``with_ordinal`` numbers the documents of a set exactly (0 = target)
-  without a per-set window: range partitioning splits a hot set over many
-  partitions, then per-partition offsets are added.
+* The role comes from a per-set ``min(doc_id)`` joined back on the document key
+  ``(set_id, doc_id)``.  That key is unique, so a set holding a third of all
+  documents is spread like any other, and the join leaves the documents
+  partitioned as the per-document operators need them.
+* ``with_ordinal`` numbers the documents of a set exactly (0 = target) from
+  counts per slice of the order column; no window is taken over a whole set.
+* Nothing is counted, collected or broadcast while a plan is built; adaptive
+  execution picks broadcast joins from measured bytes.
 """
 
 from __future__ import annotations
@@ -28,39 +24,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions.text import is_blank
-from termweave.session import cut_lineage, spread
+from termweave.session import spread
 
-MAX_BROADCAST_ROWS = 2_000_000
+# Width (as a power of two) of the slices in which ``with_ordinal`` ranks rows.
+SLICE_BITS = 14
 
 
 @dataclass
 class DocSets:
-    """``docs (set_id, doc_id, role, text)`` plus the counted number of sets.
-
-    ``n_sets`` bounds every per-set table (``n_sets * k`` rows for a per-set
-    top-k), so those can be broadcast without counting them again.
-    """
+    """``docs (set_id, doc_id, role, text)``, one row per document."""
 
     docs: DataFrame
-    n_sets: int
-
-    def small(self, df: DataFrame, rows_per_set: int = 1) -> DataFrame:
-        """Broadcast ``df`` when ``n_sets * rows_per_set`` is within the bound."""
-        return bounded_broadcast(df, self.n_sets * rows_per_set)
-
-
-def bounded_broadcast(df: DataFrame, bound_rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only for a side whose proven row bound is within ``max_rows``;
-    otherwise leave the choice to the planner / AQE (shuffle join)."""
-    return F.broadcast(df) if bound_rows <= max_rows else df
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, int]:
-    """Persist and count ``df``; broadcast it only when it has at most
-    ``max_rows`` rows (else a shuffle join is planned).  Returns the count too."""
-    df = df.persist()
-    n = df.count()
-    return (F.broadcast(df) if n <= max_rows else df), n
 
 
 def read_documents(spark, sf_dir: str, set_col: str = "source") -> DataFrame:
@@ -73,29 +47,21 @@ def read_documents(spark, sf_dir: str, set_col: str = "source") -> DataFrame:
     return spread(df, "set_id", "doc_id")
 
 
-def keep_first(docs: DataFrame, k: int) -> DataFrame:
-    """Keep the target and the first ``k`` competitors of each set."""
-    w = Window.partitionBy("set_id").orderBy("doc_id")
-    return docs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k + 1).drop("_rn")
-
-
 def targets(docs: DataFrame) -> DataFrame:
     """One row per set: ``(set_id, target_id)``; partial aggregation first."""
     return docs.groupBy("set_id").agg(F.min("doc_id").alias("target_id"))
 
 
-def with_roles(docs: DataFrame, max_competitors: int | None = None) -> DocSets:
+def with_roles(docs: DataFrame) -> DocSets:
     """Add ``role`` ('target' | 'competitor').
 
     ``docs`` needs ``set_id, doc_id``; other columns are passed through.
     """
-    if max_competitors is not None:
-        docs = keep_first(docs, max_competitors)
-    t, n_sets = broadcast_if_small(targets(docs.select("set_id", "doc_id")))
-    out = docs.join(t, "set_id").withColumn(
-        "role", F.when(F.col("doc_id") == F.col("target_id"), F.lit("target"))
-        .otherwise(F.lit("competitor"))).drop("target_id")
-    return DocSets(out, n_sets)
+    first = targets(docs.select("set_id", "doc_id")).select(
+        "set_id", F.col("target_id").alias("doc_id"), F.lit("target").alias("_t"))
+    out = docs.join(first, ["set_id", "doc_id"], "left").withColumn(
+        "role", F.coalesce("_t", F.lit("competitor"))).drop("_t")
+    return DocSets(out.filter(F.col("set_id").isNotNull()))
 
 
 def nonblank(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -105,26 +71,18 @@ def nonblank(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def with_ordinal(df: DataFrame, group: str = "set_id", order: str = "doc_id",
                  name: str = "ord") -> DataFrame:
-    """Exact 0-based rank of ``order`` inside ``group`` (``order`` unique per
-    group), computed without gathering a group into one task.
-
-    1. the narrow keys are range-partitioned on ``(group, order)`` and sorted,
-       so a hot group is cut into consecutive slices;
-    2. each row gets its position id; the keys are checkpointed so ids stay
-       fixed;
-    3. per (partition, group) block: first id and size (tiny table), and the
-       running total of earlier blocks of the same group;
-    4. rank = id - first id of the block + rows of the group in earlier blocks.
+    """Exact 0-based rank of ``order`` (an integer column, unique per group) inside
+    ``group``, without gathering a group into one task.
+
+    The order column is cut into slices of ``2 ** SLICE_BITS`` values, so a slice
+    of a group never holds more rows than that.  A row's rank is its number inside
+    the slice plus the rows of the group in earlier slices.
     """
-    keys = (df.select(group, order).repartitionByRange(group, order)
-            .sortWithinPartitions(group, order)
-            .withColumn("_pid", F.spark_partition_id())
-            .withColumn("_mid", F.monotonically_increasing_id()))
-    keys = cut_lineage(keys)
-    blocks = keys.groupBy("_pid", group).agg(F.min("_mid").alias("_first"),
-                                            F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    ranks = keys.join(blocks.select("_pid", group, "_first", "_off"), ["_pid", group]).select(
-        group, order, (F.col("_mid") - F.col("_first") + F.col("_off")).cast("int").alias(name))
-    return df.join(ranks, [group, order])
+    sliced = df.filter(F.col(group).isNotNull() & F.col(order).isNotNull()).withColumn(
+        "_slice", F.shiftright(F.col(order).cast("bigint"), SLICE_BITS))
+    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (sliced.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    inside = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(order)) - 1
+    return (sliced.withColumn("_in", inside).join(offsets, [group, "_slice"])
+            .withColumn(name, (F.col("_in") + F.col("_off")).cast("int")).drop("_slice", "_in", "_off"))

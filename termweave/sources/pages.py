@@ -56,10 +56,10 @@ def fetch_status(pages: DataFrame) -> DataFrame:
 
 
 def dedupe_by_url(pages: DataFrame) -> DataFrame:
-    """One row per URL (the smallest ``page_id`` wins; partial aggregation,
-    so a URL repeated very often is combined before the shuffle)."""
-    return pages.groupBy("url").agg(F.min("page_id").alias("page_id"),
-                                    F.min_by("html", "page_id").alias("html"))
+    """One row per URL (the smallest ``page_id`` wins).  Only ids and URLs are
+    aggregated; the markup is picked by the unique ``page_id``."""
+    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id")).select("page_id")
+    return pages.join(first, "page_id", "left_semi").select("url", "page_id", "html")
 
 
 def input_ok(entries: DataFrame) -> DataFrame:
@@ -82,11 +82,9 @@ def comparable_sets(loaded: DataFrame, min_pages: int = 2) -> DataFrame:
 
 
 def content_with_status(pages: DataFrame, sep: str = "") -> DataFrame:
-    """S4 + P1-P9: content rows for readable pages, error rows (``all_text =
-    ''``) for the others."""
-    st = fetch_status(pages)
-    good = C.page_content(st.filter(F.col("error").isNull()), keep=("page_id", "url"), sep=sep)
-    good = good.withColumn("error", F.lit(None).cast("string"))
-    bad = st.filter(F.col("error").isNotNull()).select("page_id", "url", "error")
-    bad = bad.withColumn("all_text", F.lit(""))
-    return good.unionByName(bad, allowMissingColumns=True)
+    """S4 + P1-P9 in one pass: content rows for readable pages; the others have
+    ``error``, ``all_text = ''`` and no content."""
+    status = fetch_status(pages)
+    readable = status.withColumn("html", F.when(F.col("error").isNull(), F.col("html")))
+    out = C.page_content(readable, keep=("page_id", "url", "error"), sep=sep)
+    return out.withColumn("all_text", F.coalesce("all_text", F.lit("")))

@@ -1,9 +1,9 @@
 """Stopword sources.
 
-A stopword list is configuration, not data: it is small and bounded, so it is
-used as a literal set (``InSet`` inside the token filter).  Loading from a file
-goes through Spark (any Hadoop-readable path) and is size-checked before it is
-brought to the driver.
+The caller's type decides how a list is applied: Python words become a literal
+set (``InSet`` inside the token filter); a table of words, of any length, is
+anti-joined (``operators.terms.doc_tokens``).  Files are read through Spark, from
+any path it can read, and stay a table.
 """
 
 from __future__ import annotations
@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 
 from termweave.functions.text import strip_ws
 
-MAX_STOPWORDS = 100_000
-
-
 @functools.lru_cache(maxsize=None)
 def spark_default(language: str = "french") -> tuple[str, ...]:
     """Spark's bundled stopword list for ``language`` (same words as
@@ -47,33 +44,24 @@ def normalise(lines) -> tuple[str, ...]:
 
 
 def stopwords_table(spark: SparkSession, path: str | None = None,
-                    language: str = "french") -> DataFrame:
+                    language: str = "french", lines: DataFrame | None = None) -> DataFrame:
     """S7/S8 as a one-column table ``word``.
 
-    With a path: one word per line, stripped, lower-cased, blanks dropped,
-    distinct.  When the path is missing, unreadable or yields no word, the
-    default list is used instead (S8).
+    From a file, or a table of ``lines`` (column ``value``): one word per line,
+    stripped, lower-cased, blanks dropped, distinct.  When there is neither, the
+    path cannot be read or no word is found, the default list is used (S8).
     """
     default = spark.createDataFrame([(w,) for w in spark_default(language)], "word string")
-    if not path:
-        return default
-    try:
-        raw = spark.read.text(path)
-    except Exception:  # missing or unreadable path -> fallback
-        return default
-    words = (raw.select(F.lower(strip_ws(F.col("value"))).alias("word"))
+    if lines is None:
+        if not path:
+            return default
+        try:
+            lines = spark.read.text(path)
+        except Exception:  # missing or unreadable path -> fallback
+            return default
+    words = (lines.select(F.lower(strip_ws(F.col("value"))).alias("word"))
              .filter(F.col("word") != "").distinct())
-    # fallback rows only when the file gave none (lazy, no driver round trip)
-    fallback = default.join(words.limit(1), how="left_anti", on=F.lit(True))
+    # default words only when the source gave none: a join on one constant key
+    found = words.limit(1).select(F.lit(1).alias("_k"))
+    fallback = default.withColumn("_k", F.lit(1)).join(found, "_k", "left_anti").select("word")
     return words.unionByName(fallback)
-
-
-def load_stopwords(spark: SparkSession, path: str | None = None,
-                   language: str = "french") -> tuple[str, ...]:
-    """The stopword set as a Python tuple for the token filter (size-checked)."""
-    if not path:
-        return spark_default(language)
-    rows = stopwords_table(spark, path, language).limit(MAX_STOPWORDS + 1).collect()
-    if len(rows) > MAX_STOPWORDS:
-        raise ValueError(f"stopword list larger than {MAX_STOPWORDS} words")
-    return normalise(r.word for r in rows)
