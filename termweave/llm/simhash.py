@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.llm import repeats as R
-from termweave.llm.common import checkpoint, map_texts, release
+from termweave.llm.common import checkpoint, map_texts, release, shuffle_partitions
 
 U = np.uint64
 SEED = 42
@@ -113,8 +113,9 @@ def links(fingerprints: DataFrame, max_bits: int = 3) -> DataFrame:
                                                   "payload": pa.array([part.tobytes()], pa.binary())})
                 number += 1
 
-    blocks = checkpoint(fingerprints.select("fingerprint").mapInArrow(
-        pack, "block long, n long, payload binary"))
+    spread = fingerprints.select("fingerprint").repartition(
+        shuffle_partitions(fingerprints.sparkSession), "fingerprint")
+    blocks = checkpoint(spread.mapInArrow(pack, "block long, n long, payload binary"))
     n = blocks.agg(F.sum("n")).first()[0] or 0
     flips, _ = _flips(max_bits)
     bits = R.bucket_bits(n * (len(flips[0]) + len(flips[1])) // 2)
