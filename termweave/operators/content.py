@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from termweave.functions import markup
 from termweave.functions.text import strip_ws
 
+# Fixed value (must equal the reference's): what the summary shows without an h1.
+NO_HEADING = "Aucun"
+
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
@@ -109,7 +112,7 @@ def page_content(pages: DataFrame, html_col: str = "html", keep=("page_id", "url
     return out.select(*keep, *[F.when(~F.col("_null"), F.col(c)).alias(c) for c in content])
 
 
-def page_summary(content: DataFrame, none_label: str = "Aucun", keep=("page_id", "url")) -> DataFrame:
+def page_summary(content: DataFrame, none_label: str = NO_HEADING, keep=("page_id", "url")) -> DataFrame:
     """P10: title, h1 joined with ', ' (or ``none_label``), description,
     number of h2, text length."""
     h1 = F.when(F.size("h1") > 0, F.array_join("h1", ", ")).otherwise(F.lit(none_label))

@@ -34,6 +34,13 @@ DOC_KEYS = TM.DOC_KEYS
 SALTS = 16
 
 
+def raw_ngram_counts(docs: DataFrame, min_chars: int, ns=(1, 2, 3), keep=("role",)) -> DataFrame:
+    """Counts per (document, n, term) for several n in one pass over the texts:
+    ``(set_id, doc_id, *keep, n, term, tf)``."""
+    each = TM.terms(TM.raw_word_tokens(nonblank(docs), min_chars, keep=keep), ns, keep)
+    return each.groupBy(*DOC_KEYS, *keep, "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def raw_term_counts(docs: DataFrame, min_chars: int, ngram_range: tuple[int, int] = (1, 1),
                     keep=("role",)) -> DataFrame:
     """Counts per (document, term) over the TF-IDF token stream of non-blank
@@ -54,12 +61,13 @@ def doc_counts(docs: DataFrame) -> DataFrame:
     return nonblank(docs).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def vocabulary(tf: DataFrame, max_features: int | None) -> DataFrame:
-    """V1 (+ document frequency of V2): ``(set_id, term, total, df, rank)`` for
-    the ``max_features`` terms with the largest total count per set."""
-    totals = tf.groupBy("set_id", "term").agg(F.sum("tf").alias("total"),
-                                               F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("set_id").orderBy(F.desc("total"), F.asc("term"))
+def vocabulary(tf: DataFrame, max_features: int | None, by=("set_id",)) -> DataFrame:
+    """V1 (+ document frequency of V2): ``(*by, term, total, df, rank)`` for the
+    ``max_features`` terms with the largest total count per ``by`` (the set, or
+    set and n)."""
+    totals = tf.groupBy(*by, "term").agg(F.sum("tf").alias("total"),
+                                         F.count(F.lit(1)).alias("df"))
+    w = Window.partitionBy(*by).orderBy(F.desc("total"), F.asc("term"))
     ranked = totals.withColumn("rank", F.row_number().over(w))
     return ranked.filter(F.col("rank") <= max_features) if max_features else ranked
 
@@ -70,15 +78,16 @@ def idf(vocab: DataFrame, n_docs: DataFrame) -> DataFrame:
     return v.withColumn("idf", F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0)
 
 
-def weights(tf: DataFrame, idf_table: DataFrame, keep=("role",)) -> DataFrame:
+def weights(tf: DataFrame, idf_table: DataFrame, keep=("role",), by=("set_id",)) -> DataFrame:
     """V4 + V5: ``weight = tf * idf`` and the L2-normalised ``tfidf_score``.
     The rows of a term are dealt over ``SALTS`` keys by document."""
-    small = idf_table.select("set_id", "term", "idf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    small = idf_table.select(*by, "term", "idf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     dealt = tf.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    w = dealt.join(small, ["set_id", "term", "_salt"]).withColumn("weight", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*DOC_KEYS)))
+    w = dealt.join(small, [*by, "term", "_salt"]).withColumn("weight", F.col("tf") * F.col("idf"))
+    more = [c for c in by if c not in DOC_KEYS]
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*DOC_KEYS, *more)))
     return w.withColumn("tfidf_score", F.col("weight") / norm).select(
-        *DOC_KEYS, *keep, "term", F.col("tf").alias("frequency"), "weight", "tfidf_score")
+        *DOC_KEYS, *keep, *more, "term", F.col("tf").alias("frequency"), "weight", "tfidf_score")
 
 
 def tfidf(sets: DocSets, min_chars: int = 1, ngram_range: tuple[int, int] = (1, 1),
@@ -102,6 +111,13 @@ def analyze_ngrams(sets: DocSets, ngram_range: tuple[int, int], max_features: in
     return tfidf(sets, 2, ngram_range, max_features)
 
 
+def analyze_each_n(sets: DocSets, ns=(1, 2, 3), max_features: int = 200, keep=("role",)) -> DataFrame:
+    """V9 for each n by itself (own vocabulary and norm), in one pass:
+    ``(set_id, doc_id, *keep, n, term, frequency, weight, tfidf_score)``."""
+    tf, by = raw_ngram_counts(sets.docs, 2, ns, keep), ("set_id", "n")
+    return weights(tf, idf(vocabulary(tf, max_features, by), doc_counts(sets.docs)), keep, by)
+
+
 def ranked(scores: DataFrame, k: int | None, score_col: str | None = None,
            keys=DOC_KEYS) -> DataFrame:
     """Rank rows per document by score desc, then term; keep ``k``.

@@ -161,6 +161,16 @@ for _n in (1, 2, 3):
     _top_terms_query(_n)
 
 
+@register("top_terms", O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte(), O.TF_CTE) +
+          "select * from (select set_id, doc_id, n, term, frequency, cast(row_number() over "
+          "(partition by set_id, doc_id, n order by frequency desc, first_pos) as integer) as rank "
+          f"from tf) where rank <= {TOP_N}")
+def q_top_terms(spark, sf_dir):
+    """All n in one pass over the texts."""
+    return TM.top_terms(TM.term_frequency(doc_tokens(spark, sf_dir)), TOP_N).select(
+        "set_id", "doc_id", "n", "term", "frequency", "rank")
+
+
 @register("density", O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte((1,)), O.TF_CTE) +
           "select set_id, doc_id, term, round(d, 6) as density, round_even(d * 100, 0) / 100 as density_2, rank "
           "from (select set_id, doc_id, term, frequency * 100.0 / sum(frequency) over "
@@ -239,6 +249,22 @@ for _n in (1, 2, 3):
     _tfidf_ngrams_query(_n)
 
 
+def _each_n_sql(n):
+    top = ("select set_id, doc_id, " + str(n) + " as n, term, round(round(tfidf_score, 9), 6) as tfidf_score, rank from "
+           "(select *, cast(row_number() over (partition by set_id, doc_id order by round(tfidf_score, 9) desc, term) "
+           f"as integer) as rank from sc) where rank <= {TOP_N}")
+    return "select * from (" + O.with_ctes(O.DOCS_CTE, *O.tfidf_ctes(2, (n, n), TOP_N)) + top + ")"
+
+
+@register("tfidf_ngrams", " union all ".join(_each_n_sql(n) for n in (1, 2, 3)))
+def q_tfidf_ngrams(spark, sf_dir):
+    """V9 and V12 for all n in one pass over the texts."""
+    t = TF.analyze_each_n(doc_sets(spark, sf_dir), (1, 2, 3), TOP_N).withColumn(
+        "tfidf_score", F.round("tfidf_score", 9))
+    return TF.ranked(t, TOP_N, keys=("set_id", "doc_id", "n")).select(
+        "set_id", "doc_id", "n", "term", r6("tfidf_score").alias("tfidf_score"), "rank")
+
+
 @register("score_top_terms", O.with_ctes(O.DOCS_CTE, *O.tfidf_ctes(1, (1, 1), 200)) +
           "select * from (select set_id, doc_id, term, round(tfidf_score, 6) as tfidf_score, "
           "cast(row_number() over (partition by set_id, doc_id order by tfidf_score desc, term) "
@@ -294,6 +320,13 @@ for _n in (1, 2, 3):
     _gap_query(_n)
 
 
+@register("gap_terms", O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte(), O.TF_CTE, O.STATS_CTE) + O.gap_sql(50))
+def q_gap_terms(spark, sf_dir):
+    """All n in one pass over the texts."""
+    _, t = set_terms(spark, sf_dir)
+    return CM.gap_terms(CM.term_stats(t), 50)
+
+
 @register("common_terms", O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte(), O.TF_CTE, O.STATS_CTE) +
           "select set_id, n, term, frequency from stats where in_target and in_comp")
 def q_common_terms(spark, sf_dir):
