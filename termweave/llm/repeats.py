@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from termweave.llm.common import checkpoint, positional, ship_package, shuffle_partitions
 
 U = np.uint64
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2_000_000  # a task holds some 40 bytes for each
 KEYS_PER_BUCKET = 1 << 20
 ZSTD_LEVEL = 5  # blocks travel twice and lie in the checkpoint folder meanwhile
 
