@@ -40,7 +40,7 @@ from termweave.llm.common import checkpoint, map_texts, release, shuffle_partiti
 
 U = np.uint64
 SEED = 42
-FINGERPRINTS_PER_BLOCK = 4096
+FINGERPRINTS_PER_BLOCK = 1024  # half a million variants on average
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
