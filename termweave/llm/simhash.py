@@ -113,8 +113,9 @@ def links(fingerprints: DataFrame, max_bits: int = 3) -> DataFrame:
                                                   "payload": pa.array([part.tobytes()], pa.binary())})
                 number += 1
 
+    # by another expression than the grouping's, or the planner drops the exchange
     spread = fingerprints.select("fingerprint").repartition(
-        shuffle_partitions(fingerprints.sparkSession), "fingerprint")
+        shuffle_partitions(fingerprints.sparkSession), F.xxhash64("fingerprint"))
     blocks = checkpoint(spread.mapInArrow(pack, "block long, n long, payload binary"))
     n = blocks.agg(F.sum("n")).first()[0] or 0
     flips, _ = _flips(max_bits)
