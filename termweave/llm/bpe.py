@@ -28,10 +28,13 @@ from pyspark.sql import DataFrame
 
 from termweave.llm.common import map_texts
 
-# Distinct words a task remembers twice over (see Memory), and the prefixes it
-# remembers, of at most so many letters.
-WORD_MEMORY = 60_000
-PREFIX_LETTERS = 16
+# Stretches of text a task remembers twice over (see Memory); the prefixes and
+# token pairs it remembers, the prefixes of at most so many letters.
+WORD_MEMORY = 150_000
+SMALL_MEMORY = 300_000
+PREFIX_LETTERS = 10
+# Marks that end a word and never begin one of the pattern's contractions.
+STOPS = ".,;:!?*%$&#|)"
 SPLIT = regex.compile(r"\s+")
 
 
@@ -99,8 +102,8 @@ class Encoder:
         self.edges: tuple[dict, dict] = ({}, {})  # both bounded by the vocabulary
         self.reachable: dict[str, bool] = {}
         self.prefixes: dict[str, str] = {}  # last token of a word's beginning
-        self.words = Memory(self.word)
         self.stretches = Memory(self.stretch)
+        self.others = Memory(self.word)  # short words that are not letters
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") \
             if special else None
@@ -145,7 +148,7 @@ class Encoder:
         both stand at the border.  At equal rank the left merge comes first."""
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) >= 4 * WORD_MEMORY:
+            if len(self.pairs) >= SMALL_MEMORY:
                 self.pairs.clear()
             rank, left = self.rank, self.edge(b, 0)
             ok = True
@@ -194,7 +197,7 @@ class Encoder:
                     last[end], back[end] = token, start
                     break
             if short and last[end] is not None:
-                if len(known) >= 2 * WORD_MEMORY:
+                if len(known) >= SMALL_MEMORY:
                     known.clear()
                 known[line[:end]] = last[end]
         out, end = [], n
@@ -221,7 +224,18 @@ class Encoder:
         return chain.from_iterable(map(self.stretches.__getitem__, cut))
 
     def stretch(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.words.__getitem__, self.wide.findall(text))))
+        """Ids of a stretch without white space.  A run of letters is one word, and
+        the marks after it are another; other stretches are cut by the pattern."""
+        head = text.rstrip(STOPS)
+        if head.isalpha():
+            return self.word(text) if head == text else self.stretches[head] + self.marks(text[len(head):])
+        return tuple(chain.from_iterable(map(self.part, self.wide.findall(text))))
+
+    def part(self, word: str) -> tuple[int, ...]:
+        return self.stretches[word] if word.isalpha() else self.marks(word)
+
+    def marks(self, word: str) -> tuple[int, ...]:
+        return self.word(word) if len(word) > 8 else self.others[word]
 
 
 class Memory(dict):
@@ -243,25 +257,13 @@ class Memory(dict):
         return got
 
 
-_TASK_STATE: dict[str, Encoder] = {}
-
-
-def _encoder(name: str, vocabulary) -> Encoder:
-    """One encoder for each worker process and broadcast."""
-    if name not in _TASK_STATE:
-        _TASK_STATE.clear()
-        _TASK_STATE[name] = Encoder(vocabulary)
-    return _TASK_STATE[name]
-
-
 def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """Append the ids of every whole text as ``out`` (array<int>).  The vocabulary
     file is read by the driver and broadcast; its size is fixed by the file."""
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
-    key = f"{path}#{shared._jbroadcast.id() if shared._jbroadcast is not None else 0}"
 
     def make():
-        enc = _encoder(key, shared.value)
+        enc = Encoder(shared.value)  # for one task: an idle worker keeps nothing of it
 
         def apply(texts):
             offsets, flat = [0], []
