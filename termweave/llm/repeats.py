@@ -3,7 +3,7 @@
 The two exact deduplicators (words with suffix automata, bytes with a
 difference cover) share this frame:
 
-* ``ordered_blocks`` range-partitions the documents by id and packs them into
+* ``ordered_blocks`` range-partitions the documents by id and text and packs them into
   blocks of a few MB (compressed Arrow).  Block numbers follow the document
   order, so "starts earlier" between two blocks is a comparison of two numbers
   and no document id has to travel with a window.
@@ -35,6 +35,7 @@ U = np.uint64
 BLOCK_BYTES = 2_000_000  # a task holds some 40 bytes for each
 KEYS_PER_BUCKET = 1 << 20
 ZSTD_LEVEL = 5  # blocks travel twice and lie in the checkpoint folder meanwhile
+RANGE_CHARS = 32  # of the text in range bounds, which the driver samples
 
 KEYS_SCHEMA = "kind int, bucket int, block long, bits int, keys binary"
 BITS_SCHEMA = "kind int, bucket int, block long, other binary, earlier binary"
@@ -54,7 +55,7 @@ def open_block(payload: bytes) -> pa.Table:
 
 def ordered_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Checkpointed ``(block, n_bytes, payload)``; blocks ascend with
-    ``(id, text)``, null ids first, and rows of one id share a block."""
+    ``(id, text)``, null ids first, and equal rows share a block."""
     ship_package(df.sparkSession)
     base = positional(df)
     i, t = df.columns.index(id_col), df.columns.index(text_col)
@@ -73,26 +74,30 @@ def ordered_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             held, size, number = [], 0, number + 1
             return row
 
-        last = None
+        last = last_text = None
         for batch in batches:
-            ids = batch.column(i).to_pylist()
+            ids, texts = batch.column(i).to_pylist(), batch.column(t)
             sizes = pc.fill_null(pc.binary_length(batch.column(t)), 0).to_pylist()
             lo = 0
             for k, (row_id, n) in enumerate(zip(ids, sizes)):
-                if size + n > limit and size and row_id != last:
+                if size + n > limit and size and (row_id != last or texts[k].as_py() != (
+                        texts[k - 1].as_py() if k else last_text)):
                     if k > lo:
                         held.append(batch.slice(lo, k - lo))
                     lo = k
                     if held:
                         yield emit()
                 size, last = size + n, row_id
+            if batch.num_rows:
+                last_text = texts[batch.num_rows - 1].as_py()
             if lo < batch.num_rows:
                 held.append(batch.slice(lo))
         if held:
             yield emit()
 
     n = shuffle_partitions(df.sparkSession)
-    return checkpoint(base.repartitionByRange(n, F.col(f"c{i}").asc_nulls_first())
+    return checkpoint(base.repartitionByRange(n, F.col(f"c{i}").asc_nulls_first(),
+                                              F.substring(f"c{t}", 1, RANGE_CHARS).asc_nulls_first())
                       .sortWithinPartitions(F.col(f"c{i}").asc_nulls_first(), f"c{t}")
                       .mapInArrow(run, "block long, n_bytes long, payload binary"))
 
@@ -123,19 +128,22 @@ def bucket_bits(keys: int) -> int:
     return max(3, (max(keys, 1) // KEYS_PER_BUCKET).bit_length())
 
 
-def pack_keys(kind: int, block: int, keys: np.ndarray, bits: int, width: int) -> Iterator[tuple]:
+def pack_keys(kind: int, block: int, keys: np.ndarray, bits: int, width: int,
+              times: np.ndarray | None = None) -> Iterator[tuple]:
     """Rows of KEYS_SCHEMA for sorted distinct ``keys``.  The top ``bits`` of a
     key choose its bucket; the next ``width`` bytes travel, delta-coded by byte
-    plane.  Keys cut to fewer than 64 bits may only be used to rule out."""
+    plane.  Keys cut to fewer than 64 bits may only be used to rule out.  A last
+    plane holds ``times``, rounded up to a power of two, where they are given."""
     cut = max(0, 64 - bits - 8 * width)
     top = (keys >> U(64 - bits)).astype(np.int64)
     rest = (keys << U(bits)) >> U(bits)
     rest >>= U(cut)
+    power = b"" if times is None else np.ceil(np.log2(times)).astype(np.uint8).tobytes()
     starts = np.flatnonzero(np.diff(top, prepend=-1))
     for lo, hi in zip(starts, [*starts[1:], len(keys)]):
         delta = np.diff(rest[lo:hi], prepend=U(0)).astype("<u8")
         planes = delta.view(np.uint8).reshape(-1, 8)[:, :width].T
-        yield kind, int(top[lo]), block, bits, np.ascontiguousarray(planes).tobytes()
+        yield kind, int(top[lo]), block, bits, np.ascontiguousarray(planes).tobytes() + power[lo:hi]
 
 
 def _unpack(blob: bytes, n: int) -> np.ndarray:
@@ -152,32 +160,45 @@ def key_rows(rows: list[tuple]) -> pa.RecordBatch:
         names=["kind", "bucket", "block", "bits", "keys"])
 
 
-def shared_keys(keys: DataFrame, widths: dict[int, int]) -> DataFrame:
+def share(kind: int, bucket: int, blocks: list[int], blobs: list[bytes], width: int,
+          limit: int | None = None) -> pa.Table:
+    """Rows of BITS_SCHEMA for the packed keys of one bucket (see ``shared_keys``)."""
+    numbers = np.array(blocks, np.int64)
+    order = np.argsort(numbers, kind="stable")
+    counts = np.array([len(b) // (width + (limit is not None)) for b in blobs])
+    sizes = counts[order]
+    values = np.concatenate([_unpack(blobs[k][:width * counts[k]], counts[k]) for k in order])
+    rank = np.argsort(values, kind="stable")  # equal keys stay in block order
+    ordered = values[rank]
+    same = ordered[1:] == ordered[:-1]
+    earlier, other = np.zeros(len(values), bool), np.zeros(len(values), bool)
+    earlier[rank[1:]] = same
+    other[rank[1:]] = same
+    other[rank[:-1]] |= same
+    if limit is not None:
+        power = np.concatenate([np.frombuffer(blobs[k], np.uint8)[width * counts[k]:] for k in order])
+        heads = np.flatnonzero(np.append(True, ~same))
+        total = np.add.reduceat(np.left_shift(1, power[rank].astype(np.int64)), heads)
+        earlier[rank] = np.repeat(total > limit, np.diff(np.append(heads, len(values))))
+    cuts = np.cumsum(sizes)[:-1]
+    packed = [[np.packbits(x).tobytes() for x in np.split(a, cuts)] for a in (other, earlier)]
+    n = len(order)
+    return pa.table({"kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()),
+                     "block": pa.array(numbers[order], pa.int64()),
+                     "other": pa.array(packed[0], pa.binary()), "earlier": pa.array(packed[1], pa.binary())})
+
+
+def shared_keys(keys: DataFrame, widths: dict[int, int], limits: dict[int, int] | None = None) -> DataFrame:
     """Two bits for each key of each block: held by another block, held by an
-    earlier block.  A bucket has at most one copy of a key for each block."""
+    earlier block.  A bucket has at most one copy of a key for each block.  Keys
+    of a kind in ``limits`` come with ``times``, and their second bit says instead
+    whether all blocks together hold the key more often than the limit."""
+    limits = limits or {}
 
     def run(group: pa.Table) -> pa.Table:
-        width = widths[group.column("kind")[0].as_py()]
-        blocks = np.array(group.column("block").to_pylist(), np.int64)
-        order = np.argsort(blocks, kind="stable")
-        blobs = group.column("keys").to_pylist()
-        sizes = np.array([len(b) // width for b in blobs])[order]
-        values = np.concatenate([_unpack(blobs[k], len(blobs[k]) // width) for k in order])
-        rank = np.argsort(values, kind="stable")  # equal keys stay in block order
-        ordered = values[rank]
-        same = ordered[1:] == ordered[:-1]
-        earlier, other = np.zeros(len(values), bool), np.zeros(len(values), bool)
-        earlier[rank[1:]] = same
-        other[rank[1:]] = same
-        other[rank[:-1]] |= same
-        cuts = np.cumsum(sizes)[:-1]
-        packed = [[np.packbits(x).tobytes() for x in np.split(a, cuts)] for a in (other, earlier)]
-        n = len(order)
-        return pa.table({"kind": pa.array([group.column("kind")[0].as_py()] * n, pa.int32()),
-                         "bucket": pa.array([group.column("bucket")[0].as_py()] * n, pa.int32()),
-                         "block": pa.array(blocks[order], pa.int64()),
-                         "other": pa.array(packed[0], pa.binary()),
-                         "earlier": pa.array(packed[1], pa.binary())})
+        kind = group.column("kind")[0].as_py()
+        return share(kind, group.column("bucket")[0].as_py(), group.column("block").to_pylist(),
+                     group.column("keys").to_pylist(), widths[kind], limits.get(kind))
 
     return keys.groupBy("kind", "bucket").applyInArrow(run, BITS_SCHEMA)
 

@@ -11,15 +11,22 @@ each document stretch is sent only to the shard that can match it:
 
 1. the window's smallest k-gram hash (its anchor) is the same wherever the window
    stands; anchors that stand once in the corpus cannot repeat and drop out
-   (``repeats.shared_keys``, four bytes an anchor);
+   (``repeats.shared_keys``, four bytes an anchor), and anchors with more than
+   ``CROWD`` stretches in the corpus become known;
 2. consecutive windows with one anchor form a stretch of at most
    ``2 * window - k`` words, sent once per block to the shard of its anchor;
 3. the shard builds one suffix automaton over the stretches of an anchor, with
    the earliest position of every state, and streams the stretches through it:
-   the matching statistics say for each end of a window where it starts first.
+   the matching statistics say for each end of a window where it starts first;
+4. the stretches of a crowded anchor grow with the corpus (a passage that many
+   documents hold gives each of them stretches of its own at the borders), so
+   their windows are dealt one by one, by the window's hash, and judged by the
+   block they stand in first, as in operator 9.
 
 Memory of a task follows the block (a few MB of text, or one longer text) and
-the stretches of a shard.  Equal windows travel at most once per block.
+a shard of about ``SHARD_WORDS`` words, in which no anchor has more than ``CROWD``
+stretches.  Equal windows travel at most once per block.  Windows of crowded
+anchors are equal if their 64-bit hashes are.
 
 Edge cases: a null or empty text has no words; a text shorter than the window
 loses nothing; rows that repeat id and text are one document (both keep the
@@ -44,6 +51,7 @@ from termweave.llm.rolling import BYTE_SYMBOLS, Rolling, covered, mix
 U = np.uint64
 WINDOW, GRAM = 20, 8
 SHARD_WORDS = 300_000  # words of the corpus for each shard
+CROWD = 4_096  # stretches of an anchor that one automaton may have to hold
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -101,16 +109,24 @@ class Block:
         self.whole, self.whole_at, self.whole_inverse = np.unique(whole, return_index=True, return_inverse=True)
 
     def settle(self, answers: list[dict], bits: int) -> None:
-        """Copies of an earlier text, and the stretches that may repeat."""
+        """Copies of an earlier text, the stretches that may repeat, and the
+        windows of crowded anchors."""
         earlier = R.bits_of(answers, 1, "earlier", self.whole, bits)
         self.copy = earlier[self.whole_inverse]
         self.copy |= self.whole_at[self.whole_inverse] < np.arange(len(self.texts))
         again = (self.times > 1) | R.bits_of(answers, 0, "other", self.keys, bits)
-        self.chosen = np.flatnonzero(again[self.inverse] & ~self.copy[self.doc])
+        chosen = np.flatnonzero(again[self.inverse] & ~self.copy[self.doc])
+        crowded = R.bits_of(answers, 0, "earlier", self.keys, bits)[self.inverse[chosen]]
+        self.chosen = chosen[~crowded]
         start, run = self.start[self.chosen], self.run[self.chosen]
         same = self.rolling.at(start, run + self.window - 1) ^ mix(run.astype(U))
         _, at, back = np.unique(same, return_index=True, return_inverse=True)
         self.is_first = at[back] == np.arange(len(back))
+        start, run = self.start[chosen[crowded]], self.run[chosen[crowded]]
+        self.windows = np.repeat(start - (np.cumsum(run) - run), run) + np.arange(run.sum())
+        self.hashes, at, self.back = np.unique(self.rolling.at(self.windows, self.window),
+                                               return_index=True, return_inverse=True)
+        self.later = at[self.back] != np.arange(len(self.back))
 
 
 def _keys(blocks: DataFrame, i: int, t: int, window: int, gram: int, bits: int) -> DataFrame:
@@ -118,28 +134,31 @@ def _keys(blocks: DataFrame, i: int, t: int, window: int, gram: int, bits: int)
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row["payload"], i, t, window, gram)
-                yield R.key_rows([*R.pack_keys(0, row["block"], b.keys, bits, 4),
+                yield R.key_rows([*R.pack_keys(0, row["block"], b.keys, bits, 4, b.times),
                                   *R.pack_keys(1, row["block"], b.whole, bits, 8)])
 
     return blocks.mapInArrow(run, R.KEYS_SCHEMA)
 
 
-STRETCHES = "bucket int, block long, anchor binary, start binary, run binary, symbols binary"
+STRETCHES = "kind int, bucket int, block long, anchor binary, start binary, run binary, symbols binary"
 
 
-def _stretches(block: int, b: Block, shard_bits: int) -> pa.Table:
-    """Rows of STRETCHES: the first of each stretch, grouped by shard."""
+def _stretches(block: int, b: Block, shard_bits: int, window_bits: int) -> pa.Table:
+    """Rows of STRETCHES: the first of each stretch, grouped by shard (kind 2), and
+    the packed hashes of the windows of crowded anchors as symbols (kind 3)."""
     mine = b.chosen[b.is_first]
     shard = (b.anchor[mine] >> U(64 - shard_bits)).astype(np.int64)
     rows = []
     for s in np.unique(shard):
         of = mine[shard == s]
         spans = [b.symbols[x:x + n] for x, n in zip(b.start[of], b.run[of] + b.window - 1)]
-        rows.append((int(s), block, b.anchor[of].tobytes(), b.start[of].astype(np.uint32).tobytes(),
+        rows.append((2, int(s), block, b.anchor[of].tobytes(), b.start[of].astype(np.uint32).tobytes(),
                      b.run[of].astype(np.uint8).tobytes(), np.concatenate(spans).tobytes()))
-    cols = list(zip(*rows)) if rows else [[]] * 6
-    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
-    names = ["bucket", "block", "anchor", "start", "run", "symbols"]
+    rows += [(kind, bucket, block, b"", b"", b"", keys) for kind, bucket, _, _, keys
+             in R.pack_keys(3, block, b.hashes, window_bits, 8)]
+    cols = list(zip(*rows)) if rows else [[]] * 7
+    kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+    names = ["kind", "bucket", "block", "anchor", "start", "run", "symbols"]
     return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds)})
 
 
@@ -216,6 +235,8 @@ class SuffixAutomaton:
 def _judge_shard(window: int):
     def run(group: pa.Table) -> pa.Table:
         blocks = group.column("block").to_pylist()
+        if group.column("kind")[0].as_py() == 3:
+            return R.share(3, group.column("bucket")[0].as_py(), blocks, group.column("symbols").to_pylist(), 8)
         order = sorted(range(len(blocks)), key=blocks.__getitem__)
         rank = {k: r for r, k in enumerate(order)}
         members: dict[int, dict[bytes, list]] = {}
@@ -267,15 +288,16 @@ def dedup_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = (blocks.agg(F.sum("n_bytes")).first()[0] or 0) // 5
     bits = R.bucket_bits(2 * words // (window - gram + 2))
     shard_bits = max(3, (words // SHARD_WORDS).bit_length())
-    seen = checkpoint(R.shared_keys(_keys(blocks, i, t, window, gram, bits), {0: 4, 1: 8}))
+    window_bits = R.bucket_bits(words)
+    seen = checkpoint(R.shared_keys(_keys(blocks, i, t, window, gram, bits), {0: 4, 1: 8}, {0: CROWD}))
     release(spark)
 
     def send(block: int, payload: bytes, answers: list[dict]) -> pa.Table:
         b = Block(payload, i, t, window, gram)
         b.settle(answers, bits)
-        return _stretches(block, b, shard_bits)
+        return _stretches(block, b, shard_bits, window_bits)
 
-    judged = checkpoint(R.answer(blocks, seen, send, STRETCHES).groupBy("bucket")
+    judged = checkpoint(R.answer(blocks, seen, send, STRETCHES).groupBy("kind", "bucket")
                         .applyInArrow(_judge_shard(window), R.BITS_SCHEMA))
     release(spark)
 
@@ -290,7 +312,8 @@ def dedup_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         start, run = b.start[b.chosen], b.run[b.chosen]
         gone = [start[hit] + o for o in range(int(run.max(initial=0)))
                 if len(hit := np.flatnonzero((run > o) & (mask >> np.uint32(o) & np.uint32(1)).astype(bool)))]
-        removed = covered(np.concatenate(gone) if gone else np.zeros(0, np.int64), window, len(b.symbols))
+        gone.append(b.windows[R.bits_of(answers, 3, "earlier", b.hashes, window_bits)[b.back] | b.later])
+        removed = covered(np.concatenate(gone), window, len(b.symbols))
         kept, n_removed = [], []
         for k, text in enumerate(b.texts):
             lo, n = b.first[k], b.count[k]

@@ -53,6 +53,59 @@ def test_substring_dedup_against_brute_force(spark, monkeypatch, seed, window, g
         assert (r.n_words, r.n_removed, r.kept) == (n, removed, " ".join(kept)), (r.doc_id, r.text)
 
 
+@pytest.mark.parametrize("limit", [4, 40])
+def test_substring_dedup_bounds_the_stretches_of_an_anchor(spark, monkeypatch, limit):
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(substring, "CROWD", limit)
+    sent, answer = [], repeats.answer
+    monkeypatch.setattr(repeats, "answer", lambda *a: sent.append(answer(*a)) or sent[-1])
+    rng = random.Random(4)
+    own = [[f"w{rng.randrange(10 ** 6)}" for _ in range(rng.randint(0, 30))] for _ in range(60)]
+    passage = [f"p{k}" for k in range(40)]
+    rows = [(k, " ".join([*x, *passage, *rng.choice(own)])) for k, x in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = substring.dedup_words(df)
+    most = {}
+    for r in sent[0].collect():
+        for at in range(0, len(r.anchor), 8):
+            most[r.anchor[at:at + 8]] = most.get(r.anchor[at:at + 8], 0) + 1
+    assert max(most.values(), default=0) <= limit
+    want = cut_repeats(ordered(rows), lambda t: SPACE_WORDS.findall(t or ""), 20)
+    for r in out.collect():
+        n, removed, _, kept = want[r.doc_id, r.text]
+        assert (r.n_words, r.n_removed, r.kept) == (n, removed, " ".join(kept)), (r.doc_id, r.text)
+
+
+@pytest.mark.parametrize("limit", [0, 3, 30])
+def test_crowded_anchors_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(substring, "CROWD", limit)
+    rows = random_rows(limit, "abc")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = cut_repeats(ordered(rows), lambda t: SPACE_WORDS.findall(t or ""), 6)
+    got = substring.dedup_words(df, window=6, gram=3).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n, removed, _, kept = want[r.doc_id, r.text]
+        assert (r.n_words, r.n_removed, r.kept) == (n, removed, " ".join(kept)), (r.doc_id, r.text)
+
+
+def test_blocks_are_cut_inside_one_id(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 2000)
+    rng = random.Random(6)
+    letters = "abc"
+    rows = [(None, "".join(rng.choice(letters + " ") for _ in range(100))) for _ in range(100)]
+    rows += [(None, rows[0][1])] * 3 + [(1, x) for _, x in rows[:50]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert repeats.ordered_blocks(df, "doc_id", "text").agg(F.max("n_bytes")).first()[0] <= 2400
+    want = cut_repeats(ordered(rows), lambda t: SPACE_WORDS.findall(t or ""), 6)
+    for r in substring.dedup_words(df, window=6, gram=3).collect():
+        assert (r.n_words, r.n_removed) == want[r.doc_id, r.text][:2]
+    want = cut_repeats(ordered(rows), lambda t: (t or "").encode(), 9)
+    for r in suffix.dedup_bytes(df, window=9).collect():
+        assert (r.n_bytes, r.n_removed) == want[r.doc_id, r.text][:2]
+
+
 @pytest.mark.parametrize("seed,window,block", [(0, 6, 60), (1, 9, 400), (2, 20, 4000), (3, 4, 60)])
 def test_suffix_dedup_against_brute_force(spark, monkeypatch, seed, window, block):
     monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
