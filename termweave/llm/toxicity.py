@@ -1,7 +1,8 @@
 """Operator 4: toxicity by weak supervision.
 
 Many voters look at a text: a lexicon of insults, lexicons of words and word
-beginnings mined from the training rows in tiers of support, and patterns.  A
+beginnings mined from the training rows in tiers of support, and patterns (an
+insult addressed to the reader, shouting).  A
 generative label model (a hidden class; the voters' rates given the class, the
 labels of the training rows as one more, fallible voter) is fitted by EM on
 the counts of vote patterns; voters that agree beyond what the class explains
@@ -38,13 +39,12 @@ PREFIXES = (4, 5, 6)
 # A plain lexicon of insults.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless "
                     "disgusting clown fool imbecile vermin filth hate jerk freak".split())
-INSERTED = re.compile(r"[.!?] [^\W\d_A-ZÀ-Þ][^\W\d_]* [A-ZÀ-Þ]")
 SHOUT = re.compile(r"\b[A-Z]{4,}\b.*\b[A-Z]{4,}\b|!!")
 ADDRESS = re.compile(r"\byou(?:'re| are)? (?:all )?(?:an? )?(?:" + "|".join(sorted(INSULTS)) + r")\b", re.I)
 # Tiers of a mined entry, by the share of toxic training rows it stands in.
 TIERS = (0.05, 0.01, 0.0)
 VOTERS = ("insult", "address", "strong word", "strong beginning of 4", "strong beginning of 5",
-          "strong beginning of 6", "middling entry", "weak entry", "two entries", "inserted word", "shouting")
+          "strong beginning of 6", "middling entry", "weak entry", "two entries", "shouting")
 MEMORY = 100_000
 
 
@@ -84,8 +84,7 @@ class Voters:
                 several += got & ~128 > 0
         if bits & 1 and ADDRESS.search(text):
             bits |= 2
-        return (bits | (256 if several > 1 else 0) | (512 if INSERTED.search(text) else 0)
-                | (1024 if SHOUT.search(text) else 0))
+        return bits | (256 if several > 1 else 0) | (512 if SHOUT.search(text) else 0)
 
 
 def mine(train: DataFrame) -> dict[str, int]:

@@ -56,6 +56,12 @@ def test_fourier_features_approximate_the_kernel():
     assert np.abs(phi @ phi.T - exact).max() < 0.3
 
 
+@pytest.mark.parametrize("text", ["He met approx. two Americans.", "Die Frau bzw. der Mann kam.", "So Mr. de Gaulle left.",
+                                  "It ended. then He left! so They stayed? and We too."])
+def test_a_small_letter_after_a_full_stop_is_no_vote(text):
+    assert toxicity.Voters({}).votes(text) == 0
+
+
 def test_label_model_finds_good_and_bad_voters():
     rng = np.random.default_rng(1)
     y = (rng.random(4000) < 0.2).astype(int)
