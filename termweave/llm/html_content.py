@@ -117,6 +117,10 @@ class _Tree(HTMLParser):
             if tag in INLINE and name not in INLINE:
                 return  # a stray end does not close a block
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...`` is a comment up to the next ``>``, as in browsers."""
+        return self.parse_bogus_comment(i)
+
     def handle_data(self, data):
         if self.unread or not data:
             return
@@ -135,11 +139,8 @@ class _Tree(HTMLParser):
 def parse(html: str | None) -> list[Node]:
     """Nodes in page order; a parent stands before its children."""
     tree = _Tree()
-    try:
-        tree.feed(html or "")
-        tree.close()
-    except AssertionError:  # a broken declaration: what was read so far counts
-        pass
+    tree.feed(html or "")
+    tree.close()
     return tree.nodes
 
 

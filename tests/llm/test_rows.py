@@ -200,6 +200,22 @@ def test_html_extracts_articles(spark, sf_dir):
         assert r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize("odd", ["<![foo[x]]>", "<![ endif]-->", "<![endif]-->", "<![endif]>", "<![if !IE]>", "<!foo>", "<!>",
+                                 "<![CDATA[x]]>", "<![>", "<!-- c -->", "<!doctype html>", "<!--[if IE]><p>no</p><![endif]-->"])
+def test_html_text_after_a_declaration_survives(odd):
+    texts = [html_content.block_text(n) for n in html_content.parse(f"<p>one</p>{odd}<p>two</p><p>three ]> four</p>")
+             if n.tag == "#text"]
+    assert texts[0] == "one" and texts[-2:] == ["two", "three ]> four"]
+
+
+def test_html_parser_reads_any_markup():
+    rng = random.Random(3)
+    parts = ["<!", "<![", "[", "]", "]]>", ">", "-->", "<!--", "<p>", "</p>", "</", "<", "<?", "a", " ", "&", "&#x;", "endif", "'", '"', "="]
+    for _ in range(3000):
+        html = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert html_content.parse(html)[0].tag == "#root"
+
+
 def test_html_edges():
     model = html_content.train(labelled_pages.labelled_pages())
     for page in (None, "", "<", "<p", "<![bad", "</div></p>", "<script>x", "<div>" * 500 + "x", "\x00<p>\x00"):
