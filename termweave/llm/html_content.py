@@ -31,9 +31,12 @@ from termweave.llm.labelled_pages import labelled_pages
 
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style template noscript textarea select svg math iframe object canvas".split())
+UNREAD = frozenset("script style template textarea select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s "
-                   "samp small span strike strong sub sup time tt u var wbr".split())
+                   "samp small span strike strong sub sup time tt u var wbr "
+                   "math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms "
+                   "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics "
+                   "annotation".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
              "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article section div main body html".split())
@@ -118,7 +121,13 @@ class _Tree(HTMLParser):
                 return  # a stray end does not close a block
 
     def parse_marked_section(self, i, report=1):
-        """``<![...`` is a comment up to the next ``>``, as in browsers."""
+        """``<![...`` is a comment up to the next ``>``, as in browsers; only in svg
+        and math does CDATA hold text."""
+        if self.rawdata.startswith("<![CDATA[", i) and any(self.nodes[k].tag in ("svg", "math") for k in self.stack):
+            end = self.rawdata.find("]]>", i)
+            if end >= 0:
+                self.handle_data(self.rawdata[i + 9:end])
+                return end + 3
         return self.parse_bogus_comment(i)
 
     def handle_data(self, data):

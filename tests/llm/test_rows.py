@@ -208,6 +208,23 @@ def test_html_text_after_a_declaration_survives(odd):
     assert texts[0] == "one" and texts[-2:] == ["two", "three ]> four"]
 
 
+@pytest.mark.parametrize("inside", ["<noscript>{}</noscript>", "<object data=x>{}</object>", "<canvas>{}</canvas>",
+                                    "<svg><text>{}</text></svg>", "<svg><text><![CDATA[{}]]></text></svg>", "<iframe>{}</iframe>",
+                                    "<p>so <math><mtext>{}</mtext></math> holds.</p>"])
+def test_html_text_of_embedded_elements_in_an_article_stays(inside):
+    model = html_content.train(labelled_pages.labelled_pages())
+    words = "The table shows how the water level rose over the last ten years in three towns."
+    page = f"<nav><a href=/>Home</a></nav><article><h1>Water</h1><p>It rose.</p>{inside.format(words)}<p>It fell.</p></article>"
+    assert words in html_content.main_text(model, page)
+    assert "Home" not in html_content.main_text(model, page)
+
+
+def test_html_formula_stays_in_its_sentence():
+    model = html_content.train(labelled_pages.labelled_pages())
+    page = "<article><h1>A</h1><p>Here <math><mi>x</mi><mo>=</mo><msup><mi>y</mi><mn>2</mn></msup></math> holds for all.</p></article>"
+    assert html_content.main_text(model, page) == "A\nHere x=y2 holds for all."
+
+
 def test_html_parser_reads_any_markup():
     rng = random.Random(3)
     parts = ["<!", "<![", "[", "]", "]]>", ">", "-->", "<!--", "<p>", "</p>", "</", "<", "<?", "a", " ", "&", "&#x;", "endif", "'", '"', "="]
