@@ -70,3 +70,14 @@ def test_label_model_finds_good_and_bad_voters():
     q = toxicity.label_model(votes, y, np.ones(4000))
     w = toxicity.linear(votes, q, np.ones(4000))
     assert ((q > 0.5) == y).mean() > 0.95 and w[1] > 4 * abs(w[3]) and w[2] > 4 * abs(w[3])
+
+
+def test_label_model_estimates_the_accuracy_of_the_labels():
+    rng = np.random.default_rng(2)
+    n = 8000
+    y = rng.integers(0, 2, n)
+    votes = np.stack([np.where(rng.random(n) < 0.85, y, 1 - y) for _ in range(4)], axis=1).astype(float)
+    given = np.where(rng.random(n) < 0.75, y, 1 - y)  # right three times in four
+    q = toxicity.label_model(votes, given, np.ones(n))
+    split = votes.sum(axis=1) == 2  # the other voters say nothing
+    assert abs(q[split & (given == 1)].mean() - 0.75) < 0.07 and abs(q[split & (given == 0)].mean() - 0.25) < 0.07
