@@ -19,6 +19,13 @@ def test_held_out_accuracy(spark, name, label, least):
     assert got.filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
 
 
+def test_toxicity_recall_and_precision_on_held_out_rows(spark):
+    got = queries.QUERIES["op4_toxicity"](spark, SF).filter("held_out")
+    n, found, right = got.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").agg(
+        F.count_if(F.expr("toxic = 1")), F.count_if(F.expr("predicted = 1")), F.count_if(F.expr("predicted = 1 AND toxic = 1"))).first()
+    assert n > 10 and right / n >= 0.75 and right / found >= 0.9
+
+
 def test_held_out_labels_do_not_matter(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
