@@ -11,7 +11,8 @@ Scale notes
   documents is spread like any other, and the join leaves the documents
   partitioned as the per-document operators need them.
 * ``with_ordinal`` numbers the documents of a set exactly (0 = target) from
-  counts per slice of the order column; no window is taken over a whole set.
+  counts per slice of the order column, on levels of slices; no window sees more
+  than ``2 ** SLICE_BITS`` rows, whatever the ids look like.
 * Nothing is counted, collected or broadcast while a plan is built; adaptive
   execution picks broadcast joins from measured bytes.
 """
@@ -25,9 +26,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions.text import is_blank
 from termweave.session import spread
-
-# Width (as a power of two) of the slices in which ``with_ordinal`` ranks rows.
-SLICE_BITS = 14
+from termweave.sources.ordinals import SLICE_BITS, counts_before
 
 
 @dataclass
@@ -76,13 +75,14 @@ def with_ordinal(df: DataFrame, group: str = "set_id", order: str = "doc_id",
 
     The order column is cut into slices of ``2 ** SLICE_BITS`` values, so a slice
     of a group never holds more rows than that.  A row's rank is its number inside
-    the slice plus the rows of the group in earlier slices.
+    the slice plus the rows of the group in earlier slices, which are themselves
+    counted by slices of slices (``counts_before``): ids may be dense or random over
+    all 64 bits.  No job runs while the plan is built.
     """
     sliced = df.filter(F.col(group).isNotNull() & F.col(order).isNotNull()).withColumn(
         "_slice", F.shiftright(F.col(order).cast("bigint"), SLICE_BITS))
-    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (sliced.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    counts = sliced.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    before = counts_before(counts, [group], "_slice", "_rows", "_off", SLICE_BITS, 64 - SLICE_BITS).drop("_rows")
     inside = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(order)) - 1
-    return (sliced.withColumn("_in", inside).join(offsets, [group, "_slice"])
+    return (sliced.withColumn("_in", inside).join(before, [group, "_slice"])
             .withColumn(name, (F.col("_in") + F.col("_off")).cast("int")).drop("_slice", "_in", "_off"))

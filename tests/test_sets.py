@@ -1,7 +1,10 @@
 """Frequency, comparison and TF-IDF operators on hand-made sets (FIXTURES section 3)."""
 
 import math
+import random
+import re
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from termweave.operators import compare as CM
 from termweave.operators import terms as TM
 from termweave.operators import tfidf as TF
 from termweave.sources.docsets import DocSets, with_ordinal, with_roles
+from termweave.sources.ordinals import counts_before
 
 
 def sets_of(spark, rows):
@@ -137,6 +141,41 @@ def test_ordinal_matches_row_number_with_hot_group(spark):
     assert got == want
 
 
+def test_ordinal_on_random_ids_and_their_ends(spark):
+    rng = random.Random(3)
+    ids = {rng.randrange(-(1 << 63), 1 << 63) for _ in range(2500)} | {-(1 << 63), (1 << 63) - 1, -1, 0, 1}
+    ids |= {k << 14 for k in range(20)} | {(1 << 42) + k for k in range(20)}
+    rows = [("hot" if k % 3 else f"g{k % 50}", i) for k, i in enumerate(sorted(ids))]
+    df = spark.createDataFrame(rows, "set_id string, doc_id bigint").repartition(6)
+    seen, want = {}, {}
+    for g, i in rows:
+        want[g, i] = seen[g] = seen.get(g, -1) + 1
+    assert {(r.set_id, r.doc_id): r.ord for r in with_ordinal(df).collect()} == want
+
+
+@pytest.mark.parametrize("bits", [2, 5])
+def test_counts_before_in_small_slices(spark, bits):
+    rng = random.Random(bits)
+    rows = [(f"g{k % 3}", v, rng.randint(1, 9)) for k, v in enumerate(rng.sample(range(-500, 500), 300))]
+    df = spark.createDataFrame(rows, "g string, v bigint, n bigint")
+    got = {(r.g, r.v): r.before for r in counts_before(df, ["g"], "v", "n", bits=bits, width=12).collect()}
+    assert got == {(g, v): sum(n for h, u, n in rows if h == g and u < v) for g, v, _ in rows}
+
+
+def _window_sizes(df):
+    """Largest window partition a plan with these keys can see: the windows' keys."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return re.findall(r"Window \[.*?\], \[(.*?)\], \[", plan)
+
+
+def test_ordinal_windows_never_run_over_a_whole_set(spark):
+    df = spark.createDataFrame([("a", 1)], "set_id string, doc_id bigint")
+    keys = _window_sizes(with_ordinal(df))
+    assert len(keys) == 5
+    # only the top level, of at most 2 ** (64 - 56) slices, is keyed by the set alone
+    assert sum("," not in k for k in keys) == 1
+
+
 def test_roles(spark):
     s = sets_of(spark, [("a", 5, "x"), ("a", 3, "y"), ("b", 9, "z")])
     assert isinstance(s, DocSets)
