@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm import bpe, decontaminate, html_content, licenses, quality, rules
-from termweave.llm import simhash, substring, suffix, toxicity
+from termweave.llm import ranked_search, resampling, simhash, substring, suffix, token_counts, toxicity
 from termweave.llm.common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = WORD_BPE) -> str:
     import public_tokenizers
-    return public_tokenizers.path(WORD_BPE)
+    return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +99,24 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_content.extract(pages).drop("html")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return ranked_search.search(docs, items, k=50)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resampling.resample(docs, target, max_words=2, buckets=10_000, min_words=20, percent=25, seed=7)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_counts.count_tokens(docs, vocabulary_path(PIECE_BPE)).select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
@@ -109,8 +128,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_html": op10_html,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_resampling": op12_resampling,
+    "op13_token_counts": op13_token_counts,
 }
 
+# Words of operators 11 and 12: only A-Z are lower-cased.
+_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -137,6 +163,47 @@ n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, n_shingles, count(*) / n_shingles AS containment
 FROM ds JOIN bs USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_shingles HAVING count(*) / n_shingles >= 0.8""",
+    "op11_ranked_search": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark),
+c AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf
+       FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+       WHERE term IN (SELECT term FROM b) GROUP BY r, doc_id, n, term),
+df AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+       FROM tf, c GROUP BY term),
+s AS (SELECT item_id, r, doc_id, sum(weight * ((1000000000 * tf)
+             // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM tf JOIN df USING (term) JOIN b USING (term), c GROUP BY item_id, r, doc_id)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT item_id, doc_id, score,
+             row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank
+      FROM s WHERE score > 0) WHERE rank <= 50""",
+    "op12_resampling": f"""
+WITH crc AS (SELECT list_transform(range(256), lambda v: list_reduce(range(8), lambda c, k:
+               CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v)) AS tab),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT {_WORDS} AS w FROM benchmark),
+df AS (SELECT r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d),
+bf AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM b),
+h AS (SELECT f, xor(list_reduce(list_transform(range(octet_length(encode(f))), lambda i:
+               ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT),
+               lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+      FROM (SELECT f FROM df UNION SELECT f FROM bf), crc),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN h USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN h USING (f) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM df) AS total_s, (SELECT count(*) FROM bf) AS total_t),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (total_s + 10000)
+               / ((s + 1)::DOUBLE * (total_t + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), n),
+m AS (SELECT r, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight
+      FROM df JOIN h USING (f) JOIN g USING (bucket) GROUP BY r),
+x AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5)::DOUBLE
+               / 4294967296)))::BIGINT AS score FROM d LEFT JOIN m USING (r)),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_words >= 20)
+SELECT x.doc_id, n_features, weight, score,
+       CASE WHEN rank <= 25 * (SELECT count(*) FROM k) // 100 THEN rank END AS rank
+FROM x LEFT JOIN k USING (doc_id)""",
     "op7_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
