@@ -8,9 +8,10 @@ its pre-tokens (the stretches between borders), whatever stands around.
 1. ``pre_token_blocks``: documents are packed into blocks of a few MB; a block
    holds each document's pre-token frequencies (numbers into the block's list of
    distinct pre-tokens) and the other columns, not the texts;
-2. every distinct pre-token of the corpus is counted once, by the library;
-3. the counts are joined to the blocks' pre-tokens and come back to their block,
-   where each document's sum of frequency times count is taken.
+2. the blocks' pre-tokens are dealt out by pre-token and sorted, and the library
+   counts every distinct one of the corpus once;
+3. the counts are joined to their blocks again, where each document's sum of
+   frequency times count is taken.
 
 The ids of a document are never made.  A pre-token travels once per block, so a
 frequent word has at most one row for each block, however often it stands there.
@@ -36,15 +37,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termweave.llm.common import checkpoint, named_back, positional, ship_package
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 32_000_000
 SEGMENT_CHARS = 1 << 20
 SPACE = "▁"  # the vocabulary's mark of a space
-BLOCKS_SCHEMA = "block long, rows binary, freqs binary, words array<string>"
+BLOCKS_SCHEMA = "block long, rows binary, freqs binary, words binary"
 
 
 class PieceModel:
@@ -105,6 +105,31 @@ def _open(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
+def pack_pairs(cols: list[np.ndarray], times: list[np.ndarray]) -> bytes:
+    """Numbers and frequencies of the documents of a block, by byte plane; the
+    numbers of a document ascend and are kept as differences."""
+    gaps, many = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+    for c, n in zip(cols, times):
+        order = np.argsort(c)
+        gaps.append(np.diff(c[order], prepend=0).astype(np.uint32))
+        many.append(n[order].astype(np.uint32))
+    planes = [np.ascontiguousarray(np.concatenate(x).view(np.uint8).reshape(-1, 4)[:, k])
+              for x in (gaps, many) for k in range(4)]
+    return _ipc(pa.table({f"p{k}": x for k, x in enumerate(planes)}))
+
+
+def pair_sums(packed: bytes, sizes: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """Sum of frequency times ``pieces`` for each document."""
+    planes = _open(packed)
+    gaps, times = (np.stack([planes.column(k).to_numpy() for k in x], axis=1).view("<u4").reshape(-1).astype(np.int64)
+                   for x in (range(4), range(4, 8)))
+    ends = np.cumsum(sizes)
+    run = np.concatenate([[0], np.cumsum(gaps)])
+    cols = run[1:] - np.repeat(run[ends - sizes], sizes)
+    total = np.concatenate([[0], np.cumsum(pieces[cols] * times)])
+    return total[ends] - total[ends - sizes]
+
+
 def pre_token_blocks(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
     """Checkpointed blocks ``(block, rows, freqs, words)``: the rows without their
     texts, their pre-token frequencies, and the block's distinct pre-tokens."""
@@ -116,50 +141,65 @@ def pre_token_blocks(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
         numbers: dict[str, int] = {}
-        sizes, cols, times, lengths, size = [], [], [], [], 0
+        cols, times, lengths, size = [], [], [], 0
 
         def emit():
-            nonlocal held, numbers, sizes, cols, times, lengths, size, number
-            rows = pa.Table.from_batches(held).drop_columns([f"c{at}"]).append_column(
-                "n_bytes", pa.array(lengths, pa.int64()))
-            pairs = pa.table({"col": pa.array(np.concatenate(cols), pa.int32()),
-                              "times": pa.array(np.concatenate(times), pa.int64())})
-            freqs = _ipc(pairs.append_column("doc", pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int32())))
+            nonlocal held, numbers, cols, times, lengths, size, number
+            rows = pa.Table.from_batches(held).append_column("n_bytes", pa.array(lengths, pa.int64())).append_column(
+                "pairs", pa.array([len(c) for c in cols], pa.int64()))
             row = pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([_ipc(rows)], pa.binary()),
-                 pa.array([freqs], pa.binary()), pa.array([list(numbers)], pa.list_(pa.string()))],
+                [pa.array([number], pa.int64()),
+                 *[pa.array([x], pa.binary()) for x in
+                   (_ipc(rows), pack_pairs(cols, times), _ipc(pa.table({"word": pa.array(list(numbers), pa.string())})))]],
                 names=["block", "rows", "freqs", "words"])
             held, numbers = [], {}
-            sizes, cols, times, lengths, size = [], [], [], [], 0
+            cols, times, lengths, size = [], [], [], 0
             number += 1
             return row
 
         for batch in batches:
             lo = 0
+            others = pa.RecordBatch.from_arrays([c for k, c in enumerate(batch.columns) if k != at],
+                                                names=[n for k, n in enumerate(batch.schema.names) if k != at])
             bytes_of = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
             for k, (text, n_bytes) in enumerate(zip(batch.column(at), bytes_of)):
                 if size and size + n_bytes > limit:
                     if k > lo:
-                        held.append(batch.slice(lo, k - lo))
+                        held.append(others.slice(lo, k - lo))
                     lo = k
                     yield emit()
                 found = frequencies(text.as_py() or "", cut)
-                cols.append(np.fromiter([numbers.setdefault(w, len(numbers)) for w in found], np.int32, len(found)))
+                cols.append(np.fromiter([numbers.setdefault(w, len(numbers)) for w in found], np.int64, len(found)))
                 times.append(np.fromiter(found.values(), np.int64, len(found)))
-                sizes.append(len(found))
                 lengths.append(n_bytes)
                 size += n_bytes + 1
             if lo < batch.num_rows:
-                held.append(batch.slice(lo))
-        if held:
+                held.append(others.slice(lo))
+        if lengths:
             yield emit()
 
     return checkpoint(base.mapInArrow(run, BLOCKS_SCHEMA))
 
 
+def block_words(blocks: DataFrame) -> DataFrame:
+    """``(of, pos, word)`` for the distinct pre-tokens of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = _open(payload).column(0).combine_chunks()
+                for lo in range(0, len(words), 8192):
+                    part = words.slice(lo, 8192)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), block)), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)),
+                         part], names=["of", "pos", "word"])
+
+    return blocks.select("block", "words").mapInArrow(run, "of long, pos int, word string")
+
+
 def count_pieces(words: DataFrame, model: PieceModel) -> DataFrame:
-    """``(word, pieces)`` for the distinct values of column ``word``: the library
-    encodes each pre-token behind a character that no piece joins to anything."""
+    """``(of, pos, pieces)``: equal words meet in one partition, in order, and the
+    library encodes each once, behind a character that no piece joins to anything."""
     shared = words.sparkSession.sparkContext.broadcast((model.data, model.border))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,14 +207,21 @@ def count_pieces(words: DataFrame, model: PieceModel) -> DataFrame:
         data, border = shared.value
         library = SentencePieceProcessor(model_proto=data)
         own = len(library.encode(border))
+        last, last_n = None, 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.column(0).slice(lo, 1024)
-                ids = library.encode([border + w for w in part.to_pylist()], num_threads=1)
-                yield pa.RecordBatch.from_arrays(
-                    [part, pa.array([len(x) - own for x in ids], pa.int64())], names=["word", "pieces"])
+            runs = batch.column(2).dictionary_encode()  # in order of appearance, hence sorted
+            distinct = runs.dictionary.to_pylist()
+            known = bool(distinct) and distinct[0] == last
+            ids = library.encode([border + w for w in distinct[known:]], num_threads=1)
+            pieces = np.array([last_n] * known + [len(x) - own for x in ids], np.int64)
+            if distinct:
+                last, last_n = distinct[-1], int(pieces[-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(pieces[runs.indices.to_numpy()])],
+                names=["of", "pos", "pieces"])
 
-    return words.select("word").distinct().mapInArrow(run, "word string, pieces long")
+    return (words.repartition("word").sortWithinPartitions("word")
+            .mapInArrow(run, "of long, pos int, pieces long"))
 
 
 def count_tokens(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -184,20 +231,16 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     model = PieceModel(path)
     at = df.columns.index(text_col)
     blocks = pre_token_blocks(df, text_col, model.pattern)
-    words = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("pos", "word"))
-    counted = words.join(count_pieces(words, model), "word").select("of", "pos", "pieces")
+    counted = count_pieces(block_words(blocks), model)
     fields = [f for k, f in enumerate(positional(df).schema.fields) if k != at]
     schema = T.StructType(fields + T.StructType.fromDDL("r_n_bytes long, r_n_tokens long").fields)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         pieces = np.zeros(right.num_rows, np.int64)
         pieces[right.column("pos").to_numpy()] = right.column("pieces").to_numpy()
-        rows, freqs = _open(left.column("rows")[0].as_py()), _open(left.column("freqs")[0].as_py())
-        ends = np.concatenate([[0], np.cumsum(pieces[freqs.column("col").to_numpy()]
-                                              * freqs.column("times").to_numpy())])
-        cuts = np.searchsorted(freqs.column("doc").to_numpy(), np.arange(rows.num_rows + 1))
-        return rows.rename_columns([*rows.column_names[:-1], "r_n_bytes"]).append_column(
-            "r_n_tokens", pa.array(np.diff(ends[cuts]), pa.int64()))
+        rows = _open(left.column("rows")[0].as_py())
+        tokens = pair_sums(left.column("freqs")[0].as_py(), rows.column("pairs").to_numpy(), pieces)
+        return rows.drop_columns(["pairs"]).append_column("n_tokens", pa.array(tokens)).rename_columns(schema.names)
 
     out = (blocks.select("block", "rows", "freqs").groupBy("block").cogroup(counted.groupBy("of"))
            .applyInArrow(run, schema))

@@ -72,8 +72,14 @@ def test_every_pre_token_is_counted_once(spark, monkeypatch):
     model = token_counts.PieceModel(queries.vocabulary_path(queries.PIECE_BPE))
     blocks = token_counts.pre_token_blocks(df, "text", model.pattern)
     assert blocks.count() > 4
-    rows = token_counts.count_pieces(blocks.select(F.explode("words").alias("word")), model).collect()
-    assert sorted(r.word for r in rows) == [" one", " three", " two"]
+    words = token_counts.block_words(blocks)
+    assert {(r.word, r.pos) for r in words.collect()} == {(" one", 0), (" two", 1), (" three", 2)}
+    assert words.count() == 3 * blocks.count()
+    found = token_counts.count_pieces(words, model).withColumn("part", F.spark_partition_id())
+    rows = found.join(words, ["of", "pos"]).collect()
+    assert len(rows) == 3 * blocks.count() and all(r.pieces == 1 for r in rows)
+    # all rows of a word come from one task, which sees them in a row
+    assert len({(r.word, r.part) for r in rows}) == 3
 
 
 def test_token_counts_of_an_empty_table_and_the_query(spark, sf_dir, pieces):
