@@ -8,8 +8,9 @@ its pre-tokens (the stretches between borders), whatever stands around.
 1. ``pre_token_blocks``: documents are packed into blocks of a few MB; a block
    holds each document's pre-token frequencies (numbers into the block's list of
    distinct pre-tokens) and the other columns, not the texts;
-2. the blocks' pre-tokens are dealt out by pre-token and sorted, and the library
-   counts every distinct one of the corpus once;
+2. the blocks' pre-tokens are dealt out by hash into buckets, packed; a bucket's are
+   read block after block and the library counts every distinct one of the
+   corpus once;
 3. the counts are joined to their blocks again, where each document's sum of
    frequency times count is taken.
 
@@ -17,18 +18,20 @@ The ids of a document are never made.  A pre-token travels once per block, so a
 frequent word has at most one row for each block, however often it stands there.
 
 Memory of a task: one block (``BLOCK_BYTES`` of text, or one longer text's distinct
-pre-tokens; long texts are cut into pre-tokens a segment at a time).
+pre-tokens; long texts are cut into pre-tokens a segment at a time), or the distinct
+pre-tokens of a bucket, some ``BUCKET_WORDS`` at most.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; repeated rows and
 repeated or null ids are rows of their own; an empty table gives an empty result;
 the text column is left out of the result, every other column is kept, but one
-named like an added column gives way to it.  Building the plan runs one job (the
-blocks are checkpointed).
+named like an added column gives way to it.  Building the plan runs two jobs (the
+blocks are checkpointed and their pre-tokens numbered).
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,14 +40,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termweave.llm.common import checkpoint, named_back, positional, ship_package
+from termweave.llm.common import checkpoint, named_back, positional, ship_package, shuffle_partitions
 
 BLOCK_BYTES = 32_000_000
 SEGMENT_CHARS = 1 << 20
 SPACE = "▁"  # the vocabulary's mark of a space
-BLOCKS_SCHEMA = "block long, rows binary, freqs binary, words binary"
+BUCKET_WORDS = 1 << 20
+BLOCKS_SCHEMA = "block long, n_words long, rows binary, freqs binary, words binary"
 
 
 class PieceModel:
@@ -105,6 +110,23 @@ def _open(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
+def pack_words(words: list[bytes]) -> tuple[int, int, bytes]:
+    """Number of words, bytes when unpacked, and the packed words."""
+    raw = np.array([len(w) for w in words], "<u4").tobytes() + b"".join(words)
+    return len(words), len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def open_words(n: int, size: int, packed: bytes) -> list[bytes]:
+    raw = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True)
+    ends = (4 * n + np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64)).tolist()
+    return [raw[a:b] for a, b in zip([4 * n, *ends], ends)]
+
+
+def bucket_of(words: list[bytes]) -> np.ndarray:
+    """32 bits of hash for each word; their first bits are its bucket."""
+    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+
+
 def pack_pairs(cols: list[np.ndarray], times: list[np.ndarray]) -> bytes:
     """Numbers and frequencies of the documents of a block, by byte plane; the
     numbers of a document ascend and are kept as differences."""
@@ -131,8 +153,9 @@ def pair_sums(packed: bytes, sizes: np.ndarray, pieces: np.ndarray) -> np.ndarra
 
 
 def pre_token_blocks(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
-    """Checkpointed blocks ``(block, rows, freqs, words)``: the rows without their
-    texts, their pre-token frequencies, and the block's distinct pre-tokens."""
+    """Checkpointed blocks ``(block, n_words, rows, freqs, words)``: the rows without
+    their texts, their pre-token frequencies, and the block's distinct pre-tokens,
+    which are numbered in the order of their hashes, that is bucket by bucket."""
     base = positional(df)
     at, limit = df.columns.index(text_col), BLOCK_BYTES
 
@@ -147,11 +170,15 @@ def pre_token_blocks(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
             nonlocal held, numbers, cols, times, lengths, size, number
             rows = pa.Table.from_batches(held).append_column("n_bytes", pa.array(lengths, pa.int64())).append_column(
                 "pairs", pa.array([len(c) for c in cols], pa.int64()))
+            words = [w.encode() for w in numbers]
+            order = np.argsort(bucket_of(words), kind="stable")
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            packed = _ipc(pa.table({"word": pa.array([words[k] for k in order], pa.binary())}))
             row = pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()),
-                 *[pa.array([x], pa.binary()) for x in
-                   (_ipc(rows), pack_pairs(cols, times), _ipc(pa.table({"word": pa.array(list(numbers), pa.string())})))]],
-                names=["block", "rows", "freqs", "words"])
+                [pa.array([number], pa.int64()), pa.array([len(words)], pa.int64()),
+                 *[pa.array([x], pa.binary()) for x in (_ipc(rows), pack_pairs([place[c] for c in cols], times), packed)]],
+                names=["block", "n_words", "rows", "freqs", "words"])
             held, numbers = [], {}
             cols, times, lengths, size = [], [], [], 0
             number += 1
@@ -181,25 +208,31 @@ def pre_token_blocks(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
     return checkpoint(base.mapInArrow(run, BLOCKS_SCHEMA))
 
 
-def block_words(blocks: DataFrame) -> DataFrame:
-    """``(of, pos, word)`` for the distinct pre-tokens of each block."""
+def dealt_words(blocks: DataFrame, bits: int) -> DataFrame:
+    """``(bucket, block, n, size, words)``: each block's pre-tokens by bucket, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = _open(payload).column(0).combine_chunks()
-                for lo in range(0, len(words), 8192):
-                    part = words.slice(lo, 8192)
+                words = _open(payload).column(0).to_pylist()
+                bucket = (bucket_of(words) >> np.uint32(32 - bits)).astype(np.int64)
+                heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+                rows = [(int(bucket[lo]), block, *pack_words(words[lo:hi]))
+                        for lo, hi in zip(heads, [*heads[1:], len(words)])]
+                if rows:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), block)), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)),
-                         part], names=["of", "pos", "word"])
+                        [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.int64(),
+                                                                     pa.binary()))],
+                        names=["bucket", "block", "n", "size", "words"])
 
-    return blocks.select("block", "words").mapInArrow(run, "of long, pos int, word string")
+    return blocks.select("block", "words").mapInArrow(run, "bucket int, block long, n int, size long, words binary")
 
 
 def count_pieces(words: DataFrame, model: PieceModel) -> DataFrame:
-    """``(of, pos, pieces)``: equal words meet in one partition, in order, and the
-    library encodes each once, behind a character that no piece joins to anything."""
+    """``(of, bucket, pieces)`` for dealt words, the counts packed in their order.  The
+    rows of a bucket follow each other in one task, which remembers the counts of
+    the bucket: the library encodes each distinct pre-token once, behind a
+    character that no piece joins to anything."""
     shared = words.sparkSession.sparkContext.broadcast((model.data, model.border))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,21 +240,26 @@ def count_pieces(words: DataFrame, model: PieceModel) -> DataFrame:
         data, border = shared.value
         library = SentencePieceProcessor(model_proto=data)
         own = len(library.encode(border))
-        last, last_n = None, 0
+        now, known = None, {}
         for batch in batches:
-            runs = batch.column(2).dictionary_encode()  # in order of appearance, hence sorted
-            distinct = runs.dictionary.to_pylist()
-            known = bool(distinct) and distinct[0] == last
-            ids = library.encode([border + w for w in distinct[known:]], num_threads=1)
-            pieces = np.array([last_n] * known + [len(x) - own for x in ids], np.int64)
-            if distinct:
-                last, last_n = distinct[-1], int(pieces[-1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(pieces[runs.indices.to_numpy()])],
-                names=["of", "pos", "pieces"])
-
-    return (words.repartition("word").sortWithinPartitions("word")
-            .mapInArrow(run, "of long, pos int, pieces long"))
+            for row in range(batch.num_rows):
+                bucket, block, n, size, packed = (c[row].as_py() for c in batch.columns)
+                if bucket != now:
+                    now, known = bucket, {}
+                found = open_words(n, size, packed)
+                new = [w for w in found if w not in known]
+                for lo in range(0, len(new), 1024):
+                    part = new[lo:lo + 1024]
+                    ids = library.encode([border + w.decode() for w in part], num_threads=1)
+                    known.update(zip(part, [len(x) - own for x in ids]))
+                pieces = np.fromiter(map(known.__getitem__, found), "<u4", n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int64()), pa.array([bucket], pa.int32()),
+                     pa.array([pa.compress(pieces.tobytes(), codec="zstd", asbytes=True)], pa.binary()),
+                     pa.array([n], pa.int32())], names=["of", "bucket", "pieces", "n"])
+
+    return (words.repartition("bucket").sortWithinPartitions("bucket")
+            .mapInArrow(run, "of long, bucket int, pieces binary, n int"))
 
 
 def count_tokens(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -231,13 +269,18 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     model = PieceModel(path)
     at = df.columns.index(text_col)
     blocks = pre_token_blocks(df, text_col, model.pattern)
-    counted = count_pieces(block_words(blocks), model)
+    total = blocks.agg(F.sum("n_words")).first()[0] or 0
+    bits = max(2 * shuffle_partitions(df.sparkSession), total // BUCKET_WORDS).bit_length()
+    counted = count_pieces(dealt_words(blocks, bits), model)
     fields = [f for k, f in enumerate(positional(df).schema.fields) if k != at]
     schema = T.StructType(fields + T.StructType.fromDDL("r_n_bytes long, r_n_tokens long").fields)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        pieces = np.zeros(right.num_rows, np.int64)
-        pieces[right.column("pos").to_numpy()] = right.column("pieces").to_numpy()
+        parts = sorted(zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(),
+                           right.column("pieces").to_pylist()))
+        pieces = np.concatenate([np.zeros(0, np.int64), *[
+            np.frombuffer(pa.decompress(blob, decompressed_size=4 * n, codec="zstd", asbytes=True), "<u4")
+            for _, n, blob in parts]]).astype(np.int64)
         rows = _open(left.column("rows")[0].as_py())
         tokens = pair_sums(left.column("freqs")[0].as_py(), rows.column("pairs").to_numpy(), pieces)
         return rows.drop_columns(["pairs"]).append_column("n_tokens", pa.array(tokens)).rename_columns(schema.names)

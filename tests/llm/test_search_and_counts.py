@@ -72,14 +72,19 @@ def test_every_pre_token_is_counted_once(spark, monkeypatch):
     model = token_counts.PieceModel(queries.vocabulary_path(queries.PIECE_BPE))
     blocks = token_counts.pre_token_blocks(df, "text", model.pattern)
     assert blocks.count() > 4
-    words = token_counts.block_words(blocks)
-    assert {(r.word, r.pos) for r in words.collect()} == {(" one", 0), (" two", 1), (" three", 2)}
-    assert words.count() == 3 * blocks.count()
-    found = token_counts.count_pieces(words, model).withColumn("part", F.spark_partition_id())
-    rows = found.join(words, ["of", "pos"]).collect()
-    assert len(rows) == 3 * blocks.count() and all(r.pieces == 1 for r in rows)
-    # all rows of a word come from one task, which sees them in a row
-    assert len({(r.word, r.part) for r in rows}) == 3
+    words = token_counts.dealt_words(blocks, 3)
+    seen = Counter(w for r in words.collect() for w in token_counts.open_words(r.n, r.size, r.words))
+    assert seen == dict.fromkeys([b" one", b" two", b" three"], blocks.count())
+    # all rows of a bucket come from one task, one after the other
+    found = token_counts.count_pieces(words, model).withColumn("part", F.spark_partition_id()).collect()
+    assert sum(r.n for r in found) == 3 * blocks.count()
+    assert len({(r.bucket, r.part) for r in found}) == len({r.bucket for r in found})
+
+
+def test_packed_words_come_back():
+    for words in ([], [b""], ["é", "", "a\0b", "x" * 300]):
+        words = [w if isinstance(w, bytes) else w.encode() for w in words]
+        assert token_counts.open_words(*token_counts.pack_words(words)) == words
 
 
 def test_token_counts_of_an_empty_table_and_the_query(spark, sf_dir, pieces):
