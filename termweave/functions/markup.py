@@ -78,6 +78,7 @@ class NodeStream(HTMLParser):
         self.elements: list[dict] = []
         self.texts: list[str] = []
         self.stack: list[tuple[str, int | None]] = []  # (tag, element index or None if dropped)
+        self.depths: dict[str, list[int]] = {}  # places in the stack of the open elements of a name
         self.hidden = 0  # open excluded elements
         self.quiet = 0  # open elements that keep their text to themselves
         self.buf: list[str] = []
@@ -116,6 +117,7 @@ class NodeStream(HTMLParser):
             self.elements.append({"tag": tag, "t0": n, "t1": n, "last": idx, "attrs": a})
         if void:
             return
+        self.depths.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, idx))
         self.quiet += tag in OWN_TEXT_TAGS
         if drop:
@@ -123,6 +125,7 @@ class NodeStream(HTMLParser):
 
     def _close_top(self):
         tag, idx = self.stack.pop()
+        self.depths[tag].pop()
         self.quiet -= tag in OWN_TEXT_TAGS
         if idx is None:
             self.hidden -= 1
@@ -139,11 +142,10 @@ class NodeStream(HTMLParser):
 
     def handle_endtag(self, tag):
         self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                while len(self.stack) > i:
-                    self._close_top()
-                return
+        if depths := self.depths.get(tag):
+            to = depths[-1]
+            while len(self.stack) > to:
+                self._close_top()
 
     def handle_comment(self, data):
         self.flush()

@@ -19,6 +19,40 @@ def rounded(value: F.Column, decimals: int) -> F.Column:
     return F.rint(value * scale) / scale
 
 
+def printed(value: F.Column, decimals: int) -> F.Column:
+    """A double as C's ``printf("%.nf")`` shows it: ties are decided on the binary
+    value (0.025 is a little more than its name says, so it shows as 0.03).
+
+    The scaled value is one double; where that double is a tie, the exact error of
+    the product (by splitting both factors in halves) says on which side of
+    it the value lies, and only a value without error rounds half to even.  For
+    values below 2 ** 53 / 10 ** decimals in size; beyond, all printed digits but
+    the first 15 are up to the JVM."""
+    scale = float(10 ** decimals)
+    s_hi, s_lo = _halves(scale)
+    v = value.cast("double")
+    product = v * F.lit(scale)
+    c = v * F.lit(SPLIT)
+    hi = c - (c - v)
+    lo = v - hi
+    error = lo * F.lit(s_lo) - (((product - hi * F.lit(s_hi)) - lo * F.lit(s_hi)) - hi * F.lit(s_lo))
+    below = F.floor(product).cast("double")
+    tie = product - below == 0.5
+    whole = (F.when(tie & (error > 0), below + 1).when(tie & (error < 0), below).otherwise(F.rint(product)))
+    # the sign of a value that rounds to zero stays, as in C
+    return F.format_string(f"%.{decimals}f", F.when((whole == 0) & (v < 0), F.lit(-0.0)).otherwise(whole / F.lit(scale)))
+
+
+# Splits a double into two halves of 26 bits (Dekker).
+SPLIT = float(2 ** 27 + 1)
+
+
+def _halves(x: float) -> tuple[float, float]:
+    c = x * SPLIT
+    hi = c - (c - x)
+    return hi, x - hi
+
+
 def bar_table(ranked: DataFrame, value_col: str, keys: Sequence[str] = DOC_KEYS,
               top_n: int = 20, decimals: int = 4) -> DataFrame:
     """The first ``top_n`` rows (by ``rank``), ordered ascending by value
@@ -55,33 +89,36 @@ def comparison_matrix(scores: DataFrame, top_n: int = 15,
     Terms: union of each document's first ``top_n`` terms, cut to ``top_n``
     per set by best score then term (deterministic, X3).  One row per
     (document with rows, chosen term); ``value`` is 0 where the document lacks
-    the term.  The chosen terms travel as one array of at most ``top_n`` per
-    set, so the grid is built per document without a pair join.
+    the term.  A document's scores become one row, ranked inside it; the best
+    terms and the grid both read the exchange of these rows, so the scores are made
+    once.  The chosen terms travel as one array of at most ``top_n`` per set.
     """
-    w_doc = Window.partitionBy(*DOC_KEYS).orderBy(F.desc(value_col), F.asc("term"))
-    marked = scores.withColumn("_r", F.row_number().over(w_doc))
-    best = marked.filter(F.col("_r") <= top_n).groupBy("set_id", "term").agg(F.max(value_col).alias("_best"))
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct(
+        (-F.col(value_col).cast("double")).alias("k"), F.col("term")))),
+        lambda x: F.struct(x["term"].alias("term"), (-x["k"]).alias("value")))
+    # dealt by another key than before, so that the exchange stays and is read twice
+    docs = scores.groupBy(*DOC_KEYS).agg(ranked.alias("_scores")).repartition(F.xxhash64(*DOC_KEYS))
+    first = docs.select("set_id", F.inline(F.slice("_scores", 1, top_n)))
+    best = first.groupBy("set_id", "term").agg(F.max("value").alias("_best"))
     w_set = Window.partitionBy("set_id").orderBy(F.desc("_best"), F.asc("term"))
     chosen = best.withColumn("term_order", F.row_number().over(w_set)).filter(
         F.col("term_order") <= top_n)
     per_set = chosen.groupBy("set_id").agg(
         F.array_sort(F.collect_list(F.struct("term_order", "term"))).alias("_terms"))
-    # a document's scores as one map (at most the vocabulary's size), looked up per chosen term
-    docs = scores.groupBy(*DOC_KEYS).agg(F.map_from_entries(
-        F.collect_list(F.struct("term", F.col(value_col).cast("double")))).alias("_values"))
-    grid = docs.join(per_set, "set_id").select(*DOC_KEYS, "_values", F.inline("_terms"))
+    values = F.map_from_entries("_scores")
+    grid = docs.join(per_set, "set_id").select(*DOC_KEYS, values.alias("_values"), F.inline("_terms"))
     return grid.select(*DOC_KEYS, "term", "term_order",
                        F.coalesce(F.try_element_at("_values", F.col("term")), F.lit(0.0)).alias("value"))
 
 
 def metric_labels(metrics: DataFrame, keys: Sequence[str] = ("set_id",)) -> DataFrame:
-    """One row per (key, metric); floats shown with 2 decimals, others as
-    they are."""
+    """One row per (key, metric); floats shown with 2 decimals as ``printf``
+    shows them, others as they are."""
     fields = [f for f in metrics.schema.fields if f.name not in keys]
     parts = []
     for f in fields:
         is_float = f.dataType.typeName() in ("double", "float")
         v = F.col(f.name)
-        label = F.format_string("%.2f", rounded(v.cast("double"), 2)) if is_float else v.cast("string")
+        label = printed(v, 2) if is_float else v.cast("string")
         parts.append(F.struct(F.lit(f.name).alias("metric"), label.alias("label")))
     return metrics.select(*keys, F.inline(F.array(*parts)))

@@ -30,7 +30,7 @@ def doc_tokens(docs: DataFrame, stopwords: Iterable[str] | DataFrame | None, min
     """T11 per document: ``(set_id, doc_id, *keep, tokens ARRAY<STRING>)``.
 
     ``stopwords`` as Python words are a literal set; as a DataFrame (column
-    ``word``, any length) they are anti-joined.  ``by_doc=True`` hash-partitions
+    ``word``, any length) see ``drop_table_words``.  ``by_doc=True`` hash-partitions
     the token arrays by document so the per-document operators run
     exchange-free; map-only and set-level operators pass ``False``.
     """
@@ -43,17 +43,54 @@ def doc_tokens(docs: DataFrame, stopwords: Iterable[str] | DataFrame | None, min
     return by_document(out) if by_doc else out
 
 
+# Numbers of 64 bits in the filter of ``drop_table_words`` (32 KB, whatever the length of
+# the table; one of more than some 100,000 words clears little, but loses nothing).
+FILTER_WORDS = 1 << 12
+
+
+def _filter_place(word) -> tuple[F.Column, F.Column]:
+    """Place of a word in the filter: the number, and the bit in it."""
+    h = F.xxhash64(word)
+    return F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)).cast("int"), F.pmod(h, F.lit(64)).cast("int")
+
+
+def word_filter(words: DataFrame) -> F.Column:
+    """One bit for the hash of every word of the table (column ``word``), as an array of
+    ``FILTER_WORDS`` numbers: a scalar subquery of fixed size."""
+    at, bit = _filter_place(F.col("word"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    bits = words.groupBy(at.alias("at")).agg(F.bit_or(one).alias("bits"))
+    found = bits.agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m"))
+    return found.select(F.transform(F.sequence(F.lit(0), F.lit(FILTER_WORDS - 1)), lambda k: F.coalesce(
+        F.try_element_at("m", k), F.lit(0).cast("bigint"))).alias("bits")).scalar()
+
+
 def drop_table_words(tokens: DataFrame, words: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """T10 with a table: tokens anti-joined on the word (the planner picks the
-    strategy, a frequent word is split by adaptive execution), then regrouped by
-    document in their order.  Documents left without tokens keep an empty array."""
-    each = tokens.select(*cols, F.posexplode_outer("tokens").alias("_pos", "_word"))
-    kept = each.join(words.select(F.col("word").alias("_word")), "_word", "left_anti")
-    # the empty marker keeps every document in the grouping
-    rows = tokens.select(*cols).withColumns({"_pos": F.lit(None).cast("int"), "_word": F.lit(None).cast("string")})
-    listed = F.array_sort(F.collect_list(F.when(F.col("_word").isNotNull(), F.struct("_pos", "_word"))))
-    return (kept.select(*rows.columns).unionByName(rows).groupBy(*cols)
-            .agg(F.transform(listed, lambda x: x["_word"]).alias("tokens")))
+    """T10 with a table of words (column ``word``, distinct), of any length.
+
+    The tokens are shuffled once, by document, and then filtered inside the row.  A
+    filter of fixed size clears most of them; the distinct tokens of a document
+    that it does not clear are looked up in the table by a join (a frequent one
+    has a row for each document, which adaptive execution splits), and the
+    words found come back to their document as a small array.  Documents left
+    without tokens keep an empty array."""
+    # one key for set and document: nulls in them are values like any other, and the
+    # exchange is not taken for one that the rows went through before
+    dealt = tokens.withColumn("_key", F.struct(*DOC_KEYS)).repartition("_key")
+
+    def suspect(x: F.Column) -> F.Column:
+        at, bit = _filter_place(x)
+        return F.getbit(F.element_at(F.col("_filter"), at + 1), bit) == 1
+
+    # explode_outer: see ``terms``; a filter on the array would move below the exchange
+    asked = dealt.withColumn("_filter", word_filter(words)).select(
+        "_key", F.explode_outer(F.array_distinct(F.filter("tokens", suspect))).alias("_word"))
+    found = asked.filter(F.col("_word").isNotNull()).join(
+        words.select(F.col("word").alias("_word")), "_word", "left_semi")
+    gone = found.groupBy("_key").agg(F.collect_set("_word").alias("_gone"))
+    kept = F.filter("tokens", lambda x: ~F.array_contains("_gone", x))
+    return dealt.join(gone, "_key", "left").select(
+        *cols, F.when(F.col("_gone").isNull(), F.col("tokens")).otherwise(kept).alias("tokens"))
 
 
 def raw_word_tokens(docs: DataFrame, min_chars: int, text_col: str = "text",

@@ -14,10 +14,16 @@ columns (X5).
 Plan shape: token arrays are partitioned by document, so the per-document
 counts and the L2 norm run without an exchange.  The counts are not stored: the
 vocabulary and the weights each make them from the same exchange of tokens,
-which Spark runs once.  The vocabulary cut is a partial ``WindowGroupLimit``.
+which Spark runs once.  A marker row for every non-blank document goes with the
+terms, so ``N``, the document frequencies and the totals come from one aggregate and
+the texts are read once.  The vocabulary cut is a partial ``WindowGroupLimit``.
+
 The hottest ``(set_id, term)`` has a row for every document of its set, so the
-weighting join is salted: the vocabulary (at most ``max_features`` terms a set) is
-repeated ``SALTS`` times, the rows of a term are dealt over the salts.
+weighting join is salted by document frequency: a term gets one salt for every
+``ROWS_PER_TASK`` documents that hold it, other terms none.  Which terms are hot is
+known to both sides from a table of ``SALT_SLOTS`` numbers (the most salts of the
+terms that hash to a slot), a scalar subquery over the vocabulary: its size is
+fixed, and terms that share a slot with a hot one are salted alike on both sides.
 """
 
 from __future__ import annotations
@@ -31,29 +37,43 @@ from termweave.sources.docsets import DocSets, nonblank
 
 DOC_KEYS = TM.DOC_KEYS
 
-SALTS = 16
+# The term of the marker row of a non-blank document; no token is empty.
+MARK = ""
+# Rows of one (set, term) that a task of the weighting join should get at most.
+ROWS_PER_TASK = 1_000_000
+SALT_SLOTS = 4_096
+
+
+def _counts(toks: DataFrame, grams, keep, by: tuple = ()) -> DataFrame:
+    # explode_outer + null filter: plain explode makes Spark infer a
+    # ``size(tokens) > 0`` filter and push the whole tokeniser below the
+    # document repartition (evaluated twice, before the data is spread)
+    exploded = toks.select(*DOC_KEYS, *keep, *by, F.explode_outer(grams).alias("term"))
+    exploded = exploded.filter(F.col("term").isNotNull())
+    return exploded.groupBy(*DOC_KEYS, *keep, *by, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _marked(grams) -> F.Column:
+    return F.concat(F.array(F.lit(MARK)), grams)
 
 
 def raw_ngram_counts(docs: DataFrame, min_chars: int, ns=(1, 2, 3), keep=("role",)) -> DataFrame:
     """Counts per (document, n, term) for several n in one pass over the texts:
-    ``(set_id, doc_id, *keep, n, term, tf)``."""
-    each = TM.terms(TM.raw_word_tokens(nonblank(docs), min_chars, keep=keep), ns, keep)
-    return each.groupBy(*DOC_KEYS, *keep, "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    ``(set_id, doc_id, *keep, n, term, tf)``, with a marker row for each n."""
+    toks = TM.raw_word_tokens(nonblank(docs), min_chars, keep=keep)
+    each = F.inline(F.array(*[F.struct(F.lit(int(n)).alias("n"), _marked(T.ngrams(F.col("tokens"), int(n))).alias("g"))
+                              for n in ns]))
+    return _counts(toks.select(*DOC_KEYS, *keep, each), F.col("g"), keep, ("n",))
 
 
 def raw_term_counts(docs: DataFrame, min_chars: int, ngram_range: tuple[int, int] = (1, 1),
-                    keep=("role",)) -> DataFrame:
+                    keep=("role",), marked: bool = True) -> DataFrame:
     """Counts per (document, term) over the TF-IDF token stream of non-blank
-    documents: ``(set_id, doc_id, *keep, term, tf)``."""
+    documents: ``(set_id, doc_id, *keep, term, tf)``; with ``marked`` each document
+    has a row of term ``MARK`` too."""
     toks = TM.raw_word_tokens(nonblank(docs), min_chars, keep=keep)
-    lo, hi = ngram_range
-    grams = T.ngram_range(F.col("tokens"), lo, hi)
-    # explode_outer + null filter: plain explode makes Spark infer a
-    # ``size(tokens) > 0`` filter and push the whole tokeniser below the
-    # document repartition (evaluated twice, before the data is spread)
-    exploded = toks.select(*DOC_KEYS, *keep, F.explode_outer(grams).alias("term"))
-    exploded = exploded.filter(F.col("term").isNotNull())
-    return exploded.groupBy(*DOC_KEYS, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
+    grams = T.ngram_range(F.col("tokens"), *ngram_range)
+    return _counts(toks, _marked(grams) if marked else grams, keep)
 
 
 def doc_counts(docs: DataFrame) -> DataFrame:
@@ -62,27 +82,51 @@ def doc_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(tf: DataFrame, max_features: int | None, by=("set_id",)) -> DataFrame:
-    """V1 (+ document frequency of V2): ``(*by, term, total, df, rank)`` for the
-    ``max_features`` terms with the largest total count per ``by`` (the set, or
-    set and n)."""
+    """V1 + V2 from marked counts: ``(*by, term, total, df, n_docs, rank)`` for the
+    ``max_features`` terms with the largest total count per ``by`` (the set, or set
+    and n).  The marker is ranked before all terms, so the cut keeps its row, whose
+    document frequency is ``n_docs`` (V2's N: non-blank documents)."""
     totals = tf.groupBy(*by, "term").agg(F.sum("tf").alias("total"),
                                          F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy(*by).orderBy(F.desc("total"), F.asc("term"))
+    is_mark = F.col("term") == MARK
+    w = Window.partitionBy(*by).orderBy(F.desc(is_mark), F.desc("total"), F.asc("term"))
     ranked = totals.withColumn("rank", F.row_number().over(w))
-    return ranked.filter(F.col("rank") <= max_features) if max_features else ranked
+    if max_features:
+        ranked = ranked.filter(F.col("rank") <= max_features + 1)
+    out = ranked.withColumn("n_docs", F.max(F.when(is_mark, F.col("df"))).over(Window.partitionBy(*by)))
+    return out.filter(~is_mark).withColumn("rank", F.col("rank") - 1)
 
 
-def idf(vocab: DataFrame, n_docs: DataFrame) -> DataFrame:
+def idf(vocab: DataFrame) -> DataFrame:
     """V3: smoothed idf per kept term (``ln((1+N)/(1+df)) + 1``)."""
-    v = vocab.join(n_docs, "set_id")
-    return v.withColumn("idf", F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0)
-
-
-def weights(tf: DataFrame, idf_table: DataFrame, keep=("role",), by=("set_id",)) -> DataFrame:
-    """V4 + V5: ``weight = tf * idf`` and the L2-normalised ``tfidf_score``.
-    The rows of a term are dealt over ``SALTS`` keys by document."""
-    small = idf_table.select(*by, "term", "idf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    dealt = tf.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return vocab.withColumn("idf", F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0)
+
+
+def salt_table(vocab: DataFrame, by, rows_per_task: int) -> F.Column:
+    """Salts of each slot as an array of ``SALT_SLOTS`` numbers, as a scalar subquery:
+    the largest ``ceil(df / rows_per_task)`` of the terms that hash to the slot."""
+    hot = vocab.filter(F.col("df") > rows_per_task).groupBy(_slot(by).alias("_slot")).agg(
+        F.max(F.ceil(F.col("df") / rows_per_task)).cast("int").alias("_n"))
+    found = hot.agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_n"))).alias("m"))
+    return found.select(F.transform(F.sequence(F.lit(0), F.lit(SALT_SLOTS - 1)),
+                                    lambda k: F.coalesce(F.try_element_at("m", k), F.lit(1)))).scalar()
+
+
+def _slot(by) -> F.Column:
+    return F.pmod(F.xxhash64(*by, "term"), F.lit(SALT_SLOTS)).cast("int")
+
+
+def weights(tf: DataFrame, idf_table: DataFrame, keep=("role",), by=("set_id",),
+            rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """V4 + V5: ``weight = tf * idf`` and the L2-normalised ``tfidf_score``.  The rows
+    of a term are dealt by document over its salts (see the module)."""
+    # never null: a nullable join key would be tested on every exploded term
+    salts = F.coalesce(F.element_at(F.col("_salts"), _slot(by) + 1), F.lit(1))
+    table = salt_table(idf_table, by, rows_per_task)
+    small = idf_table.select(*by, "term", "idf", table.alias("_salts")).select(
+        *by, "term", "idf", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+    dealt = tf.filter(F.col("term") != MARK).withColumn("_salts", table).withColumn(
+        "_salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), salts).cast("int"), F.lit(0))).drop("_salts")
     w = dealt.join(small, [*by, "term", "_salt"]).withColumn("weight", F.col("tf") * F.col("idf"))
     more = [c for c in by if c not in DOC_KEYS]
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*DOC_KEYS, *more)))
@@ -98,7 +142,7 @@ def tfidf(sets: DocSets, min_chars: int = 1, ngram_range: tuple[int, int] = (1,
     ``min_chars=2`` with any range is ``analyze_ngrams`` (V9).
     """
     tf = raw_term_counts(sets.docs, min_chars, ngram_range, keep)
-    return weights(tf, idf(vocabulary(tf, max_features), doc_counts(sets.docs)), keep)
+    return weights(tf, idf(vocabulary(tf, max_features)), keep)
 
 
 def analyze_multiple_documents(sets: DocSets, max_features: int = 200) -> DataFrame:
@@ -115,7 +159,7 @@ def analyze_each_n(sets: DocSets, ns=(1, 2, 3), max_features: int = 200, keep=("
     """V9 for each n by itself (own vocabulary and norm), in one pass:
     ``(set_id, doc_id, *keep, n, term, frequency, weight, tfidf_score)``."""
     tf, by = raw_ngram_counts(sets.docs, 2, ns, keep), ("set_id", "n")
-    return weights(tf, idf(vocabulary(tf, max_features, by), doc_counts(sets.docs)), keep, by)
+    return weights(tf, idf(vocabulary(tf, max_features, by)), keep, by)
 
 
 def ranked(scores: DataFrame, k: int | None, score_col: str | None = None,
@@ -137,7 +181,7 @@ def analyze_single_document(docs: DataFrame, max_features: int = 100) -> DataFra
     ``(set_id, doc_id, term, frequency, score, rank)``; rank orders by
     frequency desc, then term.  Blank text gives no rows.
     """
-    tf = raw_term_counts(docs, 2, (1, 1), keep=())
+    tf = raw_term_counts(docs, 2, (1, 1), keep=(), marked=False)
     w = Window.partitionBy(*DOC_KEYS).orderBy(F.desc("tf"), F.asc("term"))
     kept = tf.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_features)
     total = F.sum("tf").over(Window.partitionBy(*DOC_KEYS))
@@ -153,12 +197,14 @@ def tfidf_gap(sets: DocSets, max_features: int = 200) -> DataFrame:
     any scored term makes every competitor term a gap.
     ``(set_id, term, avg_tfidf_score, competitors)``.
     """
-    scores = analyze_multiple_documents(sets, max_features)
+    tf = raw_term_counts(sets.docs, 1)
+    scores = weights(tf, idf(vocabulary(tf, max_features)))
     is_comp = F.col("role") == "competitor"
     per_term = scores.groupBy("set_id", "term").agg(
         F.avg(F.when(is_comp, F.col("tfidf_score"))).alias("avg_tfidf_score"),
         F.count_if(is_comp).alias("competitors"),
         F.max(~is_comp).alias("_in_target"))
-    live = nonblank(sets.docs.filter(F.col("role") == "target")).select("set_id")
+    # the marker of a non-blank target, from the same exchange of tokens
+    live = tf.filter((F.col("role") == "target") & (F.col("term") == MARK)).select("set_id")
     return (per_term.filter((F.col("competitors") > 0) & ~F.col("_in_target")).drop("_in_target")
             .join(live, "set_id", "left_semi"))

@@ -212,7 +212,7 @@ def q_vocabulary(spark, sf_dir):
 def q_idf(spark, sf_dir):
     s = doc_sets(spark, sf_dir)
     v = TF.vocabulary(TF.raw_term_counts(s.docs, 1), 200)
-    t = TF.idf(v, TF.doc_counts(s.docs))
+    t = TF.idf(v)
     return t.select("set_id", "term", "df", "n_docs", r6("idf").alias("idf"))
 
 
@@ -672,7 +672,8 @@ for _n in (1, 2, 3):
 def q_table_stopword_tokens(spark, sf_dir):
     """S7/T10 with a stopword table of any length (here the words of ``benchmark``)."""
     lines = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.split("text", " ")).alias("value"))
-    t = TM.doc_tokens(DS.read_documents(spark, sf_dir), SW.stopwords_table(spark, lines=lines))
+    t = TM.doc_tokens(DS.read_documents(spark, sf_dir), SW.stopwords_table(spark, lines=lines),
+                      by_doc=False)
     return t.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -694,14 +695,16 @@ def q_comparison_report(spark, sf_dir):
 
 @register("given_names", O.with_ctes(O.DOCS_CTE) +
           "select set_id, name, max(doc_id) as doc_id from (select docs.set_id, docs.doc_id, d.lang as name "
-          "from docs join documents d on docs.doc_id = d.doc_id where docs.ord < 40) group by set_id, name")
+          "from docs join documents d on docs.doc_id = d.doc_id qualify docs.ord < max(docs.ord) over "
+          "(partition by docs.set_id)) group by set_id, name")
 def q_given_names(spark, sf_dir):
-    """D2 with given names (here the language), 40 for each set: documents beyond
-    them are cut off and equal names collapse."""
+    """D2 with given names (here the language), one for every document of a set but
+    its last, which is cut off; equal names collapse."""
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("source").alias("set_id"), "doc_id", F.col("lang").alias("name"))
     ordered = DS.with_ordinal(raw)
-    names = ordered.filter(F.col("ord") < 40).select("set_id", "ord", "name")
+    ends = ordered.groupBy("set_id").agg(F.max("ord").alias("_end"))
+    names = ordered.join(ends, "set_id").filter(F.col("ord") < F.col("_end")).select("set_id", "ord", "name")
     return CM.given_names(ordered.drop("name"), names).select("set_id", "name", "doc_id")
 
 

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import functools
 import os
+import warnings
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +50,9 @@ def stopwords_table(spark: SparkSession, path: str | None = None,
     """S7/S8 as a one-column table ``word``.
 
     From a file, or a table of ``lines`` (column ``value``): one word per line,
-    stripped, lower-cased, blanks dropped, distinct.  When there is neither, the
-    path cannot be read or no word is found, the default list is used (S8).
+    stripped, lower-cased, blanks dropped, distinct.  When there is neither, there is
+    nothing at the path or no word is found, the default list is used (S8); any
+    other failure to read is raised.
     """
     default = spark.createDataFrame([(w,) for w in spark_default(language)], "word string")
     if lines is None:
@@ -57,11 +60,13 @@ def stopwords_table(spark: SparkSession, path: str | None = None,
             return default
         try:
             lines = spark.read.text(path)
-        except Exception:  # missing or unreadable path -> fallback
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            warnings.warn(f"no stopwords at {path}: the {language} default list is used", stacklevel=2)
             return default
     words = (lines.select(F.lower(strip_ws(F.col("value"))).alias("word"))
              .filter(F.col("word") != "").distinct())
-    # default words only when the source gave none: a join on one constant key
-    found = words.limit(1).select(F.lit(1).alias("_k"))
-    fallback = default.withColumn("_k", F.lit(1)).join(found, "_k", "left_anti").select("word")
-    return words.unionByName(fallback)
+    # default words only when the source gave none (one number, before the plan runs)
+    given = words.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return words.unionByName(default.filter(given == 0))

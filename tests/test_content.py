@@ -73,3 +73,17 @@ def test_node_stream_shape():
     p = s["elements"][2]
     assert s["texts"][p["t0"]:p["t1"]] == ["a", "b"]
     assert p["last"] == 3
+
+
+def test_unclosed_tags_and_stray_ends_cost_nothing():
+    import time
+
+    from termweave.functions.markup import parse_nodes
+
+    page = "<body>" + "<span>a</i></b>" * 100_000 + "<p>end</p>"
+    start = time.time()
+    nodes = parse_nodes(page)
+    assert time.time() - start < 4
+    assert len(nodes["elements"]) == 100_002 and nodes["texts"][-1] == "end"
+    # the same shape as a small page: every span stays open to the end
+    assert {e["last"] for e in nodes["elements"][:3]} == {100_001}

@@ -181,3 +181,103 @@ def test_roles(spark):
     assert isinstance(s, DocSets)
     roles = {(r.set_id, r.doc_id): r.role for r in s.docs.collect()}
     assert roles == {("a", 3): "target", ("a", 5): "competitor", ("b", 9): "target"}
+
+
+@pytest.mark.parametrize("rows_per_task", [1, 3, 10 ** 6])
+def test_weights_do_not_depend_on_the_salts(spark, rows_per_task):
+    rng = random.Random(2)
+    rows = [("hot", k, " ".join(["common", *rng.sample(["aa", "bb", "cc", "dd", "ee"], rng.randint(0, 4))]))
+            for k in range(40)] + [("cold", 100, "aa bb"), ("cold", 101, "aa"), ("hot", 102, "  ")]
+    s = sets_of(spark, rows)
+    tf = TF.raw_term_counts(s.docs, 1)
+    vocab = TF.vocabulary(tf, 4)
+    got = TF.weights(tf, TF.idf(vocab), rows_per_task=rows_per_task).collect()
+    want = {}
+    for name in ("hot", "cold"):
+        for k, scores in py_tfidf({k: t for g, k, t in rows if g == name}, 4).items():
+            want.update({(name, k, t): v for t, v in scores.items()})
+    assert {(r.set_id, r.doc_id, r.term) for r in got} == set(want)
+    assert all(abs(r.tfidf_score - want[r.set_id, r.doc_id, r.term]) < 1e-12 for r in got)
+    assert {(r.set_id, r.n_docs) for r in vocab.collect()} == {("hot", 40), ("cold", 2)}
+
+
+def test_a_common_term_is_spread_in_proportion(spark):
+    s = sets_of(spark, [("a", k, "common rare" if k == 7 else "common") for k in range(200)])
+    tf = TF.raw_term_counts(s.docs, 1)
+    table = spark.range(1).select(TF.salt_table(TF.vocabulary(tf, None), ("set_id",), 20).alias("t")).first().t
+    assert len(table) == TF.SALT_SLOTS and sorted(table)[-2:] == [1, 10]
+
+
+def test_tfidf_reads_each_text_once(spark):
+    s = sets_of(spark, [("a", k, f"aa bb c{k}") for k in range(9)])
+    out = TF.analyze_multiple_documents(s, 5)
+    # one exchange of documents' texts in the logical plan's scan; N has no branch of its own
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    main = plan.split("scalar-subquery")[0]
+    assert main.count("regexp_extract_all") <= 2  # vocabulary and weights, from one exchange
+
+
+def stop_rows(spark, rows, words, **kw):
+    docs = spark.createDataFrame(rows, "set_id string, doc_id bigint, text string")
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    return {(r.set_id, r.doc_id): r.tokens for r in TM.doc_tokens(docs, table, by_doc=False, **kw).collect()}
+
+
+@pytest.mark.parametrize("size", [1, 1 << 12])
+def test_table_stopwords_in_the_row(spark, monkeypatch, size):
+    monkeypatch.setattr(TM, "FILTER_WORDS", size)  # one number: nearly every word is suspected
+    rng = random.Random(size)
+    letters = [f"w{k}" for k in range(400)]
+    rows = [("a" if k % 3 else None, k if k % 7 else None, " ".join(rng.choices(letters, k=rng.randint(0, 30))))
+            for k in range(1, 120)]
+    rows = list({(s, d): (s, d, t) for s, d, t in rows}.values()) + [("b", 1, None), ("b", 2, "w1 w1")]
+    words = {f"w{k}" for k in range(0, 400, 3)} | {"w1"}
+    got = stop_rows(spark, rows, words)
+    assert got == {(s, d): [w for w in (t or "").split() if w not in words] for s, d, t in rows}
+    assert stop_rows(spark, rows, [])[("b", 2)] == ["w1", "w1"]
+
+
+def test_table_stopwords_move_no_token_rows(spark):
+    docs = spark.createDataFrame([("a", 1, "x yy")], "set_id string, doc_id bigint, text string")
+    out = TM.doc_tokens(docs, spark.createDataFrame([("yy",)], "word string"), by_doc=False)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "posexplode" not in plan
+
+
+def test_stopwords_fall_back_only_when_nothing_is_there(spark, tmp_path):
+    from termweave.sources.stopwords import spark_default, stopwords_table
+
+    some, none = tmp_path / "some.txt", tmp_path / "none.txt"
+    some.write_text("Le\n la \n\nle\n")
+    none.write_text(" \n")
+    default = set(spark_default("french"))
+    assert {r.word for r in stopwords_table(spark, str(some)).collect()} == {"le", "la"}
+    assert {r.word for r in stopwords_table(spark, str(none)).collect()} == default
+    with pytest.warns(UserWarning):
+        assert {r.word for r in stopwords_table(spark, str(tmp_path / "missing")).collect()} == default
+    plan = stopwords_table(spark, str(some))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
+
+
+def test_labels_print_as_c_does(spark):
+    from termweave.operators.report import printed
+
+    values = [k / 4000 for k in range(4001)] + [k / 20000 for k in range(20001)] + [-x / 4000 for x in range(300)]
+    values += [0.125, 0.375, 2.5, 1e9 + 0.005, 123456.785, -0.001, 0.0, 99.995, 100.0, 1 / 3]
+    rng = random.Random(1)
+    values += [rng.uniform(-1e6, 1e6) for _ in range(2000)] + [rng.randrange(10 ** 8) / 1000 for _ in range(2000)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for decimals in (2, 3):
+        for r in df.select("v", printed(F.col("v"), decimals).alias("s")).collect():
+            assert r.s == f"{r.v:.{decimals}f}", (r.v, r.s)
+
+
+def test_matrix_makes_the_scores_once(spark):
+    from termweave.operators import report as RP
+
+    scores = spark.createDataFrame([("a", 1, "x", 0.5), ("a", 1, "y", 0.7), ("a", 2, "x", 0.9), ("a", 2, "z", 0.1),
+                                    ("a", 3, "y", 0.7)], "set_id string, doc_id bigint, term string, tfidf_score double")
+    got = {(r.doc_id, r.term, r.term_order): r.value for r in RP.comparison_matrix(scores, 2).collect()}
+    assert got == {(1, "x", 1): 0.5, (1, "y", 2): 0.7, (2, "x", 1): 0.9, (2, "y", 2): 0.0, (3, "x", 1): 0.0,
+                   (3, "y", 2): 0.7}
