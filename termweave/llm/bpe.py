@@ -17,20 +17,23 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from termweave.llm.common import map_texts
 
-# Stretches of text a task remembers twice over (see Memory); the prefixes and
+# Stretches of text a task remembers twice over (see Memory), of at most so many
+# letters each, so that the memory is bounded in bytes; the prefixes and
 # token pairs it remembers, the prefixes of at most so many letters.
 WORD_MEMORY = 150_000
+WORD_LETTERS = 64
 SMALL_MEMORY = 300_000
 PREFIX_LETTERS = 10
 # Marks that end a word and never begin one of the pattern's contractions.
@@ -167,8 +170,8 @@ class Encoder:
             ok = self.reachable[token] = len(self.split(token)) == 1 or self.halves(token) is not None
         return ok
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of one word: last token of every prefix, then back-pointers."""
+    def word(self, word: str) -> bytes:
+        """Ids of one word, packed: last token of every prefix, then back-pointers."""
         letters = [self.letters[b] for b in word.encode("utf-8")]
         letters[-1] += self.word_end
         step, accept, reachable, pairs = self.step, self.accept, self.reachable, self.pairs
@@ -204,49 +207,58 @@ class Encoder:
         while end:
             out.append(self.ids[last[end]])
             end = back[end]
-        return tuple(out[::-1])
+        return array("i", out[::-1]).tobytes()
 
     def encode(self, text: str | None) -> Iterator[int]:
-        """Ids of the whole text.  No word holds white space, so the text is cut
-        there first and each stretch is looked up as a whole."""
+        """Ids of the whole text."""
+        return iter(np.frombuffer(self.packed(text), np.int32).tolist())
+
+    def packed(self, text: str | None) -> bytes:
+        """Ids of the whole text, four bytes each.  No word holds white space, so the
+        text is cut there first and each stretch is looked up as a whole; the ids
+        are joined as bytes and never become Python numbers one by one."""
         if not text:
-            return iter(())
-        parts = self.cut.split(text) if self.cut and "<" in text else [text]
-        return chain.from_iterable([(self.special[p],) if p in self.special else self.plain(p) for p in parts])
+            return b""
+        if not self.cut or "<" not in text:
+            return self.plain(text)
+        return b"".join([array("i", [self.special[p]]).tobytes() if p in self.special else self.plain(p)
+                         for p in self.cut.split(text)])
 
-    def plain(self, text: str) -> Iterator[int]:
+    def plain(self, text: str) -> bytes:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         # letter by letter: a final capital sigma is lower-cased like any other
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         # str.split() also cuts at four control characters that are no white space here
         cut = SPLIT.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        return chain.from_iterable(map(self.stretches.__getitem__, cut))
+        return b"".join(map(self.stretches.__getitem__, cut))
 
-    def stretch(self, text: str) -> tuple[int, ...]:
+    def stretch(self, text: str) -> bytes:
         """Ids of a stretch without white space.  A run of letters is one word, and
         the marks after it are another; other stretches are cut by the pattern."""
         head = text.rstrip(STOPS)
         if head.isalpha():
             return self.word(text) if head == text else self.stretches[head] + self.marks(text[len(head):])
-        return tuple(chain.from_iterable(map(self.part, self.wide.findall(text))))
+        return b"".join(map(self.part, self.wide.findall(text)))
 
-    def part(self, word: str) -> tuple[int, ...]:
+    def part(self, word: str) -> bytes:
         return self.stretches[word] if word.isalpha() else self.marks(word)
 
-    def marks(self, word: str) -> tuple[int, ...]:
+    def marks(self, word: str) -> bytes:
         return self.word(word) if len(word) > 8 else self.others[word]
 
 
 class Memory(dict):
     """A dict that fills itself by ``fn``.  When full it keeps one older
-    generation, so words in use survive."""
+    generation, so words in use survive; long keys are not kept."""
 
     def __init__(self, fn):
         super().__init__()
         self.fn, self.older = fn, {}
 
     def __missing__(self, key):
+        if len(key) > WORD_LETTERS:
+            return self.fn(key)
         if len(self) >= WORD_MEMORY:
             self.older = dict(self)
             self.clear()
@@ -266,13 +278,9 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -
         enc = Encoder(shared.value)  # for one task: an idle worker keeps nothing of it
 
         def apply(texts):
-            offsets, flat = [0], []
-            for t in texts:
-                ids = np.fromiter(enc.encode(t), np.int32)
-                flat.append(ids)
-                offsets.append(offsets[-1] + len(ids))
-            values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))]
+            blobs = [enc.packed(t) for t in texts]
+            offsets = np.cumsum([0, *[len(b) // 4 for b in blobs]], dtype=np.int32)
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), np.int32)))]
 
         return apply
 
@@ -285,14 +293,18 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     tokens = df.sparkSession.sparkContext.broadcast(Vocabulary.load(path).tokens)
 
     def make():
-        table = tokens.value
-        n = len(table)
-
-        def text(ids):
-            if ids is None:
-                return None
-            return " ".join([t for i in ids if 0 <= i < n and (t := table[i]) is not None])
+        table = pa.array(tokens.value, pa.string())
+        known = table.is_valid().to_numpy(zero_copy_only=False)
+
+        def apply(lists):
+            ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            sizes = np.where(lists.is_valid(), lists.value_lengths().fill_null(0), 0)
+            inside = (ids >= 0) & (ids < len(table))
+            inside[inside] = known[ids[inside].astype(np.int64)]
+            ends = np.concatenate([[0], np.cumsum(inside)])[np.concatenate([[0], np.cumsum(sizes)])]
+            words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), table.take(pa.array(ids[inside].astype(np.int64))))
+            return [pc.if_else(lists.is_valid(), pc.binary_join(words, " "), pa.scalar(None, pa.string()))]
 
-        return lambda lists: [[text(x) for x in lists]]
+        return apply
 
-    return map_texts(df, ids_col, f"`{out}` string", make)
+    return map_texts(df, ids_col, f"`{out}` string", make, as_arrow=True)

@@ -7,6 +7,7 @@ repeated column names cannot break it).
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 from collections.abc import Callable, Iterable, Iterator
@@ -45,6 +46,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _trim = None
+
+
+def tidy() -> None:
+    """Hand freed memory back to the system.  A Python worker waits for its next task
+    with whatever its allocators keep, next to the executor's full heap; called
+    where a block or a task is done."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -62,10 +78,12 @@ def named_back(out: DataFrame, names: Iterable[str], extra: Iterable[str]) -> Da
     return out.select(*keep, *[F.col(f"r_{n}").alias(n) for n in extra])
 
 
-def map_texts(df: DataFrame, col: str, added: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+def map_texts(df: DataFrame, col: str, added: str, make: Callable[[], Callable[[list], list]],
+              as_arrow: bool = False) -> DataFrame:
     """Append the columns ``added`` (a DDL string) computed from text column
     ``col``.  ``make()`` runs once per task and returns a function from a list
-    of texts (None for null) to a list of column value lists."""
+    of texts (None for null; with ``as_arrow`` the Arrow array) to a list of column
+    value lists."""
     ship_package(df.sparkSession)
     fields = T.StructType.fromDDL(added)
     base = positional(df)
@@ -81,9 +99,11 @@ def map_texts(df: DataFrame, col: str, added: str, make: Callable[[], Callable[[
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(lo, SLICE_ROWS)
-                got = apply(part.column(at).to_pylist())
+                got = apply(part.column(at) if as_arrow else part.column(at).to_pylist())
                 arrays = [v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(got, kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays],
                                                  names=[*part.schema.names, *tail])
+        del apply
+        tidy()
 
     return named_back(base.mapInArrow(run, schema), df.columns, [f.name for f in fields])
