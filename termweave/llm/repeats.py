@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termweave.llm.common import checkpoint, positional, ship_package, shuffle_partitions
+from termweave.llm.common import checkpoint, positional, ship_package, shuffle_partitions, tidy
 
 U = np.uint64
 BLOCK_BYTES = 2_000_000  # a task holds some 40 bytes for each
@@ -94,6 +94,7 @@ def ordered_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 held.append(batch.slice(lo))
         if held:
             yield emit()
+        tidy()
 
     n = shuffle_partitions(df.sparkSession)
     return checkpoint(base.repartitionByRange(n, F.col(f"c{i}").asc_nulls_first(),
@@ -197,8 +198,10 @@ def shared_keys(keys: DataFrame, widths: dict[int, int], limits: dict[int, int]
 
     def run(group: pa.Table) -> pa.Table:
         kind = group.column("kind")[0].as_py()
-        return share(kind, group.column("bucket")[0].as_py(), group.column("block").to_pylist(),
-                     group.column("keys").to_pylist(), widths[kind], limits.get(kind))
+        out = share(kind, group.column("bucket")[0].as_py(), group.column("block").to_pylist(),
+                    group.column("keys").to_pylist(), widths[kind], limits.get(kind))
+        tidy()
+        return out
 
     return keys.groupBy("kind", "bucket").applyInArrow(run, BITS_SCHEMA)
 
@@ -224,6 +227,7 @@ def answer(blocks: DataFrame, answers: DataFrame, fn: Callable[[int, bytes, list
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [fn(r["block"], r["payload"], right.to_pylist()) for r in left.to_pylist()]
+        tidy()
         return pa.concat_tables(out)
 
     return (blocks.groupBy("block").cogroup(answers.groupBy("block"))

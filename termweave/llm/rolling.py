@@ -1,8 +1,10 @@
 """Vectorised hashing of every window of many concatenated sequences.
 
-``Rolling`` holds the prefix sums of a polynomial over 64-bit symbols, so the
-hash of any window is two look-ups; windows of one length are compared by the
-finished 64-bit value.
+``Rolling`` holds the prefix sums of a polynomial over the symbols modulo the prime
+2**61 - 1, so the hash of any window is two look-ups; windows of one length are
+compared by the finished value.  (Modulo 2**64 every base has sequences that
+collide whatever their symbols are.)  Two different windows of m symbols are equal
+with probability m / 2**61 at most, over the choice of the base.
 """
 
 from __future__ import annotations
@@ -10,18 +12,52 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(BASE, -1, 1 << 64)
+PRIME = (1 << 61) - 1
+BASE = 0x9E3779B97F4A7C15 % PRIME
+_INVERSE = pow(BASE, -1, PRIME)
+# Powers kept for the life of a worker; longer sequences make their own.
+KEPT_POWERS = 1 << 22
+CHUNK = 1 << 16
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit values modulo the prime."""
+    x = (x & U(PRIME)) + (x >> U(61))
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    low, half = U(0xFFFFFFFF), U(32)
+    a0, a1, b0, b1 = a & low, a >> half, b & low, b >> half
+    middle = a0 * b1 + a1 * b0
+    ll = a0 * b0
+    # 2**64 is 8, and bits from 61 on count from 0 again
+    total = ((a1 * b1) << U(3)) + (middle >> U(29)) + ((middle & U(0x1FFFFFFF)) << half)
+    return _reduced(_reduced(total) + (ll & U(PRIME)) + (ll >> U(61)))
+
+
+def product(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Products modulo the prime of values below it, a chunk at a time."""
+    out = np.empty(len(a), U)
+    for lo in range(0, len(a), CHUNK):
+        part = slice(lo, lo + CHUNK)
+        out[part] = _product(a[part], b[part] if isinstance(b, np.ndarray) else b)
+    return out
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        have = np.full(size, U(base))
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
+    if have is not None and len(have) >= n:
+        return have[:n]
+    size = 1 << max(12, (n - 1).bit_length())
+    have = np.ones(size if size <= KEPT_POWERS else n, U)
+    done = 1
+    while done < len(have):
+        more = min(done, len(have) - done)
+        have[done:done + more] = product(have[:more], U(pow(base, done, PRIME)))
+        done += more
+    if size <= KEPT_POWERS:
         _POWERS[base] = have
     return have[:n]
 
@@ -45,18 +81,25 @@ class Rolling:
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)
         self.sums = np.zeros(n + 1, U)
-        np.cumsum(symbols * _powers(BASE, n), out=self.sums[1:])
+        total = np.cumsum(product(_reduced(symbols), _powers(BASE, n)), dtype=U)
+        # a term is below 2**61, so a step passes 2**64 (which is 8) once at most
+        passed = np.cumsum(total[1:] < total[:-1], dtype=U)
+        total[1:] = _reduced(total[1:]) + (passed << U(3))
+        self.sums[1:] = _reduced(total)
         self.back = _powers(_INVERSE, max(n, 1))
 
+    def _hash(self, after: np.ndarray, before: np.ndarray, back: np.ndarray) -> np.ndarray:
+        return mix(product(_reduced(after + (U(PRIME) - before)), back))
+
     def at(self, pos: np.ndarray, length) -> np.ndarray:
         """Hashes of the windows ``[pos, pos + length)``."""
-        return mix((self.sums[pos + length] - self.sums[pos]) * self.back[pos])
+        return self._hash(self.sums[pos + length], self.sums[pos], self.back[pos])
 
     def every(self, length: int) -> np.ndarray:
         """Hashes of all windows of one length, by start (sequence borders not
         respected: the caller masks them)."""
         m = max(0, len(self.sums) - length)
-        return mix((self.sums[length:length + m] - self.sums[:m]) * self.back[:m])
+        return self._hash(self.sums[length:length + m], self.sums[:m], self.back[:m])
 
 
 def covered(starts: np.ndarray, length: int, total: int) -> np.ndarray:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.llm import repeats as R
-from termweave.llm.common import checkpoint, map_texts, release, shuffle_partitions
+from termweave.llm.common import checkpoint, map_texts, release, shuffle_partitions, tidy
 
 U = np.uint64
 SEED = 42
@@ -126,6 +126,7 @@ def links(fingerprints: DataFrame, max_bits: int = 3) -> DataFrame:
             for row in batch.to_pylist():
                 keys = np.unique(_variants(np.frombuffer(row["payload"], U), max_bits)[0])
                 yield R.key_rows([*R.pack_keys(0, row["block"], keys, bits, 4)])
+        tidy()
 
     met = R.shared_keys(blocks.mapInArrow(emit, R.KEYS_SCHEMA), {0: 4})
 

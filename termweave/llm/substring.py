@@ -40,32 +40,35 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termweave.llm import repeats as R
-from termweave.llm.common import checkpoint, named_back, positional, release
-from termweave.llm.rolling import BYTE_SYMBOLS, Rolling, covered, mix
+from termweave.llm.common import checkpoint, named_back, positional, release, tidy
+from termweave.llm.rolling import Rolling, covered, mix
 
 U = np.uint64
 WINDOW, GRAM = 20, 8
 SHARD_WORDS = 300_000  # words of the corpus for each shard
 CROWD = 4_096  # stretches of an anchor that one automaton may have to hold
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+
+
+class Symbols(dict):
+    """The 64-bit hash of a word (XXH64 of its bytes), remembered for a block."""
+
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = xxhash.xxh64_intdigest(word)
+        return got
 
 
 def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit symbols of all words, and each text's first word and word count."""
-    buf = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    inside = ~SPACE[buf]
-    edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    symbols = Rolling(BYTE_SYMBOLS[buf]).at(starts, ends - starts) ^ mix((ends - starts).astype(U))
-    at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
-    first = np.searchsorted(starts, at)
-    return symbols, first[:-1], np.diff(first)
+    known = Symbols()
+    parts = [np.fromiter(map(known.__getitem__, words), U, len(words)) for words in map(bytes.split, texts)]
+    count = np.array([len(x) for x in parts], np.int64)
+    return np.concatenate([np.zeros(0, U), *parts]), np.cumsum(count) - count, count
 
 
 def smallest(values: np.ndarray, w: int) -> np.ndarray:
@@ -136,6 +139,7 @@ def _keys(blocks: DataFrame, i: int, t: int, window: int, gram: int, bits: int)
                 b = Block(row["payload"], i, t, window, gram)
                 yield R.key_rows([*R.pack_keys(0, row["block"], b.keys, bits, 4, b.times),
                                   *R.pack_keys(1, row["block"], b.whole, bits, 8)])
+        tidy()
 
     return blocks.mapInArrow(run, R.KEYS_SCHEMA)
 

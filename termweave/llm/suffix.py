@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termweave.llm import repeats as R
-from termweave.llm.common import checkpoint, named_back, positional, release
+from termweave.llm.common import checkpoint, named_back, positional, release, tidy
 from termweave.llm.rolling import BYTE_SYMBOLS, Rolling, covered
 
 U = np.uint64
@@ -109,6 +109,7 @@ def _samples(blocks: DataFrame, i: int, t: int, window: int, bits: int) -> DataF
                 b = Block(row["payload"], i, t, window)
                 yield R.key_rows([*R.pack_keys(0, row["block"], b.keys, bits, 4),
                                   *R.pack_keys(1, row["block"], b.whole, bits, 8)])
+        tidy()
 
     return blocks.mapInArrow(run, R.KEYS_SCHEMA)
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -136,6 +137,36 @@ def test_difference_cover_property(window):
     assert window - v + 1 >= 1
 
 
+def thue_morse(n):
+    return [bin(k).count("1") % 2 for k in range(n)]
+
+
+def test_words_that_differ_everywhere_are_different(spark):
+    # equal modulo 2**64 under every base: one word is the other with its letters swapped
+    a, b = ("".join("ab"[x ^ flip] for x in thue_morse(2048)) for flip in (0, 1))
+    same = [f"w{k}" for k in range(19)]
+    rows = [(1, " ".join([*same, a])), (2, " ".join([*same, b])), (3, " ".join([*same, a, "z"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.dedup_words(df).collect()} == {1: 0, 2: 0, 3: 20}
+    bits = np.array(thue_morse(4096), np.uint8)
+    hashes = rolling.Rolling(rolling.BYTE_SYMBOLS[np.concatenate([bits, 1 - bits])]).at(np.array([0, 4096]), 4096)
+    assert hashes[0] != hashes[1]
+
+
+def test_rolling_hash_is_the_polynomial_modulo_the_prime(monkeypatch):
+    monkeypatch.setattr(rolling, "CHUNK", 7)
+    monkeypatch.setattr(rolling, "KEPT_POWERS", 1 << 13)
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 50, 9000):
+        symbols = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        r = rolling.Rolling(symbols)
+        for lo, length in ((0, n), (n // 3, n // 2), (n // 2, min(3, n - n // 2))):
+            want = sum(int(x) * pow(rolling.BASE, k, rolling.PRIME) for k, x in
+                       enumerate(symbols[lo:lo + length])) % rolling.PRIME
+            got = r.at(np.array([lo]), length)
+            assert got.tolist() == rolling.mix(np.array([want], np.uint64)).tolist()
+
+
 def test_rolling_hash_tells_windows_apart():
     import numpy as np
     text = np.frombuffer(b"abracadabra abracadabra", np.uint8)
