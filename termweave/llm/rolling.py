@@ -17,7 +17,7 @@ BASE = 0x9E3779B97F4A7C15 % PRIME
 _INVERSE = pow(BASE, -1, PRIME)
 # Powers kept for the life of a worker; longer sequences make their own.
 KEPT_POWERS = 1 << 22
-CHUNK = 1 << 16
+CHUNK = 1 << 14  # what a step works on stays in the processor's cache
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -28,15 +28,18 @@ def _reduced(x: np.ndarray) -> np.ndarray:
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low, half = U(0xFFFFFFFF), U(32)
-    a0, a1, b0, b1 = a & low, a >> half, b & low, b >> half
+    (a0, a1), (b0, b1) = _halves(a), _halves(b)
     middle = a0 * b1 + a1 * b0
     ll = a0 * b0
     # 2**64 is 8, and bits from 61 on count from 0 again
-    total = ((a1 * b1) << U(3)) + (middle >> U(29)) + ((middle & U(0x1FFFFFFF)) << half)
+    total = ((a1 * b1) << U(3)) + (middle >> U(29)) + ((middle & U(0x1FFFFFFF)) << U(32))
     return _reduced(_reduced(total) + (ll & U(PRIME)) + (ll >> U(61)))
 
 
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x & U(0xFFFFFFFF), x >> U(32)
+
+
 def product(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     """Products modulo the prime of values below it, a chunk at a time."""
     out = np.empty(len(a), U)
@@ -79,27 +82,48 @@ class Rolling:
     """Window hashes over ``symbols`` (uint64, all sequences end to end)."""
 
     def __init__(self, symbols: np.ndarray):
+        self._sum(symbols, lambda x, power: _halves(_product(_reduced(x), power)))
+
+    @classmethod
+    def of_bytes(cls, text: np.ndarray) -> Rolling:
+        """The same over bytes (the symbol of a byte is its value plus one): the
+        products are small enough to be summed before they are reduced."""
+        out = cls.__new__(cls)
+
+        def terms(x, power):
+            x = x.astype(U) + U(1)
+            low, high = _halves(power)
+            return x * low, x * high
+
+        out._sum(text, terms)
+        return out
+
+    def _sum(self, symbols: np.ndarray, terms) -> None:
         n = len(symbols)
+        powers, carry = _powers(BASE, n), U(0)
         self.sums = np.zeros(n + 1, U)
-        total = np.cumsum(product(_reduced(symbols), _powers(BASE, n)), dtype=U)
-        # a term is below 2**61, so a step passes 2**64 (which is 8) once at most
-        passed = np.cumsum(total[1:] < total[:-1], dtype=U)
-        total[1:] = _reduced(total[1:]) + (passed << U(3))
-        self.sums[1:] = _reduced(total)
+        for lo in range(0, n, CHUNK):
+            low, high = (np.cumsum(x) for x in terms(symbols[lo:lo + CHUNK], powers[lo:lo + CHUNK]))
+            # high counts 2**32; its bits from 29 on count from 0 again
+            part = _reduced(_reduced(low + ((high & U(0x1FFFFFFF)) << U(32))) + (high >> U(29)) + carry)
+            self.sums[lo + 1:lo + 1 + len(part)] = part
+            carry = part[-1]
         self.back = _powers(_INVERSE, max(n, 1))
 
-    def _hash(self, after: np.ndarray, before: np.ndarray, back: np.ndarray) -> np.ndarray:
-        return mix(product(_reduced(after + (U(PRIME) - before)), back))
-
     def at(self, pos: np.ndarray, length) -> np.ndarray:
         """Hashes of the windows ``[pos, pos + length)``."""
-        return self._hash(self.sums[pos + length], self.sums[pos], self.back[pos])
+        out = np.empty(len(pos), U)
+        for lo in range(0, len(pos), CHUNK):
+            part = slice(lo, lo + CHUNK)
+            start = pos[part]
+            end = start + (length[part] if isinstance(length, np.ndarray) else length)
+            out[part] = mix(_product(_reduced(self.sums[end] + (U(PRIME) - self.sums[start])), self.back[start]))
+        return out
 
     def every(self, length: int) -> np.ndarray:
         """Hashes of all windows of one length, by start (sequence borders not
         respected: the caller masks them)."""
-        m = max(0, len(self.sums) - length)
-        return self._hash(self.sums[length:length + m], self.sums[:m], self.back[:m])
+        return self.at(np.arange(max(0, len(self.sums) - length)), length)
 
 
 def covered(starts: np.ndarray, length: int, total: int) -> np.ndarray:

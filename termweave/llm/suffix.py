@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from termweave.llm import repeats as R
 from termweave.llm.common import checkpoint, named_back, positional, release, tidy
-from termweave.llm.rolling import BYTE_SYMBOLS, Rolling, covered
+from termweave.llm.rolling import Rolling, covered
 
 U = np.uint64
 WINDOW = 100
@@ -65,7 +65,7 @@ class Block:
         self.size = np.array([len(x) for x in self.texts], np.int64)
         self.first = np.cumsum(self.size) - self.size
         buf = np.frombuffer(b"".join(self.texts), np.uint8)
-        self.rolling = Rolling(BYTE_SYMBOLS[buf])
+        self.rolling = Rolling.of_bytes(buf)
         self.v, cover = cover_for(window)
         short = window - self.v + 1
         table = np.zeros(self.v, bool)

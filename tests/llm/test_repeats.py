@@ -165,6 +165,9 @@ def test_rolling_hash_is_the_polynomial_modulo_the_prime(monkeypatch):
                        enumerate(symbols[lo:lo + length])) % rolling.PRIME
             got = r.at(np.array([lo]), length)
             assert got.tolist() == rolling.mix(np.array([want], np.uint64)).tolist()
+        text = rng.integers(0, 256, n).astype(np.uint8)
+        same = rolling.Rolling(text.astype(np.uint64) + np.uint64(1))
+        assert rolling.Rolling.of_bytes(text).sums.tolist() == same.sums.tolist()
 
 
 def test_rolling_hash_tells_windows_apart():
