@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm import bpe, decontaminate, rules, simhash, suffix
+from termweave.llm.common import checkpoint
 from termweave.llm.queries import vocabulary_path
 
 
@@ -80,8 +81,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the ``documents`` table."""
+    """All stages over the ``documents`` table.  What a stage keeps is stored in the
+    shared checkpoint folder before the next one reads it (several times): without
+    that, each reading would run all the stages before it again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
