@@ -485,6 +485,49 @@ def q_page_content(spark, sf_dir):
                     "all_text", "text_length", "error")
 
 
+# A block put behind each page's first ``</h1>``, by page number, so that the parts
+# which the given pages lack (description, h2 to h6, list items, alt texts) vary.
+VARIANT_BLOCK = ("<h2>Part {id} &amp; more</h2><h3> a{id} </h3><h3></h3><h4>deep <b>{id}</b></h4><h5>x</h5><h6>y{id}</h6>"
+                 "<ul><li>item {id}</li><li><p>in {id}</p></li></ul><img alt=\" pic {id} \"><img alt=\"\"><img src=\"z\">")
+VARIANT_META = "<meta name=\"Description\" content=\"no\"><meta name=\"description\" content=\" about {id} \"><title>"
+
+
+def variant_pages(pages: DataFrame) -> DataFrame:
+    """The given pages with ``VARIANT_META`` before the title and, on two pages of three,
+    ``VARIANT_BLOCK`` behind the first heading (input of ``page_variants`` only)."""
+    number = F.col("page_id").cast("string")
+    block = F.when(F.col("page_id") % 3 != 0, F.replace(F.lit(VARIANT_BLOCK), F.lit("{id}"), number)).otherwise(F.lit(""))
+    meta = F.replace(F.lit(VARIANT_META), F.lit("{id}"), number)
+    at = F.instr("html", "</h1>") + 4
+    html = F.when(at > 4, F.concat(F.substring("html", F.lit(1), at), block, F.substring("html", at + 1, F.length("html")))
+                  ).otherwise(F.col("html"))
+    return pages.withColumn("html", F.replace(html, F.lit("<title>"), meta))
+
+
+def _variants_sql():
+    has = "page_id % 3 <> 0"
+    part = lambda x: f"case when {has} then {x} else '' end"
+    body = ("case when " + has + " then concat_ws(' ', 'item ' || page_id, 'in ' || page_id, 'in ' || page_id) || "
+            "case when bodied then ' ' || body_text else '' end else body_text end")
+    return (O.with_ctes(*O.page_text_ctes()) +
+            ", v as (select pt.*, exists (select 1 from bd where bd.page_id = pt.page_id) as bodied from pt), "
+            "w as (select page_id, url, title, ' about ' || page_id || ' ' as meta_description, h1, " +
+            part("'Part ' || page_id || ' & more'") + " as h2, " + part("'a' || page_id || '|'") + " as h3, " +
+            part("'deep' || page_id") + " as h4, " + part("'x'") + " as h5, " + part("'y' || page_id") + " as h6, " +
+            body + " as body_text, " + part("'pic ' || page_id") + " as images_alt from v) "
+            "select *, concat_ws(' ', nullif(title, ''), nullif(meta_description, ''), nullif(h1, ''), nullif(h2, ''), "
+            "nullif(replace(h3, '|', ' '), ''), nullif(body_text, ''), nullif(images_alt, '')) as all_text from w")
+
+
+@register("page_variants", _variants_sql())
+def q_page_variants(spark, sf_dir):
+    """P3-P8 on pages that have a description, all headings, list items and images."""
+    c = CT.page_content(variant_pages(PG.read_pages(spark, sf_dir)))
+    return c.select("page_id", "url", "title", "meta_description",
+                    *[F.array_join(f"h{i}", "|").alias(f"h{i}") for i in range(1, 7)],
+                    "body_text", F.array_join("images_alt", "|").alias("images_alt"), "all_text")
+
+
 @register("empty_pages", O.with_ctes(*O.page_text_ctes()) +
           "select page_id, url, error, all_text = '' as empty from pt")
 def q_empty_pages(spark, sf_dir):
