@@ -65,4 +65,16 @@ def _pages(p: str, s: str) -> list[str]:
         _page(f"{_MENU}<main data-main>{p}{s}</main>{_FOOT}"),
         _page(f"{_MENU}{_AD}<div data-main>{h}{p}</div>{_FOOT}"),
         _page(f"{_AD}<div class=wrapper><main><article data-main>{h}{s}{p}</article></main></div>{_FOOT}"),
+        # an article's own remarks on rights stay
+        _page(f"{_MENU}<article data-main>{h}{p}<p>Copyright protects the drawings of the bridge.</p>{s}"
+              f"<p>Photo &copy; A. B.</p></article>{_FOOT}"),
+        # layout tables, and menus and footers without a name
+        _page(f"<table><tr><td><a href=/a>Start</a></td><td><a href=/b>Shop</a></td></tr></table>"
+              f"<table><tr><td data-main>{h}{p}{s}</td></tr></table><p>&copy; 2009 Example</p>"),
+        _page(f"<table><tr><td><a href=/a>Start</a><br><a href=/b>Archive</a></td><td data-main>{h}{s}{p}</td></tr></table>"
+              f"<table><tr><td>Copyright 2011 by the Town Post</td></tr></table>"),
+        _page(f"<div><a href=/a>Start</a> <a href=/b>Shop</a></div><div data-main>{h}{p}{s}"
+              f"<p>See also <a href=/c>the plan</a> of the town.</p></div><div>Copyright 2011 by the Town Post</div>"),
+        _page(f"<ul><li><a href=/a>Start</a></li><li><a href=/b>Team</a></li></ul><div data-main>{h}{p}{items}{s}"
+              f"<p><a href=/c>The whole plan of the council, with its annexes.</a></p></div><div>&copy; Town Post. All rights reserved.</div>"),
     ]

@@ -173,14 +173,14 @@ def test_html_marginals_are_exact():
     import math
     model = html_content.train(labelled_pages.labelled_pages())
     nodes = html_content.parse("<div class=ad><p>Buy now.</p></div><article><h1>Title</h1><p>A text.</article>")
-    n, weight = len(nodes), Counter()
+    n, weight, of = len(nodes), Counter(), html_content.kinds(nodes)
     for y in itertools.product((0, 1), repeat=n):
-        w = html_content._ROOT[y[0]]
+        w = html_content._both(model.root)[y[0]]
         for k in range(n):
             if k:
-                w += model.edge(nodes, k)[y[nodes[k].parent]][y[k]]
+                w += model.edge(of[k])[y[nodes[k].parent]][y[k]]
             if nodes[k].tag == "#text":
-                w += sum(html_content._WEIGHT * model.shown.get(f, (0, 0))[y[k]] for f in html_content.evidence(nodes[k]))
+                w += sum(model.weight * model.shown.get(f, (0, 0))[y[k]] for f in html_content.evidence(nodes[k]))
         weight["all"] += math.exp(w)
         for k in range(n):
             weight[k] += math.exp(w) * y[k]
@@ -188,6 +188,32 @@ def test_html_marginals_are_exact():
         assert abs(p - weight[k] / weight["all"]) < 1e-9
 
 
+BODY = "The ferry ran again on Monday after the storm, and the harbour master thanked everyone who had helped. " * 2
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<div><p>{BODY}</p></div><div class=bottom>Copyright 2020</div>", BODY.strip()),
+    (f"<table><tr><td><a href=/>Home</a></td></tr></table><table><tr><td><h1>Ferry</h1><p>{BODY}</p></td></tr></table>",
+     "Ferry\n" + BODY.strip()),
+    (f"<ul class=x7><li><a href=/>Home</a></li><li><a href=/2>Ships</a></li></ul><section><p>{BODY}</p></section>"
+     "<div>&copy; 2021 Harbour News</div>", BODY.strip()),
+    (f"<article><p>{BODY}</p><p hidden>Not shown.</p><div hidden><p>No.</p></div><p hidden=until-found>Found, when "
+     "searched.</p></article>", BODY.strip() + "\nFound, when searched."),
+    (f"<article><p>{BODY}</p><p>All rights reserved.</p></article>", BODY.strip() + "\nAll rights reserved.")])
+def test_html_of_layouts_not_trained_on(page, text):
+    model = html_content.train(labelled_pages.labelled_pages())
+    assert html_content.main_text(model, page) == text
+
+
+def test_html_unclosed_tags_and_stray_ends_take_linear_time():
+    import time
+    began = time.perf_counter()
+    for part in ("<span>x</i>", "<div>x</p></b>", "<b><p>x", "<li>x</ul>"):
+        nodes = html_content.parse(part * 100_000)
+        assert sum(len("".join(n.text)) for n in nodes) == 100_000
+    assert time.perf_counter() - began < 20
+
+
 def test_html_extracts_articles(spark, sf_dir):
     out = queries.QUERIES["op10_html"](spark, sf_dir).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
