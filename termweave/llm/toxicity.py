@@ -10,8 +10,9 @@ are discounted by their correlation.  Its posteriors are the labels on which a
 linear classifier of the votes is trained, which scores every document.
 
 Mining and fitting use at most ``train_rows`` labelled rows (smallest hash of
-the id); the mined lexicon holds at most ``LEXICON`` entries and there are at
-most ``2 ** voters`` patterns, so what reaches the driver is bounded.
+the id); the mined lexicon holds every entry that stands in three toxic ones and
+hardly in others, and there are at most ``2 ** voters`` patterns, so what reaches the
+driver is bounded by the text of the training rows, not by the table.
 
 Edge cases: null and empty texts get no votes and the lowest score; rows with a
 null id or label are not trained on; without labelled rows the fixed lexicon
@@ -32,7 +33,6 @@ from termweave.llm.common import checkpoint, map_texts, ship_package
 from termweave.llm.quality import chosen_labels
 
 TRAIN_ROWS = 30_000
-LEXICON = 2_000
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 # A plain lexicon of insults.
@@ -119,7 +119,7 @@ def mine(train: DataFrame) -> dict[str, int]:
     # at least three rows, and twenty times likelier in a toxic row than in another
     rate = F.lit((n[0] - n[1]) / n[1])
     rows = (counts.filter((F.col("t") >= 3) & (F.col("t") * rate >= 20 * F.col("c")))
-            .orderBy(F.desc("t"), "entry").limit(LEXICON).collect())
+            .collect())  # each stands in three of at most ``train_rows`` rows
     return {r["entry"]: next(k for k, share in enumerate(TIERS) if r["t"] >= share * n[1]) for r in rows}
 
 
