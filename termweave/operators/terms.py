@@ -48,7 +48,7 @@ def doc_tokens(docs: DataFrame, stopwords: Iterable[str] | DataFrame | None, min
 FILTER_WORDS = 1 << 12
 
 
-def _filter_place(word) -> tuple[F.Column, F.Column]:
+def filter_place(word) -> tuple[F.Column, F.Column]:
     """Place of a word in the filter: the number, and the bit in it."""
     h = F.xxhash64(word)
     return F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)).cast("int"), F.pmod(h, F.lit(64)).cast("int")
@@ -57,7 +57,7 @@ def _filter_place(word) -> tuple[F.Column, F.Column]:
 def word_filter(words: DataFrame) -> F.Column:
     """One bit for the hash of every word of the table (column ``word``), as an array of
     ``FILTER_WORDS`` numbers: a scalar subquery of fixed size."""
-    at, bit = _filter_place(F.col("word"))
+    at, bit = filter_place(F.col("word"))
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
     bits = words.groupBy(at.alias("at")).agg(F.bit_or(one).alias("bits"))
     found = bits.agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m"))
@@ -79,7 +79,7 @@ def drop_table_words(tokens: DataFrame, words: DataFrame, cols: Sequence[str]) -
     dealt = tokens.withColumn("_key", F.struct(*DOC_KEYS)).repartition("_key")
 
     def suspect(x: F.Column) -> F.Column:
-        at, bit = _filter_place(x)
+        at, bit = filter_place(x)
         return F.getbit(F.element_at(F.col("_filter"), at + 1), bit) == 1
 
     # explode_outer: see ``terms``; a filter on the array would move below the exchange

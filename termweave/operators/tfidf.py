@@ -53,7 +53,7 @@ def _counts(toks: DataFrame, grams, keep, by: tuple = ()) -> DataFrame:
     return exploded.groupBy(*DOC_KEYS, *keep, *by, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _marked(grams) -> F.Column:
+def with_mark(grams) -> F.Column:
     return F.concat(F.array(F.lit(MARK)), grams)
 
 
@@ -61,7 +61,7 @@ def raw_ngram_counts(docs: DataFrame, min_chars: int, ns=(1, 2, 3), keep=("role"
     """Counts per (document, n, term) for several n in one pass over the texts:
     ``(set_id, doc_id, *keep, n, term, tf)``, with a marker row for each n."""
     toks = TM.raw_word_tokens(nonblank(docs), min_chars, keep=keep)
-    each = F.inline(F.array(*[F.struct(F.lit(int(n)).alias("n"), _marked(T.ngrams(F.col("tokens"), int(n))).alias("g"))
+    each = F.inline(F.array(*[F.struct(F.lit(int(n)).alias("n"), with_mark(T.ngrams(F.col("tokens"), int(n))).alias("g"))
                               for n in ns]))
     return _counts(toks.select(*DOC_KEYS, *keep, each), F.col("g"), keep, ("n",))
 
@@ -73,7 +73,7 @@ def raw_term_counts(docs: DataFrame, min_chars: int, ngram_range: tuple[int, int
     has a row of term ``MARK`` too."""
     toks = TM.raw_word_tokens(nonblank(docs), min_chars, keep=keep)
     grams = T.ngram_range(F.col("tokens"), *ngram_range)
-    return _counts(toks, _marked(grams) if marked else grams, keep)
+    return _counts(toks, with_mark(grams) if marked else grams, keep)
 
 
 def doc_counts(docs: DataFrame) -> DataFrame:
@@ -88,6 +88,11 @@ def vocabulary(tf: DataFrame, max_features: int | None, by=("set_id",)) -> DataF
     document frequency is ``n_docs`` (V2's N: non-blank documents)."""
     totals = tf.groupBy(*by, "term").agg(F.sum("tf").alias("total"),
                                          F.count(F.lit(1)).alias("df"))
+    return cut(totals, max_features, by)
+
+
+def cut(totals: DataFrame, max_features: int | None, by=("set_id",)) -> DataFrame:
+    """The cut of ``vocabulary`` on ``(*by, term, total, df)`` with marker rows."""
     is_mark = F.col("term") == MARK
     w = Window.partitionBy(*by).orderBy(F.desc(is_mark), F.desc("total"), F.asc("term"))
     ranked = totals.withColumn("rank", F.row_number().over(w))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from termweave.functions import text as T
 from termweave.operators import compare as CM
 from termweave.operators import content as CT
+from termweave.operators import frequent as FQ
 from termweave.operators import report as RP
 from termweave.operators import terms as TM
 from termweave.operators import tfidf as TF
@@ -206,6 +207,23 @@ def q_vocabulary(spark, sf_dir):
                     F.col("rank").cast("int").alias("rank"))
 
 
+_EACH_N = " union all ".join(
+    f"select set_id, doc_id, {n} as n, unnest({O.ngrams_sql('w', n)}) as term from words" for n in (1, 2, 3))
+
+
+@register("vocabulary_by_threshold", O.with_ctes(
+    O.DOCS_CTE, f"nb as (select * from docs where {O.nonblank_sql('text')})",
+    f"words as (select set_id, doc_id, {O.words_sql('text', 2)} as w from nb)", f"rw as ({_EACH_N})",
+    "nd as (select set_id, count(*) as n_docs from nb group by set_id)",
+    "tot as (select set_id, n, term, count(*) as total, count(distinct doc_id) as df from rw group by set_id, n, term)",
+    "rk as (select *, cast(row_number() over (partition by set_id, n order by total desc, term) as integer) as rank from tot)") +
+          "select set_id, n, term, total, df, n_docs, rank from rk join nd using (set_id) where rank <= 200")
+def q_vocabulary_by_threshold(spark, sf_dir):
+    v = FQ.frequent_terms(docs(spark, sf_dir), 200, 2, (1, 2, 3))
+    return v.select("set_id", "n", "term", F.col("total").cast("bigint").alias("total"), "df", "n_docs",
+                    F.col("rank").cast("int").alias("rank"))
+
+
 @register("idf", O.with_ctes(O.DOCS_CTE, *O.tfidf_ctes(1, (1, 1), 200)) +
           "select vocab.set_id, term, df, n_docs, round(ln((1.0 + n_docs) / (1.0 + df)) + 1.0, 6) as idf "
           "from vocab join ndocs on vocab.set_id = ndocs.set_id")
