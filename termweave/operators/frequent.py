@@ -9,17 +9,18 @@ everything up to the last step works on the counts inside a bucket:
    bound of the total a term needs to be in the cut.
 2. A term whose total reaches the bound reaches ``bound / buckets`` in some bucket.  The
    terms that do are the candidates; none of the cut, ties included, can be missing.
-3. The candidates are written into a filter of fixed size (a scalar subquery).  All
+3. The candidates are written into a filter of fixed size.  All
    counts of the terms it lets pass are summed, so every total is exact; terms let
    pass by chance only add rows.
 
 Where the bound says nothing (fewer than ``k`` terms, or a bound so low that one
-occurrence reaches it) every term of the set is a candidate, and the step is the
-plain aggregate.  What is moved beside the tokens: ``k`` rows of each bucket, and the
-counts of the terms that pass.  The counts are made three times from one exchange of tokens,
-so this pays where the network, not the processor, is the limit.
+occurrence reaches it) every count of the set passes beside the filter, and the step is
+the plain aggregate.  What is moved beside the tokens: ``k`` rows of each bucket, and the
+counts of the terms that pass.  The tokens are counted three times, so this pays where the
+network, not the processor, is the limit.
 
-Nothing runs while the plan is built.  Blank documents and documents without tokens add
+Thresholds and filter are made by two jobs while the plan is built, and stored in the
+shared checkpoint folder.  Blank documents and documents without tokens add
 to ``n_docs`` as in ``tfidf.vocabulary``; a repeated (set, document) row counts as one
 document; null sets, which role assignment removes, would form a set of their own.
 """
@@ -34,10 +35,13 @@ from pyspark.sql import functions as F
 from termweave.functions import text as T
 from termweave.operators import terms as TM
 from termweave.operators import tfidf as TF
+from termweave.session import ensure_checkpoint_dir
 from termweave.sources.docsets import nonblank
 
 # Thresholds are looked up by a hash of the set; sets that share a slot share the lower one.
 SLOTS = 4_096
+# Numbers of 64 bits in the candidates' filter (256 KB).
+FILTER_WORDS = 1 << 15
 KEYS = ("set_id", "n", "term")
 
 
@@ -78,24 +82,35 @@ def _slot() -> F.Column:
     return F.pmod(F.xxhash64("set_id", "n"), F.lit(SLOTS)).cast("int")
 
 
-def candidates(counts: DataFrame, k: int) -> DataFrame:
-    """The counts that reach the threshold of their set."""
+def _stored(spark, value: F.Column) -> F.Column:
+    """A scalar subquery made once, by a job, and read again from the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return spark.range(1).select(value.alias("value")).checkpoint(eager=True).scalar()
+
+
+def stored_thresholds(counts: DataFrame, k: int) -> F.Column:
+    """The thresholds by slot, as an array of ``SLOTS`` numbers."""
     slots = thresholds(counts, k).groupBy(_slot().alias("at")).agg(F.min("least").alias("least"))
     found = slots.agg(F.map_from_entries(F.collect_list(F.struct("at", "least"))).alias("m"))
-    table = found.select(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)),
-                                     lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0.0)))).scalar()
-    rows = counts.filter(F.col("term") != TF.MARK).withColumn("_table", table)
-    return rows.filter(F.col("total") >= F.element_at("_table", _slot() + 1)).drop("_table")
+    return _stored(counts.sparkSession, found.select(F.transform(
+        F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0.0)))).scalar())
+
+
+def candidates(counts: DataFrame, least: F.Column) -> DataFrame:
+    """The counts that reach the threshold of their set, where it is over one."""
+    own = F.element_at(least, _slot() + 1)
+    return counts.filter((F.col("term") != TF.MARK) & (own > 1) & (F.col("total") >= own))
 
 
 def passing(counts: DataFrame, k: int) -> DataFrame:
-    """The counts of every term the candidates' filter lets pass, and the marker rows:
-    what the last exchange moves."""
+    """What the last exchange moves: the counts of every term the candidates' filter lets
+    pass, all counts of sets whose threshold is one or less, and the marker rows."""
     word = F.struct(*KEYS)
-    bits = TM.word_filter(candidates(counts, k).select(word.alias("word")))
-    at, bit = TM.filter_place(word)
-    return counts.withColumn("_filter", bits).filter(
-        (F.col("term") == TF.MARK) | (F.getbit(F.element_at("_filter", at + 1), bit) == 1)).drop("_filter")
+    least = stored_thresholds(counts, k)
+    bits = _stored(counts.sparkSession, TM.word_filter(candidates(counts, least).select(word.alias("word")), FILTER_WORDS))
+    at, bit = TM.filter_place(word, FILTER_WORDS)
+    return counts.filter((F.col("term") == TF.MARK) | (F.element_at(least, _slot() + 1) <= 1)
+                         | (F.getbit(F.element_at(bits, at + 1), bit) == 1))
 
 
 def frequent_terms(docs: DataFrame, k: int, min_chars: int = 1, ns: Sequence[int] = (1,),

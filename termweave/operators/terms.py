@@ -48,21 +48,22 @@ def doc_tokens(docs: DataFrame, stopwords: Iterable[str] | DataFrame | None, min
 FILTER_WORDS = 1 << 12
 
 
-def filter_place(word) -> tuple[F.Column, F.Column]:
+def filter_place(word, size: int | None = None) -> tuple[F.Column, F.Column]:
     """Place of a word in the filter: the number, and the bit in it."""
     h = F.xxhash64(word)
-    return F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)).cast("int"), F.pmod(h, F.lit(64)).cast("int")
+    return F.pmod(F.shiftright(h, 6), F.lit(size or FILTER_WORDS)).cast("int"), F.pmod(h, F.lit(64)).cast("int")
 
 
-def word_filter(words: DataFrame) -> F.Column:
+def word_filter(words: DataFrame, size: int | None = None) -> F.Column:
     """One bit for the hash of every word of the table (column ``word``), as an array of
-    ``FILTER_WORDS`` numbers: a scalar subquery of fixed size."""
-    at, bit = filter_place(F.col("word"))
+    ``size`` (``FILTER_WORDS``) numbers: a scalar subquery of fixed size."""
+    at, bit = filter_place(F.col("word"), size)
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
-    bits = words.groupBy(at.alias("at")).agg(F.bit_or(one).alias("bits"))
-    found = bits.agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m"))
-    return found.select(F.transform(F.sequence(F.lit(0), F.lit(FILTER_WORDS - 1)), lambda k: F.coalesce(
-        F.try_element_at("m", k), F.lit(0).cast("bigint"))).alias("bits")).scalar()
+    none = words.sparkSession.range(size or FILTER_WORDS).select(
+        F.col("id").cast("int").alias("at"), F.lit(0).cast("bigint").alias("bit"))
+    bits = words.select(at.alias("at"), one.alias("bit")).unionByName(none).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    # in order of place: a map would be searched from its start for every place
+    return bits.agg(F.array_sort(F.collect_list(F.struct("at", "bits"))).alias("all")).select(F.col("all.bits")).scalar()
 
 
 def drop_table_words(tokens: DataFrame, words: DataFrame, cols: Sequence[str]) -> DataFrame:

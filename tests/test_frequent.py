@@ -61,12 +61,12 @@ def test_rare_terms_are_not_moved(spark):
                                for k in range(64)], SCHEMA)
     counts = FQ.bucket_counts(d, 2, (1,), 4).cache()
     assert FQ.thresholds(counts, 3).collect()[0].least == 80.0  # 64 * 5 / 4
-    assert {r.term for r in FQ.candidates(counts, 3).select("term").distinct().collect()} == {"alpha", "beta", "gamma"}
+    assert {r.term for r in FQ.candidates(counts, FQ.stored_thresholds(counts, 3)).select("term").distinct().collect()} == {"alpha", "beta", "gamma"}
     # three words of three thousand, in four buckets, and the marker
     assert counts.count() > 3_000 and FQ.passing(counts, 3).filter(F.col("term") != TF.MARK).count() <= 4 * 5
-    # a set without repeats has no bound: every term is a candidate
+    # a set without repeats has no bound: all its counts pass
     flat = FQ.bucket_counts(spark.createDataFrame([("a", k, f"x{k} y{k}") for k in range(30)], SCHEMA), 2, (1,), 4)
-    assert FQ.candidates(flat, 5).count() == 60
+    assert FQ.candidates(flat, FQ.stored_thresholds(flat, 5)).count() == 0 and FQ.passing(flat, 5).filter(F.col("term") != TF.MARK).count() == 60
 
 
 def test_tokens_are_exchanged_once_and_counts_stay_in_place(spark):
