@@ -11,6 +11,15 @@ from termweave.functions import text as T
 from termweave.sources.stopwords import spark_default
 
 
+# Fixed values of the rules, stated here again so that the SQL does not follow the package:
+# the tags whose content is dropped, the shape of a URL with a scheme and a host, and the
+# text of a failed fetch.
+DROPPED_TAGS = ("nav", "header", "footer", "script", "style", "noscript", "iframe")
+WITH_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"
+HOST_PART = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)"
+UNREAD = "Failed to fetch URL"
+
+
 def stop_list() -> str:
     return T.sql_string_list(spark_default("french"))
 
@@ -136,19 +145,16 @@ def decode_sql(x: str) -> str:
 
 def pages_cte() -> str:
     """Page sets: set_id = lower-cased network location, ord by page_id."""
-    from termweave.functions.markup import EXCLUDED_TAGS
-    from termweave.sources.pages import FETCH_ERROR, HOST, URL_VALID
-
     h = "html"
-    for tag in EXCLUDED_TAGS:
+    for tag in DROPPED_TAGS:
         h = f"regexp_replace({h}, '(?s)<{tag}\\b.*?</{tag}>', '', 'g')"
     return f"""pg as (
   select page_id, url, html, {h} as kept,
-         lower(regexp_extract(url, '{HOST}', 1)) as set_id,
-         coalesce(regexp_matches(url, '{URL_VALID}'), false) as valid,
-         case when not coalesce(regexp_matches(url, '{URL_VALID}'), false) or html is null
-              then '{FETCH_ERROR}' end as error,
-         cast(row_number() over (partition by lower(regexp_extract(url, '{HOST}', 1))
+         lower(regexp_extract(url, '{HOST_PART}', 1)) as set_id,
+         coalesce(regexp_matches(url, '{WITH_HOST}'), false) as valid,
+         case when not coalesce(regexp_matches(url, '{WITH_HOST}'), false) or html is null
+              then '{UNREAD}' end as error,
+         cast(row_number() over (partition by lower(regexp_extract(url, '{HOST_PART}', 1))
               order by page_id) - 1 as integer) as ord
   from pages)"""
 
