@@ -36,9 +36,9 @@ def competitor_bag(terms: DataFrame) -> DataFrame:
     return terms.filter(_is_comp())
 
 
-def set_term_stats(tf: DataFrame) -> DataFrame:
-    """C3 per term: ``(set_id, n, term, frequency, in_target, in_competitors,
-    first_doc, first_pos)`` from per-document counts with a ``role`` column.
+def set_term_stats(tf: DataFrame, by: Sequence[str] = ("set_id", "n", "term")) -> DataFrame:
+    """C3 per term: ``(*by, frequency, in_target, in_competitors, first_doc,
+    first_pos)`` from per-document counts with a ``role`` column.
 
     First occurrence among competitors is the smallest ``(doc_id, first_pos)``:
     ``min(doc_id)`` and ``min_by(first_pos, doc_id)`` (one row per document,
@@ -47,7 +47,7 @@ def set_term_stats(tf: DataFrame) -> DataFrame:
     sort-based aggregate over every row).
     """
     comp_doc = F.when(_is_comp(), F.col("doc_id"))
-    return tf.groupBy("set_id", "n", "term").agg(
+    return tf.groupBy(*by).agg(
         F.sum(F.when(_is_comp(), F.col("frequency")).otherwise(F.lit(0))).cast("bigint").alias("frequency"),
         F.max(_is_target()).alias("in_target"),
         F.max(_is_comp()).alias("in_competitors"),

@@ -20,6 +20,7 @@ from termweave.functions import text as T
 from termweave.operators import compare as CM
 from termweave.operators import content as CT
 from termweave.operators import frequent as FQ
+from termweave.operators import gaps as GP
 from termweave.operators import report as RP
 from termweave.operators import terms as TM
 from termweave.operators import tfidf as TF
@@ -345,6 +346,12 @@ def q_gap_terms(spark, sf_dir):
     return CM.gap_terms(CM.term_stats(t), 50)
 
 
+@register("gap_terms_pruned", O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte(), O.TF_CTE, O.STATS_CTE) + O.gap_sql(50))
+def q_gap_terms_pruned(spark, sf_dir):
+    """The same rows, without moving the terms the target has."""
+    return GP.pruned_gap_terms(doc_sets(spark, sf_dir).docs, stop(), (1, 2, 3), 50)
+
+
 @register("common_terms", O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte(), O.TF_CTE, O.STATS_CTE) +
           "select set_id, n, term, frequency from stats where in_target and in_comp")
 def q_common_terms(spark, sf_dir):
