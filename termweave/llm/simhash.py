@@ -192,15 +192,24 @@ def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``df`` less near-duplicates: of each component the document
     with the smallest id stays (of repeated rows, one)."""
     judged = near_duplicates(df, id_col, text_col, shingle, max_bits)
+    rows = judged.groupBy("doc_id", "text_key", "fingerprint", "component_id").agg(F.count(F.lit(1)).alias("copies"))
     # null ids order last; a component without ids is told by its fingerprint
-    first = (judged.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f"))
-             .agg(F.min(F.struct("fingerprint", "text_key")).alias("s"))
-             .select(F.col("component_id").alias("k_id"), F.col("s.text_key").alias("k_text")))
+    first = checkpoint(
+        rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f"))
+        .agg(F.min(F.struct("fingerprint", "text_key", "copies")).alias("s"))
+        .select(F.col("component_id").alias("k_id"), F.col("s.text_key").alias("k_text"),
+                F.col("s.copies").alias("k_copies")))
     names = df.columns
     flat = df.toDF(*[f"c{i}" for i in range(len(names))])
     row_id, row_text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     flat = flat.withColumn("k_key", F.xxhash64(row_text))
-    kept = flat.join(first, F.col(row_id).eqNullSafe(F.col("k_id")) & (F.col("k_key") == F.col("k_text")))
-    return kept.dropDuplicates([row_id, "k_key"]).select(
-        *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+    def having(firsts: DataFrame) -> DataFrame:
+        return flat.join(firsts, F.col(row_id).eqNullSafe(F.col("k_id")) & (F.col("k_key") == F.col("k_text")))
+
+    # only rows that stand in the table more than once, if any, are grouped with their texts
+    kept, repeated = having(first.filter("k_copies = 1")), first.filter("k_copies > 1")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(having(repeated).dropDuplicates([row_id, "k_key"]))
+    return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

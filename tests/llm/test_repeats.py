@@ -250,6 +250,21 @@ def test_simhash_against_brute_force(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == simhash.one_of_each_group(df.limit(0)).count() == 0
 
 
+def test_one_row_stays_of_repeated_rows(spark):
+    words = "one two three four five six seven eight".split()
+    rows = [(5, " ".join(words)), (5, " ".join(words)), (9, " ".join(words)), (7, "quite another text stands here"),
+            (None, "rows without an id"), (None, "rows without an id"), (3, None), (3, None), (4, ""), (8, "a single text of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("copies", F.lit("x")).withColumn("k_id", F.lit(1))
+    out = simhash.one_of_each_group(df)
+    got = [tuple(r) for r in out.collect()]
+    assert out.columns == df.columns
+    assert sorted(map(str, got)) == sorted(str((i, t, "x", 1)) for i, t in
+        [(5, " ".join(words)), (7, "quite another text stands here"), (None, "rows without an id"), (3, None), (8, "a single text of its own")])
+    single = simhash.one_of_each_group(df.filter("doc_id in (7, 8, 9)"))
+    plan = single._jdf.queryExecution().executedPlan().toString()
+    assert single.count() == 3 and "Aggregate" not in plan
+
+
 @pytest.mark.parametrize("bits", [0, 1, 2, 3])
 def test_ball_hashing_finds_every_component(spark, bits):
     rng = random.Random(bits)
