@@ -69,20 +69,27 @@ def clean_text(c: Column | str, alphabet: str = KEPT_LETTERS) -> Column:
 
     Null and empty input give ``''``.
     """
+    return F.trim(F.regexp_replace(_without_addresses(c), non_word_pattern(alphabet), " "))
+
+
+def _without_addresses(c: Column | str) -> Column:
+    """Lower, drop URLs, drop e-mails."""
     t = F.lower(F.coalesce(_col(c), F.lit("")))
     # the regexes only run on texts that can match (cheap substring tests first)
     t = F.when(t.contains("://") | t.contains("www."), F.regexp_replace(t, URL_PATTERN, "")).otherwise(t)
-    t = F.when(t.contains("@"), F.regexp_replace(t, EMAIL_AT_RUN_START, "")).otherwise(t)
-    t = F.regexp_replace(t, non_word_pattern(alphabet), " ")
-    return F.trim(t)
+    return F.when(t.contains("@"), F.regexp_replace(t, EMAIL_AT_RUN_START, "")).otherwise(t)
 
 
 def tokens_from_clean(cleaned: Column | str, stopwords: Iterable[str] | None = None,
                       min_length: int = DEFAULT_MIN_LENGTH) -> Column:
     """T8-T10 on an already cleaned column: split on spaces, keep tokens of at
     least ``min_length`` characters, drop stopwords (order and duplicates kept)."""
+    return _kept(F.split(_col(cleaned), " "), stopwords, min_length)
+
+
+def _kept(toks: Column, stopwords: Iterable[str] | None, min_length: int) -> Column:
+    """Tokens of at least ``min_length`` characters that are no stopwords."""
     words = sorted(set(stopwords or ()))
-    toks = F.split(_col(cleaned), " ")
     k = max(int(min_length), 1)  # '' (from splitting '') never survives
 
     def keep(x: Column) -> Column:
@@ -98,9 +105,11 @@ def tokenize(c: Column | str, stopwords: Iterable[str] | None = None,
              min_length: int = DEFAULT_MIN_LENGTH, alphabet: str = KEPT_LETTERS) -> Column:
     """Clean + split + length filter + stopword removal -> ARRAY<STRING>.
 
-    Pass ``stopwords=None`` for ``remove_stopwords=False``.
+    Pass ``stopwords=None`` for ``remove_stopwords=False``.  The runs of kept letters are
+    taken out directly: the words that the cleaned text splits into.
     """
-    return tokens_from_clean(clean_text(c, alphabet), stopwords, min_length)
+    runs = F.regexp_extract_all(_without_addresses(c), F.lit(f"[a-z0-9{alphabet}]+"), 0)
+    return _kept(runs, stopwords, min_length)
 
 
 def ngrams(tokens: Column | str, n: int) -> Column:

@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions import text as T
+from termweave.session import parts
 
 DOC_KEYS = ("set_id", "doc_id")
 
 
 def by_document(df: DataFrame) -> DataFrame:
-    """Hash-partition on the document key (the one shuffle of per-document data)."""
-    return df.repartition(*DOC_KEYS)
+    """Hash-partition on the document key (the one shuffle of per-document data), in as
+    many partitions as the n-grams to come need."""
+    return df.repartition(parts(df), *DOC_KEYS)
 
 
 def doc_tokens(docs: DataFrame, stopwords: Iterable[str] | DataFrame | None, min_length: int = 2,
@@ -108,11 +110,30 @@ def terms(tokens: DataFrame, ns: Sequence[int] = (1, 2, 3), keep: Sequence[str]
     ``n`` to build is an argument (a filter on ``n`` would not be pushed below
     the generator).
     """
-    grams = F.array(*[F.struct(F.lit(int(n)).alias("n"), T.ngrams(F.col("tokens"), int(n)).alias("g"))
-                      for n in ns])
-    per_n = tokens.select(*DOC_KEYS, *keep, F.inline(grams))
-    out = per_n.select(*DOC_KEYS, *keep, "n", F.posexplode_outer("g").alias("pos", "term"))
-    return out.filter(F.col("term").isNotNull())
+    return grams(tokens, ns, (*DOC_KEYS, *keep))
+
+
+def grams(tokens: DataFrame, ns: Sequence[int], cols: Sequence[str], mark: str | None = None) -> DataFrame:
+    """``(*cols, n, pos, term)``: the ``T.ngrams`` of ``tokens`` for every n, made from the
+    positions of one explode, in compiled code; the arrays of n-grams are never built.
+    With ``mark`` each row of ``tokens`` begins with that word, which is in no n-gram but a
+    term of its own for every n."""
+    ns = [int(n) for n in ns if int(n) >= 1]
+    t, pos = F.col("tokens"), F.col("pos")
+
+    def gram(n: int) -> F.Column:
+        words = [F.get(t, pos + i) for i in range(n)]
+        whole = F.when(pos + n <= F.size(t), words[0] if n == 1 else F.concat_ws(" ", *words))
+        return whole if mark is None else F.when(pos == 0, F.lit(mark)).otherwise(whole)
+
+    each = [F.struct(F.lit(n).alias("n"), gram(n).alias("term")) for n in ns]
+    none = F.array().cast("array<struct<n:int,term:string>>")
+    first = t if mark is None else F.concat(F.array(F.lit(mark)), t)
+    # explode_outer: a plain one would push the tokeniser below the exchange
+    at = tokens.select(*cols, first.alias("tokens")).select(
+        *cols, "tokens", F.posexplode_outer("tokens").alias("pos", "_token")).filter(pos.isNotNull())
+    out = at.select(*cols, "pos", F.inline(F.array(*each) if each else none))
+    return out.filter(F.col("term").isNotNull()).select(*cols, "n", "pos", "term")
 
 
 def term_frequency(tokens: DataFrame, ns: Sequence[int] = (1, 2, 3),

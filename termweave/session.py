@@ -56,6 +56,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+# Bytes of input files for one partition of tokens: an n-gram row takes some hundred times
+# the room that its part of the file does, so a task's counts stay within a few hundred MB.
+BYTES_PER_PART = 4 * 1024 * 1024
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the largest table ``df`` reads, from the file listing (no job runs)."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max((s for s in sizes if s < 1 << 60), default=0)  # more stands for an unknown size
+
+
+def parts(df: DataFrame) -> int:
+    """Partitions for data that grows after its exchange: the shuffle partitions, or more
+    where the input has more than ``BYTES_PER_PART`` for each.  Given to ``repartition``
+    they are not coalesced by adaptive execution, which sees the bytes before they are
+    exploded."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-input_bytes(df) // BYTES_PER_PART))
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition on the keys of a large aggregate where the shuffle partitions are too
+    few for its input; smaller ones are left to Spark, which combines before the exchange."""
+    n = parts(df)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan over the cluster when it arrives in too few partitions.
 
@@ -69,6 +97,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     want = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
+    want = max(want, -(-input_bytes(df) // BYTES_PER_PART))
     return df.repartition(want, *keys) if keys else df.repartition(want)
 
 

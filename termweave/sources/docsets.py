@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions.text import is_blank
-from termweave.session import spread
+from termweave.session import parts, spread
 from termweave.sources.ordinals import SLICE_BITS, counts_before
 
 
@@ -58,7 +58,9 @@ def with_roles(docs: DataFrame) -> DocSets:
     """
     first = targets(docs.select("set_id", "doc_id")).select(
         "set_id", F.col("target_id").alias("doc_id"), F.lit("target").alias("_t"))
-    out = docs.join(first, ["set_id", "doc_id"], "left").withColumn(
+    # in as many partitions as the terms counted behind the join need
+    dealt = docs.repartition(parts(docs), "set_id", "doc_id")
+    out = dealt.join(first, ["set_id", "doc_id"], "left").withColumn(
         "role", F.coalesce("_t", F.lit("competitor"))).drop("_t")
     return DocSets(out.filter(F.col("set_id").isNotNull()))
 
