@@ -31,8 +31,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termweave.functions import text as T
 from termweave.operators import terms as TM
+from termweave.session import by_key, ensure_checkpoint_dir
 from termweave.sources.docsets import DocSets, nonblank
 
 DOC_KEYS = TM.DOC_KEYS
@@ -42,28 +42,19 @@ MARK = ""
 # Rows of one (set, term) that a task of the weighting join should get at most.
 ROWS_PER_TASK = 1_000_000
 SALT_SLOTS = 4_096
+# Numbers of 64 bits in the vocabulary's filter (256 KB).
+FILTER_WORDS = 1 << 15
 
 
-def _counts(toks: DataFrame, grams, keep, by: tuple = ()) -> DataFrame:
-    # explode_outer + null filter: plain explode makes Spark infer a
-    # ``size(tokens) > 0`` filter and push the whole tokeniser below the
-    # document repartition (evaluated twice, before the data is spread)
-    exploded = toks.select(*DOC_KEYS, *keep, *by, F.explode_outer(grams).alias("term"))
-    exploded = exploded.filter(F.col("term").isNotNull())
-    return exploded.groupBy(*DOC_KEYS, *keep, *by, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def with_mark(grams) -> F.Column:
-    return F.concat(F.array(F.lit(MARK)), grams)
+def _counts(toks: DataFrame, ns, keep, by: tuple = (), mark: str | None = MARK) -> DataFrame:
+    rows = TM.grams(toks, ns, (*DOC_KEYS, *keep), mark)
+    return rows.groupBy(*DOC_KEYS, *keep, *by, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def raw_ngram_counts(docs: DataFrame, min_chars: int, ns=(1, 2, 3), keep=("role",)) -> DataFrame:
     """Counts per (document, n, term) for several n in one pass over the texts:
     ``(set_id, doc_id, *keep, n, term, tf)``, with a marker row for each n."""
-    toks = TM.raw_word_tokens(nonblank(docs), min_chars, keep=keep)
-    each = F.inline(F.array(*[F.struct(F.lit(int(n)).alias("n"), with_mark(T.ngrams(F.col("tokens"), int(n))).alias("g"))
-                              for n in ns]))
-    return _counts(toks.select(*DOC_KEYS, *keep, each), F.col("g"), keep, ("n",))
+    return _counts(TM.raw_word_tokens(nonblank(docs), min_chars, keep=keep), ns, keep, ("n",))
 
 
 def raw_term_counts(docs: DataFrame, min_chars: int, ngram_range: tuple[int, int] = (1, 1),
@@ -72,8 +63,8 @@ def raw_term_counts(docs: DataFrame, min_chars: int, ngram_range: tuple[int, int
     documents: ``(set_id, doc_id, *keep, term, tf)``; with ``marked`` each document
     has a row of term ``MARK`` too."""
     toks = TM.raw_word_tokens(nonblank(docs), min_chars, keep=keep)
-    grams = T.ngram_range(F.col("tokens"), *ngram_range)
-    return _counts(toks, with_mark(grams) if marked else grams, keep)
+    lo, hi = ngram_range
+    return _counts(toks, range(max(lo, 1), hi + 1), keep, mark=MARK if marked else None)
 
 
 def doc_counts(docs: DataFrame) -> DataFrame:
@@ -86,7 +77,7 @@ def vocabulary(tf: DataFrame, max_features: int | None, by=("set_id",)) -> DataF
     ``max_features`` terms with the largest total count per ``by`` (the set, or set
     and n).  The marker is ranked before all terms, so the cut keeps its row, whose
     document frequency is ``n_docs`` (V2's N: non-blank documents)."""
-    totals = tf.groupBy(*by, "term").agg(F.sum("tf").alias("total"),
+    totals = by_key(tf, *by, "term").groupBy(*by, "term").agg(F.sum("tf").alias("total"),
                                          F.count(F.lit(1)).alias("df"))
     return cut(totals, max_features, by)
 
@@ -124,13 +115,22 @@ def _slot(by) -> F.Column:
 def weights(tf: DataFrame, idf_table: DataFrame, keep=("role",), by=("set_id",),
             rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """V4 + V5: ``weight = tf * idf`` and the L2-normalised ``tfidf_score``.  The rows
-    of a term are dealt by document over its salts (see the module)."""
+    of a term are dealt by document over its salts (see the module).  A filter of fixed
+    size drops nearly all terms outside the vocabulary before they are counted again; the
+    join drops the rest."""
+    # made once, for the salts, the filter and the join
+    ensure_checkpoint_dir(idf_table.sparkSession)
+    idf_table = idf_table.checkpoint(eager=True)
+    word = F.struct(*by, "term")
+    bits = TM.word_filter(idf_table.select(word.alias("word")), FILTER_WORDS)
+    at, bit = TM.filter_place(word, FILTER_WORDS)
+    known = F.getbit(F.element_at(bits, at + 1), bit) == 1
     # never null: a nullable join key would be tested on every exploded term
     salts = F.coalesce(F.element_at(F.col("_salts"), _slot(by) + 1), F.lit(1))
     table = salt_table(idf_table, by, rows_per_task)
     small = idf_table.select(*by, "term", "idf", table.alias("_salts")).select(
         *by, "term", "idf", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
-    dealt = tf.filter(F.col("term") != MARK).withColumn("_salts", table).withColumn(
+    dealt = tf.filter((F.col("term") != MARK) & known).withColumn("_salts", table).withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), salts).cast("int"), F.lit(0))).drop("_salts")
     w = dealt.join(small, [*by, "term", "_salt"]).withColumn("weight", F.col("tf") * F.col("idf"))
     more = [c for c in by if c not in DOC_KEYS]
