@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from termweave.functions import text as T
 from termweave.operators import terms as TM
 from termweave.operators import tfidf as TF
-from termweave.session import ensure_checkpoint_dir
+from termweave.session import by_key, ensure_checkpoint_dir, parts
 from termweave.sources.docsets import nonblank
 
 # Thresholds are looked up by a hash of the set; sets that share a slot share the lower one.
@@ -45,25 +45,33 @@ FILTER_WORDS = 1 << 15
 KEYS = ("set_id", "n", "term")
 
 
-def bucket_counts(docs: DataFrame, min_chars: int = 1, ns: Sequence[int] = (1,),
-                  buckets: int | None = None) -> DataFrame:
-    """``(set_id, bucket, n, term, total, df)`` with the marker rows of ``tfidf``: counts
-    inside each of at most ``buckets`` (default: the shuffle partitions) groups of
-    documents of a set.  One exchange, of the tokens."""
-    parts = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+def bucket_rows(docs: DataFrame, min_chars: int, ns: Sequence[int], buckets: int | None = None) -> DataFrame:
+    """``(set_id, bucket, doc_id, n, pos, term)`` with the marker rows of ``tfidf``, dealt into
+    at most ``buckets`` (default: ``session.parts``) groups of documents of a set.  One
+    exchange, of the tokens."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets or parts(docs))).cast("int")
     toks = (nonblank(docs).select("set_id", "doc_id", bucket.alias("bucket"),
                                   T.word_tokens(F.col("text"), min_chars).alias("tokens"))
-            .repartition("set_id", "bucket"))
-    per_n = F.inline(F.array(*[F.struct(F.lit(int(n)).alias("n"), TF.with_mark(T.ngrams(F.col("tokens"), int(n))).alias("g"))
-                               for n in ns]))
-    # explode_outer and null filter: see ``terms``
-    rows = toks.select("set_id", "bucket", "doc_id", per_n).select(
-        "set_id", "bucket", "doc_id", "n", F.explode_outer("g").alias("term")).filter(F.col("term").isNotNull())
-    tf = rows.groupBy("set_id", "bucket", "doc_id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+            .repartition(parts(docs), "set_id", "bucket"))
+    return TM.grams(toks, ns, ("set_id", "bucket", "doc_id"), TF.MARK)
+
+
+def bucket_counts(docs: DataFrame, min_chars: int = 1, ns: Sequence[int] = (1,),
+                  buckets: int | None = None) -> DataFrame:
+    """``(set_id, bucket, n, term, total, df)``: counts inside each bucket."""
+    tf = bucket_rows(docs, min_chars, ns, buckets).groupBy("set_id", "bucket", "doc_id", "n", "term").agg(
+        F.count(F.lit(1)).alias("tf"))
     return tf.groupBy("set_id", "bucket", "n", "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
 
 
+def bucket_totals(docs: DataFrame, min_chars: int = 1, ns: Sequence[int] = (1,),
+                  buckets: int | None = None) -> DataFrame:
+    """``bucket_counts`` without ``df``, so without counts per document: all that thresholds
+    and candidates need."""
+    return bucket_rows(docs, min_chars, ns, buckets).groupBy("set_id", "bucket", "n", "term").agg(
+        F.count(F.lit(1)).alias("total"))
+
+
 def thresholds(counts: DataFrame, k: int) -> DataFrame:
     """``(set_id, n, least)``: every term of the cut has at least ``least`` occurrences in
     some bucket (0 where a set has fewer than ``k`` terms in sight)."""
@@ -102,12 +110,14 @@ def candidates(counts: DataFrame, least: F.Column) -> DataFrame:
     return counts.filter((F.col("term") != TF.MARK) & (own > 1) & (F.col("total") >= own))
 
 
-def passing(counts: DataFrame, k: int) -> DataFrame:
+def passing(counts: DataFrame, k: int, totals: DataFrame | None = None) -> DataFrame:
     """What the last exchange moves: the counts of every term the candidates' filter lets
-    pass, all counts of sets whose threshold is one or less, and the marker rows."""
+    pass, all counts of sets whose threshold is one or less, and the marker rows.
+    ``totals``: the same totals by a shorter plan, for the thresholds and the filter."""
+    totals = counts if totals is None else totals
     word = F.struct(*KEYS)
-    least = stored_thresholds(counts, k)
-    bits = _stored(counts.sparkSession, TM.word_filter(candidates(counts, least).select(word.alias("word")), FILTER_WORDS))
+    least = stored_thresholds(totals, k)
+    bits = _stored(counts.sparkSession, TM.word_filter(candidates(totals, least).select(word.alias("word")), FILTER_WORDS))
     at, bit = TM.filter_place(word, FILTER_WORDS)
     return counts.filter((F.col("term") == TF.MARK) | (F.element_at(least, _slot() + 1) <= 1)
                          | (F.getbit(F.element_at(bits, at + 1), bit) == 1))
@@ -117,6 +127,7 @@ def frequent_terms(docs: DataFrame, k: int, min_chars: int = 1, ns: Sequence[int
                    buckets: int | None = None) -> DataFrame:
     """The rows of ``tfidf.vocabulary`` for each n: ``(set_id, n, term, total, df, n_docs,
     rank)`` of the ``k`` terms with the largest totals, ties by term."""
-    kept = passing(bucket_counts(docs, min_chars, ns, buckets), k)
-    totals = kept.groupBy(*KEYS).agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+    args = (docs, min_chars, ns, buckets)
+    kept = passing(bucket_counts(*args), k, bucket_totals(*args))
+    totals = by_key(kept, *KEYS).groupBy(*KEYS).agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
     return TF.cut(totals, k, ("set_id", "n"))
