@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termweave.session import by_key
 from termweave.sources.docsets import DocSets
 
 
@@ -61,7 +62,7 @@ def term_stats(terms: DataFrame) -> DataFrame:
     keys = [c for c in ("set_id", "doc_id", "role", "n", "term") if c in terms.columns]
     tf = terms.groupBy(*keys).agg(F.count(F.lit(1)).alias("frequency"),
                                   F.min("pos").cast("int").alias("first_pos"))
-    return set_term_stats(tf)
+    return set_term_stats(by_key(tf, "set_id", "n", "term"))
 
 
 def gap_terms(stats: DataFrame, k: int | None = 50) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from termweave.operators import compare as CM
 from termweave.operators import terms as TM
+from termweave.session import by_key, parts
 
 SLOTS = 4_096
 DOCS_PER_BUCKET = 256
@@ -60,7 +61,7 @@ def dealt_tokens(docs: DataFrame, stopwords: Iterable[str] | DataFrame | None,
     places = F.when(F.col("role") == "target", F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array(own))
     # explode_outer: see ``terms``
     return wide.select("set_id", "doc_id", "role", "tokens", F.explode_outer(places).alias("bucket")) \
-        .repartition("set_id", "bucket")
+        .repartition(parts(docs), "set_id", "bucket")
 
 
 def bucket_stats(tokens: DataFrame, ns: Sequence[int] = (1, 2, 3)) -> DataFrame:
@@ -74,7 +75,7 @@ def bucket_stats(tokens: DataFrame, ns: Sequence[int] = (1, 2, 3)) -> DataFrame:
 def gap_stats(tokens: DataFrame, ns: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """The rows of ``compare.term_stats`` that are gaps, from ``dealt_tokens``."""
     left = bucket_stats(tokens, ns).filter(F.col("in_competitors") & ~F.col("in_target"))
-    return left.groupBy("set_id", "n", "term").agg(
+    return by_key(left, "set_id", "n", "term").groupBy("set_id", "n", "term").agg(
         F.sum("frequency").cast("bigint").alias("frequency"), F.lit(False).alias("in_target"),
         F.lit(True).alias("in_competitors"), F.min("first_doc").alias("first_doc"),
         F.min_by("first_pos", "first_doc").alias("first_pos"))

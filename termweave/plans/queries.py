@@ -26,6 +26,7 @@ from termweave.operators import terms as TM
 from termweave.operators import tfidf as TF
 from termweave.plans import flows as FL
 from termweave.plans import oracle as O
+from termweave.session import by_key
 from termweave.sources import docsets as DS
 from termweave.sources import pages as PG
 from termweave.sources import stopwords as SW
@@ -322,8 +323,10 @@ def q_tfidf_gap(spark, sf_dir):
           "from terms where role = 'competitor' group by set_id, n")
 def q_competitor_bag(spark, sf_dir):
     _, t = set_terms(spark, sf_dir)
-    return CM.competitor_bag(t).groupBy("set_id", "n").agg(
-        F.count(F.lit(1)).alias("terms"), F.countDistinct("term").alias("distinct_terms"))
+    each = by_key(CM.competitor_bag(t), "set_id", "n", "term").groupBy("set_id", "n", "term").agg(
+        F.count(F.lit(1)).alias("terms"))
+    return each.groupBy("set_id", "n").agg(
+        F.sum("terms").alias("terms"), F.count(F.lit(1)).alias("distinct_terms"))
 
 
 def _gap_query(n, k=50):
