@@ -13,10 +13,11 @@ columns (X5).
 
 Plan shape: token arrays are partitioned by document, so the per-document
 counts and the L2 norm run without an exchange.  The counts are not stored: the
-vocabulary and the weights each make them from the same exchange of tokens,
-which Spark runs once.  A marker row for every non-blank document goes with the
-terms, so ``N``, the document frequencies and the totals come from one aggregate and
-the texts are read once.  The vocabulary cut is a partial ``WindowGroupLimit``.
+vocabulary and the weights each make them, the weights only for the terms that a
+filter of the vocabulary lets pass.  The vocabulary is small and is stored when the
+plan of the weights is built.  A marker row for every non-blank document goes with the
+terms, so ``N``, the document frequencies and the totals come from one aggregate.  The
+vocabulary cut is a partial ``WindowGroupLimit``.
 
 The hottest ``(set_id, term)`` has a row for every document of its set, so the
 weighting join is salted by document frequency: a term gets one salt for every
