@@ -16,15 +16,21 @@ counts and the L2 norm run without an exchange.  The counts are not stored: the
 vocabulary and the weights each make them, the weights only for the terms that a
 filter of the vocabulary lets pass.  The vocabulary is small and is stored when the
 plan of the weights is built.  A marker row for every non-blank document goes with the
-terms, so ``N``, the document frequencies and the totals come from one aggregate.  The
-vocabulary cut is a partial ``WindowGroupLimit``.
-
-The hottest ``(set_id, term)`` has a row for every document of its set, so the
-weighting join is salted by document frequency: a term gets one salt for every
-``ROWS_PER_TASK`` documents that hold it, other terms none.  Which terms are hot is
-known to both sides from a table of ``SALT_SLOTS`` numbers (the most salts of the
-terms that hash to a slot), a scalar subquery over the vocabulary: its size is
-fixed, and terms that share a slot with a hot one are salted alike on both sides.
+terms, so ``N``, the document frequencies and the totals come from one aggregate; counts
+of single words are combined in each partition before its exchange.  The vocabulary cut
+is a partial ``WindowGroupLimit``.
+
+A stored vocabulary within Spark's broadcast threshold joins the counts where they are.
+Spark would see its size only after it has moved the counts to the join and back.
+
+A larger one is joined by an exchange.  The hottest ``(set_id, term)`` has a row for
+every document of its set, so this join is salted by document frequency: a term gets
+one salt for every ``ROWS_PER_TASK`` documents that hold it, other terms none.  Which
+terms are hot is known to both sides from a table of ``SALT_SLOTS`` numbers (the most
+salts of the terms that hash to a slot), a scalar subquery over the vocabulary: its size
+is fixed, and terms that share a slot with a hot one are salted alike on both sides.  Its
+two exchanges have as many partitions as the input needs: adaptive execution would
+coalesce them by compressed bytes, and the sorts behind them would spill.
 """
 
 from __future__ import annotations
@@ -32,8 +38,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termweave.functions import text as T
 from termweave.operators import terms as TM
-from termweave.session import by_key, ensure_checkpoint_dir
+from termweave.session import broadcast_limit, by_key, ensure_checkpoint_dir, parts
 from termweave.sources.docsets import DocSets, nonblank
 
 DOC_KEYS = TM.DOC_KEYS
@@ -45,6 +52,8 @@ ROWS_PER_TASK = 1_000_000
 SALT_SLOTS = 4_096
 # Numbers of 64 bits in the vocabulary's filter (256 KB).
 FILTER_WORDS = 1 << 15
+# Bytes of a row of the vocabulary beside its strings.
+ROW_BYTES = 64
 
 
 def _counts(toks: DataFrame, ns, keep, by: tuple = (), mark: str | None = MARK) -> DataFrame:
@@ -68,18 +77,32 @@ def raw_term_counts(docs: DataFrame, min_chars: int, ngram_range: tuple[int, int
     return _counts(toks, range(max(lo, 1), hi + 1), keep, mark=MARK if marked else None)
 
 
+def raw_word_counts(sets: DocSets, min_chars: int) -> DataFrame:
+    """The marked counts of single words that a vocabulary is made of: those of
+    ``raw_term_counts``, from documents dealt in the order of set and document.  A partition
+    then holds documents of few sets, which share their words, so far fewer rows are left
+    when the words of its sets are combined before they move."""
+    if sets.texts is None:
+        return raw_term_counts(sets.docs, min_chars)
+    dealt = nonblank(sets.texts).repartitionByRange(parts(sets.texts), *DOC_KEYS)
+    toks = dealt.select(*DOC_KEYS, T.word_tokens(F.col("text"), min_chars).alias("tokens"))
+    return _counts(toks, (1,), ())
+
+
 def doc_counts(docs: DataFrame) -> DataFrame:
     """V2's N: non-blank documents per set (blank ones never count)."""
     return nonblank(docs).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def vocabulary(tf: DataFrame, max_features: int | None, by=("set_id",)) -> DataFrame:
+def vocabulary(tf: DataFrame, max_features: int | None, by=("set_id",), words: bool = False) -> DataFrame:
     """V1 + V2 from marked counts: ``(*by, term, total, df, n_docs, rank)`` for the
     ``max_features`` terms with the largest total count per ``by`` (the set, or set
     and n).  The marker is ranked before all terms, so the cut keeps its row, whose
-    document frequency is ``n_docs`` (V2's N: non-blank documents)."""
-    totals = by_key(tf, *by, "term").groupBy(*by, "term").agg(F.sum("tf").alias("total"),
-                                         F.count(F.lit(1)).alias("df"))
+    document frequency is ``n_docs`` (V2's N: non-blank documents).  ``words``: the terms
+    are single words, which documents share, so they are combined before the exchange
+    whatever the size of the input (long n-grams hardly are)."""
+    rows = tf if words else by_key(tf, *by, "term")
+    totals = rows.groupBy(*by, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     return cut(totals, max_features, by)
 
 
@@ -115,29 +138,47 @@ def _slot(by) -> F.Column:
 
 def weights(tf: DataFrame, idf_table: DataFrame, keep=("role",), by=("set_id",),
             rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """V4 + V5: ``weight = tf * idf`` and the L2-normalised ``tfidf_score``.  The rows
-    of a term are dealt by document over its salts (see the module).  A filter of fixed
-    size drops nearly all terms outside the vocabulary before they are counted again; the
-    join drops the rest."""
-    # made once, for the salts, the filter and the join
+    """V4 + V5: ``weight = tf * idf`` and the L2-normalised ``tfidf_score``.  A filter of
+    fixed size drops nearly all terms outside the vocabulary before they are counted again;
+    the join drops the rest."""
+    # made once, for its size, the salts, the filter and the join
     ensure_checkpoint_dir(idf_table.sparkSession)
     idf_table = idf_table.checkpoint(eager=True)
     word = F.struct(*by, "term")
     bits = TM.word_filter(idf_table.select(word.alias("word")), FILTER_WORDS)
     at, bit = TM.filter_place(word, FILTER_WORDS)
     known = F.getbit(F.element_at(bits, at + 1), bit) == 1
+    counts = tf.filter((F.col("term") != MARK) & known)
+    more = [c for c in by if c not in DOC_KEYS]
+    if table_bytes(idf_table, by) <= broadcast_limit(idf_table.sparkSession):
+        joined = counts.join(F.broadcast(idf_table.select(*by, "term", "idf")), [*by, "term"])
+    else:
+        # the norms need the rows of a document together again
+        joined = _salted_join(counts, idf_table, by, rows_per_task).repartition(parts(tf), *DOC_KEYS)
+    w = joined.withColumn("weight", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*DOC_KEYS, *more)))
+    return w.withColumn("tfidf_score", F.col("weight") / norm).select(
+        *DOC_KEYS, *keep, *more, "term", F.col("tf").alias("frequency"), "weight", "tfidf_score")
+
+
+def table_bytes(table: DataFrame, by=("set_id",)) -> int:
+    """About the bytes of a stored vocabulary in memory, by a job over it."""
+    strings = sum((F.octet_length(F.col(c).cast("string")) for c in by), F.octet_length("term"))
+    return table.agg(F.sum(F.coalesce(strings, F.lit(0)) + ROW_BYTES)).first()[0] or 0
+
+
+def _salted_join(counts: DataFrame, idf_table: DataFrame, by, rows_per_task: int) -> DataFrame:
+    """The counts with the ``idf`` of their term, by an exchange; the rows of a term are
+    dealt by document over its salts (see the module)."""
     # never null: a nullable join key would be tested on every exploded term
     salts = F.coalesce(F.element_at(F.col("_salts"), _slot(by) + 1), F.lit(1))
     table = salt_table(idf_table, by, rows_per_task)
     small = idf_table.select(*by, "term", "idf", table.alias("_salts")).select(
         *by, "term", "idf", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
-    dealt = tf.filter((F.col("term") != MARK) & known).withColumn("_salts", table).withColumn(
+    dealt = counts.withColumn("_salts", table).withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), salts).cast("int"), F.lit(0))).drop("_salts")
-    w = dealt.join(small, [*by, "term", "_salt"]).withColumn("weight", F.col("tf") * F.col("idf"))
-    more = [c for c in by if c not in DOC_KEYS]
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*DOC_KEYS, *more)))
-    return w.withColumn("tfidf_score", F.col("weight") / norm).select(
-        *DOC_KEYS, *keep, *more, "term", F.col("tf").alias("frequency"), "weight", "tfidf_score")
+    keys = [*by, "term", "_salt"]
+    return dealt.repartition(parts(counts), *keys).join(small, keys)
 
 
 def tfidf(sets: DocSets, min_chars: int = 1, ngram_range: tuple[int, int] = (1, 1),
@@ -148,7 +189,9 @@ def tfidf(sets: DocSets, min_chars: int = 1, ngram_range: tuple[int, int] = (1,
     ``min_chars=2`` with any range is ``analyze_ngrams`` (V9).
     """
     tf = raw_term_counts(sets.docs, min_chars, ngram_range, keep)
-    return weights(tf, idf(vocabulary(tf, max_features)), keep)
+    words = max(ngram_range) <= 1
+    counted = raw_word_counts(sets, min_chars) if words else tf
+    return weights(tf, idf(vocabulary(counted, max_features, words=words)), keep)
 
 
 def analyze_multiple_documents(sets: DocSets, max_features: int = 200) -> DataFrame:
@@ -204,13 +247,13 @@ def tfidf_gap(sets: DocSets, max_features: int = 200) -> DataFrame:
     ``(set_id, term, avg_tfidf_score, competitors)``.
     """
     tf = raw_term_counts(sets.docs, 1)
-    scores = weights(tf, idf(vocabulary(tf, max_features)))
+    scores = weights(tf, idf(vocabulary(raw_word_counts(sets, 1), max_features, words=True)))
     is_comp = F.col("role") == "competitor"
     per_term = scores.groupBy("set_id", "term").agg(
         F.avg(F.when(is_comp, F.col("tfidf_score"))).alias("avg_tfidf_score"),
         F.count_if(is_comp).alias("competitors"),
         F.max(~is_comp).alias("_in_target"))
-    # the marker of a non-blank target, from the same exchange of tokens
-    live = tf.filter((F.col("role") == "target") & (F.col("term") == MARK)).select("set_id")
+    # only keys are moved: blank texts are dropped, and the texts with them, in the scan
+    live = nonblank(sets.docs).filter(F.col("role") == "target").select("set_id")
     return (per_term.filter((F.col("competitors") > 0) & ~F.col("_in_target")).drop("_in_target")
             .join(live, "set_id", "left_semi"))

@@ -204,7 +204,7 @@ def q_nonblank_docs(spark, sf_dir):
           "select set_id, term, total, rank from vocab")
 def q_vocabulary(spark, sf_dir):
     s = doc_sets(spark, sf_dir)
-    v = TF.vocabulary(TF.raw_term_counts(s.docs, 1), 200)
+    v = TF.vocabulary(TF.raw_word_counts(s, 1), 200, words=True)
     return v.select("set_id", "term", F.col("total").cast("bigint").alias("total"),
                     F.col("rank").cast("int").alias("rank"))
 
@@ -231,7 +231,7 @@ def q_vocabulary_by_threshold(spark, sf_dir):
           "from vocab join ndocs on vocab.set_id = ndocs.set_id")
 def q_idf(spark, sf_dir):
     s = doc_sets(spark, sf_dir)
-    v = TF.vocabulary(TF.raw_term_counts(s.docs, 1), 200)
+    v = TF.vocabulary(TF.raw_word_counts(s, 1), 200, words=True)
     t = TF.idf(v)
     return t.select("set_id", "term", "df", "n_docs", r6("idf").alias("idf"))
 

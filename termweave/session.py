@@ -84,6 +84,11 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes up to which Spark broadcasts a table by itself; below 0 where it never does."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan over the cluster when it arrives in too few partitions.
 

@@ -31,9 +31,11 @@ from termweave.sources.ordinals import SLICE_BITS, counts_before
 
 @dataclass
 class DocSets:
-    """``docs (set_id, doc_id, role, text)``, one row per document."""
+    """``docs (set_id, doc_id, role, text)``, one row per document.  ``texts``: the same
+    rows without roles, before the exchange that the roles need, where there is one."""
 
     docs: DataFrame
+    texts: DataFrame | None = None
 
 
 def read_documents(spark, sf_dir: str, set_col: str = "source") -> DataFrame:
@@ -62,7 +64,8 @@ def with_roles(docs: DataFrame) -> DocSets:
     dealt = docs.repartition(parts(docs), "set_id", "doc_id")
     out = dealt.join(first, ["set_id", "doc_id"], "left").withColumn(
         "role", F.coalesce("_t", F.lit("competitor"))).drop("_t")
-    return DocSets(out.filter(F.col("set_id").isNotNull()))
+    known = F.col("set_id").isNotNull()
+    return DocSets(out.filter(known), docs.filter(known))
 
 
 def nonblank(docs: DataFrame, text_col: str = "text") -> DataFrame:

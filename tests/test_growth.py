@@ -84,3 +84,59 @@ def test_weights_make_the_vocabulary_once_and_drop_other_terms_before_the_count(
     kept = max(i for i, x in enumerate(lines) if "getbit" in x.lower() or "bit_get" in x.lower())
     assert kept > max(i for i, x in enumerate(lines) if "HashAggregate" in x and "partial_count(1)" in x and "doc_id" in x)
     assert all(len(r) <= 2 for r in w.groupBy("set_id").agg(F.collect_set("term").alias("t")).toPandas()["t"])
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def scores(df):
+    return sorted((tuple(r) for r in df.withColumns({c: F.round(c, 9) for c in df.columns if c in ("weight", "tfidf_score", "avg_tfidf_score")}).collect()), key=str)
+
+
+def test_a_small_vocabulary_moves_no_counts(spark, stored):
+    w = TF.analyze_multiple_documents(DS.with_roles(stored), 5)
+    main = plan(w).split("Subquery")[0] + plan(w).split("Generate inline")[-1]
+    assert "BroadcastHashJoin" in main and "term" not in "".join(x for x in main.splitlines() if "Exchange hashpartitioning" in x)
+    assert main.count("REPARTITION_BY_NUM") <= 2  # the texts and, for the roles, their keys
+
+
+def test_a_large_vocabulary_is_joined_in_as_many_partitions_as_the_input_needs(spark, stored, request):
+    sets, n = DS.with_roles(stored), session.parts(stored)
+    want = [scores(TF.analyze_multiple_documents(sets, 5)), scores(TF.tfidf_gap(sets, 5)), scores(TF.analyze_each_n(sets, (1, 2), 5))]
+    request.getfixturevalue("no_broadcast")
+    w = TF.analyze_multiple_documents(sets, 5)
+    dealt = [x for x in plan(w).splitlines() if f"{n}), REPARTITION_BY_NUM" in x]
+    assert any("_salt" in x for x in dealt) and "BroadcastHashJoin" not in plan(w)
+    above = plan(w)[:plan(w).index("SortMergeJoin")]
+    assert f"{n}), REPARTITION_BY_NUM" in above and "ENSURE_REQUIREMENTS" not in above
+    assert want == [scores(w), scores(TF.tfidf_gap(sets, 5)), scores(TF.analyze_each_n(sets, (1, 2), 5))] and all(want)
+
+
+@pytest.mark.parametrize("rows_per_task", [1, 3])
+def test_salts_of_a_large_vocabulary_change_nothing(spark, stored, request, rows_per_task):
+    tf = TF.raw_term_counts(DS.with_roles(stored).docs, 1)
+    idf = TF.idf(TF.vocabulary(tf, 6, words=True))
+    want = scores(TF.weights(tf, idf))
+    request.getfixturevalue("no_broadcast")
+    assert scores(TF.weights(tf, idf, rows_per_task=rows_per_task)) == want != []
+
+
+def test_words_are_combined_before_they_move(spark, stored):
+    more = spark.createDataFrame([("s0", None, "w1 null"), ("s0", None, "w1 w1"), (None, 3, "w2"), ("s9", 7, "  "), ("s1", 4, "été")], SCHEMA)
+    for docs in (stored, stored.unionByName(more)):
+        sets = DS.with_roles(docs)
+        for k in (3, 200, None):
+            v = TF.vocabulary(TF.raw_word_counts(sets, 1), k, words=True)
+            assert scores(v) == scores(TF.vocabulary(TF.raw_term_counts(sets.docs, 1, keep=()), k)) != []
+        lines = plan(v).splitlines()
+        moved = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(set_id" in x and "term" in x]
+        assert len(moved) == 1 and "partial_sum(tf" in "".join(lines[moved[0]:moved[0] + 3]) and "rangepartitioning" in plan(v)
+
+
+def test_the_gap_reads_no_tokens_for_live_targets(spark, stored):
+    g = TF.tfidf_gap(DS.with_roles(stored), 5)
+    assert g._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
