@@ -1,11 +1,11 @@
 """Set comparison: gaps, common terms, coverage, set metrics, labels
 (C1-C7, D2-D4).
 
-Everything hangs on one set-level aggregate over the per-document term
-counts, grouped on ``(set_id, n, term)``: competitor frequency, whether the
-target has the term, and the first occurrence among competitors.  That is a
-single shuffle with partial aggregation (a hot set or term is pre-combined
-per partition); gaps and coverage are read off it without an anti join.
+Everything hangs on one set-level aggregate, grouped on ``(set_id, n, term)``:
+competitor frequency, whether the target has the term, and the first occurrence
+among competitors.  ``run_stats`` makes it from terms packed by position
+(``terms.runs``), ``term_stats`` from exploded ones; gaps and coverage are read
+off it without an anti join.
 
 Order of first occurrence in the competitor bag is ``(ord, pos)``; ``ord``
 grows with ``doc_id`` inside a set, so ``(doc_id, first_pos)`` is used.
@@ -14,13 +14,17 @@ grows with ``doc_id`` inside a set, so ``(doc_id, first_pos)`` is used.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termweave.operators import terms as TM
 from termweave.session import by_key
 from termweave.sources.docsets import DocSets
 
+# More than a document has positions.
+PLACES = 1 << 31
 
 
 def _is_comp() -> F.Column:
@@ -65,6 +69,19 @@ def term_stats(terms: DataFrame) -> DataFrame:
     return set_term_stats(by_key(tf, "set_id", "n", "term"))
 
 
+def run_stats(packed: DataFrame, ns: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """``term_stats`` from ``terms.runs`` with a ``role``, without counts per document:
+    ``(set_id, n, term, frequency, in_target, in_competitors, first)``.
+
+    ``first`` stands for ``(first_doc, first_pos)``: ``doc_id * PLACES + pos`` as one number, whose
+    minimum over all occurrences keeps a hash aggregate (null where ``first_doc`` is)."""
+    comp = F.col("_comp")
+    place = F.when(comp, F.col("doc_id").cast("decimal(20,0)") * F.lit(PLACES) + F.col("pos")).cast("decimal(31,0)")
+    return TM.group_runs(packed.withColumn("_comp", _is_comp()).drop("role"), ns, [
+        F.count_if(comp).alias("frequency"), F.max(~comp).alias("in_target"), F.max(comp).alias("in_competitors"),
+        F.min("_place").alias("first")], _place=place)
+
+
 def gap_terms(stats: DataFrame, k: int | None = 50) -> DataFrame:
     """Competitor terms the target lacks, by competitor frequency desc,
     ties by first occurrence in the competitor bag; top ``k`` per (set, n).
@@ -72,8 +89,8 @@ def gap_terms(stats: DataFrame, k: int | None = 50) -> DataFrame:
     ``(set_id, n, term, frequency, rank)``; a blank target makes every
     competitor term a gap."""
     gaps = stats.filter(F.col("in_competitors") & ~F.col("in_target"))
-    w = Window.partitionBy("set_id", "n").orderBy(F.desc("frequency"), F.asc("first_doc"),
-                                                  F.asc("first_pos"))
+    first = ["first"] if "first" in stats.columns else ["first_doc", "first_pos"]
+    w = Window.partitionBy("set_id", "n").orderBy(F.desc("frequency"), *first)
     out = gaps.withColumn("rank", F.row_number().over(w))
     if k is not None:
         out = out.filter(F.col("rank") <= k)
@@ -135,7 +152,11 @@ def given_names(ordered: DataFrame, names: DataFrame) -> DataFrame:
 def comparison_report(stats: DataFrame, ns: Sequence[int] = (1, 2, 3), k: int = 100) -> DataFrame:
     """C6 as one table: the summary of every (set, n) with its ``k`` most frequent
     gap terms, in order, as ``gap_terms ARRAY<STRUCT<term, frequency>>`` (empty
-    when there is none).  ``stats`` is read twice but made once (one exchange)."""
+    when there is none).  ``stats`` is read twice; what both parts read of it is the same, so
+    the n-grams move once (``first`` and ``frequency`` would be dropped from one part otherwise)."""
+    if "first" in stats.columns:
+        known = F.col("first").isNull() | (F.col("first") > F.lit(Decimal(-10 ** 30)))  # always true
+        stats = stats.withColumn("in_competitors", F.col("in_competitors") & (F.col("frequency") > 0) & known)
     gaps = gap_terms(stats, k).groupBy("set_id", "n").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "term", "frequency"))),
         lambda g: F.struct(g["term"].alias("term"), g["frequency"].alias("frequency"))).alias("gap_terms"))

@@ -26,7 +26,6 @@ from termweave.operators import terms as TM
 from termweave.operators import tfidf as TF
 from termweave.plans import flows as FL
 from termweave.plans import oracle as O
-from termweave.session import by_key
 from termweave.sources import docsets as DS
 from termweave.sources import pages as PG
 from termweave.sources import stopwords as SW
@@ -68,11 +67,10 @@ def doc_tokens(spark, sf_dir, by_doc=True) -> DataFrame:
 
 
 def set_terms(spark, sf_dir, ns=(1, 2, 3)):
-    """Role-tagged exploded terms over document-partitioned tokens (the
-    per-document counts of the set aggregates then need no exchange)."""
+    """Role-tagged terms, packed by position for the set aggregates."""
     s = doc_sets(spark, sf_dir)
     toks = TM.doc_tokens(s.docs, stop(), keep=("role",), by_doc=False)
-    return s, TM.terms(toks, ns, keep=("role",))
+    return s, TM.runs(toks, ns, keep=("role",))
 
 
 def r6(c) -> F.Column:
@@ -323,8 +321,7 @@ def q_tfidf_gap(spark, sf_dir):
           "from terms where role = 'competitor' group by set_id, n")
 def q_competitor_bag(spark, sf_dir):
     _, t = set_terms(spark, sf_dir)
-    each = by_key(CM.competitor_bag(t), "set_id", "n", "term").groupBy("set_id", "n", "term").agg(
-        F.count(F.lit(1)).alias("terms"))
+    each = TM.group_runs(CM.competitor_bag(t), (1, 2, 3), [F.count(F.lit(1)).alias("terms")])
     return each.groupBy("set_id", "n").agg(
         F.sum("terms").alias("terms"), F.count(F.lit(1)).alias("distinct_terms"))
 
@@ -334,7 +331,7 @@ def _gap_query(n, k=50):
 
     def q(spark, sf_dir):
         _, t = set_terms(spark, sf_dir, (n,))
-        return CM.gap_terms(CM.term_stats(t), k)
+        return CM.gap_terms(CM.run_stats(t, (n,)), k)
     register(f"gap_terms_{n}", sql)(q)
 
 
@@ -346,7 +343,7 @@ for _n in (1, 2, 3):
 def q_gap_terms(spark, sf_dir):
     """All n in one pass over the texts."""
     _, t = set_terms(spark, sf_dir)
-    return CM.gap_terms(CM.term_stats(t), 50)
+    return CM.gap_terms(CM.run_stats(t), 50)
 
 
 @register("gap_terms_pruned", O.with_ctes(O.DOCS_CTE, O.tokens_cte(), O.terms_cte(), O.TF_CTE, O.STATS_CTE) + O.gap_sql(50))
@@ -359,7 +356,7 @@ def q_gap_terms_pruned(spark, sf_dir):
           "select set_id, n, term, frequency from stats where in_target and in_comp")
 def q_common_terms(spark, sf_dir):
     _, t = set_terms(spark, sf_dir)
-    st = CM.term_stats(t)
+    st = CM.run_stats(t)
     return st.filter(F.col("in_target") & F.col("in_competitors")).select("set_id", "n", "term", "frequency")
 
 
@@ -382,7 +379,7 @@ cov as (select g.set_id, g.n, coalesce(common_terms_count, 0) as common_terms_co
           "as coverage_percentage, total_competitor_unique_terms, total_target_terms from cov")
 def q_coverage(spark, sf_dir):
     s, t = set_terms(spark, sf_dir)
-    c = CM.comparison_summary(CM.term_stats(t), s)
+    c = CM.comparison_summary(CM.run_stats(t), s)
     return c.withColumn("coverage_percentage", r6("coverage_percentage"))
 
 
@@ -601,7 +598,7 @@ def q_density_bars(spark, sf_dir):
           "round_even(cast(frequency as double), 4) as label from (" + O.gap_sql(50) + ") where rank <= 20")
 def q_gap_bars(spark, sf_dir):
     _, t = set_terms(spark, sf_dir, (1,))
-    b = RP.gap_bars(CM.gap_terms(CM.term_stats(t), 50))
+    b = RP.gap_bars(CM.gap_terms(CM.run_stats(t, (1,)), 50))
     return b.select("set_id", "n", "term", "frequency", "rank", "bar_order", "label")
 
 
@@ -638,7 +635,7 @@ def q_comparison_matrix(spark, sf_dir):
           "then 'mid' else 'high' end as band, round(c - 80, 6) as delta, c >= 90 as meets_threshold from cv")
 def q_coverage_bands(spark, sf_dir):
     s, t = set_terms(spark, sf_dir)
-    b = CM.coverage_bands(CM.comparison_summary(CM.term_stats(t), s))
+    b = CM.coverage_bands(CM.comparison_summary(CM.run_stats(t), s))
     return b.select("set_id", "n", r6("coverage_percentage").alias("coverage_percentage"), "band",
                     r6("delta").alias("delta"), "meets_threshold")
 
@@ -758,7 +755,7 @@ def q_table_stopword_tokens(spark, sf_dir):
 def q_comparison_report(spark, sf_dir):
     """C6 with its list of the 100 most frequent gap terms."""
     _, t = set_terms(spark, sf_dir)
-    c = CM.comparison_report(CM.term_stats(t))
+    c = CM.comparison_report(CM.run_stats(t))
     pairs = F.transform("gap_terms", lambda g: F.concat(g["term"], F.lit("="), g["frequency"].cast("string")))
     return c.withColumn("coverage_percentage", r6("coverage_percentage")).withColumn(
         "gap_terms", F.array_join(pairs, "|"))
