@@ -69,6 +69,11 @@ def term_stats(terms: DataFrame) -> DataFrame:
     return set_term_stats(by_key(tf, "set_id", "n", "term"))
 
 
+def place(comp: F.Column) -> F.Column:
+    """``(doc_id, pos)`` of a competitor's row as one number in the same order."""
+    return F.when(comp, F.col("doc_id").cast("decimal(20,0)") * F.lit(PLACES) + F.col("pos")).cast("decimal(31,0)")
+
+
 def run_stats(packed: DataFrame, ns: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """``term_stats`` from ``terms.runs`` with a ``role``, without counts per document:
     ``(set_id, n, term, frequency, in_target, in_competitors, first)``.
@@ -76,10 +81,9 @@ def run_stats(packed: DataFrame, ns: Sequence[int] = (1, 2, 3)) -> DataFrame:
     ``first`` stands for ``(first_doc, first_pos)``: ``doc_id * PLACES + pos`` as one number, whose
     minimum over all occurrences keeps a hash aggregate (null where ``first_doc`` is)."""
     comp = F.col("_comp")
-    place = F.when(comp, F.col("doc_id").cast("decimal(20,0)") * F.lit(PLACES) + F.col("pos")).cast("decimal(31,0)")
     return TM.group_runs(packed.withColumn("_comp", _is_comp()).drop("role"), ns, [
         F.count_if(comp).alias("frequency"), F.max(~comp).alias("in_target"), F.max(comp).alias("in_competitors"),
-        F.min("_place").alias("first")], _place=place)
+        F.min("_place").alias("first")], _place=place(comp))
 
 
 def gap_terms(stats: DataFrame, k: int | None = 50) -> DataFrame:

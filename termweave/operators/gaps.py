@@ -6,10 +6,13 @@ target comes to its competitors first:
 
 1. The documents of a set are dealt into buckets by a hash of their id, one bucket for
    each ``docs_per_bucket`` documents, and the target's tokens are copied into each
-   bucket of its set.  One exchange, of token arrays.
-2. Inside a bucket the counts of a term and whether the target has it are known without
-   a further exchange.  Terms the target has go.
-3. What is left, gaps alone, is summed over the buckets: the second exchange.
+   bucket of its set.  One exchange, of tokens.
+2. Inside a bucket the counts of a run (the longest n-gram at a position, ``terms.runs``)
+   and whether the target has it are known without a further exchange.  Runs the target
+   has go, and with them all their n-grams, which the target has too; one bucket keeps them,
+   to say which shorter n-grams of other runs the target has.
+3. What is left is summed over the buckets, n-gram by n-gram: the second exchange, with one
+   row for a run and not one for each n.  Shorter n-grams of the target go behind it.
 
 The number of buckets follows the size of the set, so a set with a third of all documents
 is spread in proportion, and the copies are at most ``1 / docs_per_bucket`` of the documents
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from termweave.operators import compare as CM
 from termweave.operators import terms as TM
-from termweave.session import by_key, parts
+from termweave.session import parts
 
 SLOTS = 4_096
 DOCS_PER_BUCKET = 256
@@ -59,26 +62,29 @@ def dealt_tokens(docs: DataFrame, stopwords: Iterable[str] | DataFrame | None,
         "_n", F.coalesce(F.element_at("_all", _slot() + 1), F.lit(1))).drop("_all")
     own = F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("int")
     places = F.when(F.col("role") == "target", F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array(own))
-    # explode_outer: see ``terms``
-    return wide.select("set_id", "doc_id", "role", "tokens", F.explode_outer(places).alias("bucket")) \
-        .repartition(parts(docs), "set_id", "bucket")
+    # explode_outer: see ``terms``; the tokens travel as one string, half the bytes of an array
+    dealt = wide.select("set_id", "doc_id", "role", F.array_join("tokens", " ").alias("_line"),
+                        F.explode_outer(places).alias("bucket")).repartition(parts(docs), "set_id", "bucket")
+    tokens = F.when(F.col("_line") == "", F.array().cast("array<string>")).otherwise(F.split("_line", " "))
+    return dealt.select("set_id", "doc_id", "role", tokens.alias("tokens"), "bucket")
 
 
 def bucket_stats(tokens: DataFrame, ns: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """``compare.set_term_stats`` inside each bucket; no exchange after ``dealt_tokens``."""
-    tf = TM.terms(tokens, ns, keep=("role", "bucket")).groupBy(
-        "set_id", "bucket", "doc_id", "role", "n", "term").agg(
-        F.count(F.lit(1)).alias("frequency"), F.min("pos").cast("int").alias("first_pos"))
-    return CM.set_term_stats(tf, ("set_id", "bucket", "n", "term"))
+    """``compare.run_stats`` of whole runs inside each bucket: ``(set_id, bucket, run, frequency,
+    in_target, in_competitors, first)``; no exchange after ``dealt_tokens``."""
+    found = TM.runs(tokens, ns, keep=("role", "bucket")).withColumn("_place", CM.place(CM._is_comp()))
+    return found.groupBy("set_id", "bucket", "run").agg(
+        F.count_if(CM._is_comp()).alias("frequency"), F.max(CM._is_target()).alias("in_target"),
+        F.max(CM._is_comp()).alias("in_competitors"), F.min("_place").alias("first"))
 
 
 def gap_stats(tokens: DataFrame, ns: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """The rows of ``compare.term_stats`` that are gaps, from ``dealt_tokens``."""
-    left = bucket_stats(tokens, ns).filter(F.col("in_competitors") & ~F.col("in_target"))
-    return by_key(left, "set_id", "n", "term").groupBy("set_id", "n", "term").agg(
-        F.sum("frequency").cast("bigint").alias("frequency"), F.lit(False).alias("in_target"),
-        F.lit(True).alias("in_competitors"), F.min("first_doc").alias("first_doc"),
-        F.min_by("first_pos", "first_doc").alias("first_pos"))
+    """The rows of ``compare.run_stats`` that are gaps, from ``dealt_tokens``."""
+    left = bucket_stats(tokens, ns).filter(~F.col("in_target") | (F.col("bucket") == 0))
+    return TM.group_runs(left.drop("bucket", "in_competitors"), ns, [
+        F.sum("frequency").alias("frequency"), F.max("in_target").alias("in_target"),
+        F.max(F.col("frequency") > 0).alias("in_competitors"), F.min("first").alias("first")]).filter(
+        F.col("in_competitors") & ~F.col("in_target"))
 
 
 def pruned_gap_terms(docs: DataFrame, stopwords: Iterable[str] | DataFrame | None,

@@ -55,7 +55,7 @@ def test_the_report_moves_its_runs_once(spark, sets):
     assert final.count("posexplode") == 1 and "ReusedExchange" in final
 
 
-@pytest.mark.parametrize("name", ["comparison_report", "coverage_bands", "gap_terms", "coverage", "common_terms", "competitor_bag"])
+@pytest.mark.parametrize("name", ["comparison_report", "coverage_bands", "gap_terms", "coverage", "common_terms", "competitor_bag", "gap_terms_pruned"])
 def test_no_single_n_gram_is_dealt(spark, sf_dir, name):
     plan = Q.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "n#" not in "".join(x.split("]")[0] for x in plan.splitlines() if "Exchange hashpartitioning" in x and "term#" in x)
