@@ -1,7 +1,7 @@
 """V1 by thresholds: the most frequent terms of every set without moving its rare ones.
 
 ``tfidf.vocabulary`` shuffles every distinct term of a set to keep a few hundred.  Here
-the tokens of a set are dealt into buckets of whole documents, one exchange, and
+the texts of a set are dealt into buckets of whole documents, one exchange, and
 everything up to the last step works on the counts inside a bucket:
 
 1. Each bucket names its ``k`` most frequent terms.  Their counts, summed over the
@@ -15,12 +15,12 @@ everything up to the last step works on the counts inside a bucket:
 
 Where the bound says nothing (fewer than ``k`` terms, or a bound so low that one
 occurrence reaches it) every count of the set passes beside the filter, and the step is
-the plain aggregate.  What is moved beside the tokens: ``k`` rows of each bucket, and the
-counts of the terms that pass.  The tokens are counted three times, so this pays where the
-network, not the processor, is the limit.
+the plain aggregate.  What is moved beside the texts: ``k`` rows of each bucket, and the
+counts of the terms that pass.  The tokens are counted twice, the second time behind the
+filter; the totals over one of the first time are stored, for thresholds and candidates.
 
-Thresholds and filter are made by two jobs while the plan is built, and stored in the
-shared checkpoint folder.  Blank documents and documents without tokens add
+Totals, thresholds and filter are made by three jobs while the plan is built, and stored in
+the shared checkpoint folder.  Blank documents and documents without tokens add
 to ``n_docs`` as in ``tfidf.vocabulary``; a repeated (set, document) row counts as one
 document; null sets, which role assignment removes, would form a set of their own.
 """
@@ -42,17 +42,35 @@ from termweave.sources.docsets import nonblank
 SLOTS = 4_096
 # Numbers of 64 bits in the candidates' filter (256 KB).
 FILTER_WORDS = 1 << 15
+# Bytes of a set's texts for one bucket.
+BUCKET_BYTES = 4 << 20
 KEYS = ("set_id", "n", "term")
 
 
+def bucket_numbers(docs: DataFrame) -> F.Column:
+    """Buckets of the sets of each slot, as an array of ``SLOTS`` numbers: one for each
+    ``BUCKET_BYTES`` of a set's texts.  The fewer documents of a set are apart, the nearer a
+    bucket's counts are to the totals, and the fewer candidates there are."""
+    size = docs.groupBy("set_id").agg(F.sum(F.octet_length("text")).alias("size")).filter(F.col("size") > BUCKET_BYTES)
+    most = size.groupBy(_slot("set_id").alias("at")).agg(F.max(F.ceil(F.col("size") / BUCKET_BYTES)).cast("int").alias("n"))
+    found = most.agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"))
+    return found.select(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)),
+                                    lambda s: F.coalesce(F.try_element_at("m", s), F.lit(1)))).scalar()
+
+
 def bucket_rows(docs: DataFrame, min_chars: int, ns: Sequence[int], buckets: int | None = None) -> DataFrame:
     """``(set_id, bucket, doc_id, n, pos, term)`` with the marker rows of ``tfidf``, dealt into
-    at most ``buckets`` (default: ``session.parts``) groups of documents of a set.  One
-    exchange, of the tokens."""
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets or parts(docs))).cast("int")
-    toks = (nonblank(docs).select("set_id", "doc_id", bucket.alias("bucket"),
-                                  T.word_tokens(F.col("text"), min_chars).alias("tokens"))
-            .repartition(parts(docs), "set_id", "bucket"))
+    at most ``buckets`` (default: ``bucket_numbers``) groups of documents of a set.  One
+    exchange, of the texts, which are smaller than their tokens."""
+    texts = nonblank(docs).select("set_id", "doc_id", "text")
+    if buckets:
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    else:
+        texts = texts.withColumn("_all", bucket_numbers(docs))
+        bucket = F.pmod(F.xxhash64("doc_id"), F.coalesce(F.element_at("_all", _slot("set_id") + 1), F.lit(1))).cast("int")
+    # a bucket may be as large as a partition: twice as many leave fewer of them together
+    dealt = texts.select("set_id", bucket.alias("bucket"), "doc_id", "text").repartition(2 * parts(docs), "set_id", "bucket")
+    toks = dealt.select("set_id", "bucket", "doc_id", T.word_tokens(F.col("text"), min_chars).alias("tokens"))
     return TM.grams(toks, ns, ("set_id", "bucket", "doc_id"), TF.MARK)
 
 
@@ -72,22 +90,30 @@ def bucket_totals(docs: DataFrame, min_chars: int = 1, ns: Sequence[int] = (1,),
         F.count(F.lit(1)).alias("total"))
 
 
+def stored_totals(totals: DataFrame) -> DataFrame:
+    """The totals that thresholds and candidates read, made once: those over one (a
+    threshold of one or less lets everything pass) and the marker rows."""
+    ensure_checkpoint_dir(totals.sparkSession)
+    return totals.filter((F.col("total") > 1) | (F.col("term") == TF.MARK)).checkpoint(eager=True)
+
+
 def thresholds(counts: DataFrame, k: int) -> DataFrame:
     """``(set_id, n, least)``: every term of the cut has at least ``least`` occurrences in
-    some bucket (0 where a set has fewer than ``k`` terms in sight)."""
-    inside = Window.partitionBy("set_id", "bucket", "n").orderBy(F.desc("total"), "term")
-    top = (counts.filter(F.col("term") != TF.MARK).withColumn("rank", F.row_number().over(inside))
-           .filter(F.col("rank") <= k))
-    low = top.groupBy(*KEYS).agg(F.sum("total").alias("low"), F.count_if(F.col("rank") == 1).alias("firsts"))
+    some bucket (0 where a set has fewer than ``k`` terms in sight).  A marker row says that a
+    bucket has documents of the set, whether or not a term of it is in sight."""
+    mark = F.col("term") == TF.MARK
+    inside = Window.partitionBy("set_id", "bucket", "n").orderBy(F.desc(mark), F.desc("total"), "term")
+    top = counts.withColumn("rank", F.row_number().over(inside)).filter(F.col("rank") <= k + 1)
+    low = top.groupBy(*KEYS).agg(F.sum("total").alias("low"), F.count(F.lit(1)).alias("buckets"))
     whole = Window.partitionBy("set_id", "n")
-    placed = (low.withColumn("place", F.row_number().over(whole.orderBy(F.desc("low"), "term")))
-              .withColumn("terms", F.count(F.lit(1)).over(whole)).withColumn("parts", F.sum("firsts").over(whole)))
-    return placed.filter(F.col("place") == F.least(F.lit(k), "terms")).select(
+    placed = (low.withColumn("place", F.row_number().over(whole.orderBy(F.desc(mark), F.desc("low"), "term")) - 1)
+              .withColumn("terms", F.count_if(~mark).over(whole)).withColumn("parts", F.max(F.when(mark, F.col("buckets"))).over(whole)))
+    return placed.filter(~mark & (F.col("place") == F.least(F.lit(k), "terms"))).select(
         "set_id", "n", F.when(F.col("terms") >= k, F.col("low") / F.col("parts")).otherwise(F.lit(0.0)).alias("least"))
 
 
-def _slot() -> F.Column:
-    return F.pmod(F.xxhash64("set_id", "n"), F.lit(SLOTS)).cast("int")
+def _slot(*cols: str) -> F.Column:
+    return F.pmod(F.xxhash64(*(cols or ("set_id", "n"))), F.lit(SLOTS)).cast("int")
 
 
 def _stored(spark, value: F.Column) -> F.Column:
@@ -113,7 +139,7 @@ def candidates(counts: DataFrame, least: F.Column) -> DataFrame:
 def passing(counts: DataFrame, k: int, totals: DataFrame | None = None) -> DataFrame:
     """What the last exchange moves: the counts of every term the candidates' filter lets
     pass, all counts of sets whose threshold is one or less, and the marker rows.
-    ``totals``: the same totals by a shorter plan, for the thresholds and the filter."""
+    ``totals``: ``stored_totals`` of the same counts, for the thresholds and the filter."""
     totals = counts if totals is None else totals
     word = F.struct(*KEYS)
     least = stored_thresholds(totals, k)
@@ -128,6 +154,6 @@ def frequent_terms(docs: DataFrame, k: int, min_chars: int = 1, ns: Sequence[int
     """The rows of ``tfidf.vocabulary`` for each n: ``(set_id, n, term, total, df, n_docs,
     rank)`` of the ``k`` terms with the largest totals, ties by term."""
     args = (docs, min_chars, ns, buckets)
-    kept = passing(bucket_counts(*args), k, bucket_totals(*args))
+    kept = passing(bucket_counts(*args), k, stored_totals(bucket_totals(*args)))
     totals = by_key(kept, *KEYS).groupBy(*KEYS).agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
     return TF.cut(totals, k, ("set_id", "n"))

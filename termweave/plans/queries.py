@@ -219,7 +219,7 @@ _EACH_N = " union all ".join(
     "rk as (select *, cast(row_number() over (partition by set_id, n order by total desc, term) as integer) as rank from tot)") +
           "select set_id, n, term, total, df, n_docs, rank from rk join nd using (set_id) where rank <= 200")
 def q_vocabulary_by_threshold(spark, sf_dir):
-    v = FQ.frequent_terms(docs(spark, sf_dir), 200, 2, (1, 2, 3))
+    v = FQ.frequent_terms(doc_sets(spark, sf_dir).texts, 200, 2, (1, 2, 3))
     return v.select("set_id", "n", "term", F.col("total").cast("bigint").alias("total"), "df", "n_docs",
                     F.col("rank").cast("int").alias("rank"))
 

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from termweave.operators import compare as CM
+from termweave.operators import frequent as FQ
 from termweave.operators import terms as TM
+from termweave.operators import tfidf as TF
 from termweave.plans import queries as Q
 from termweave.sources import docsets as DS
 
@@ -59,3 +61,29 @@ def test_the_report_moves_its_runs_once(spark, sets):
 def test_no_single_n_gram_is_dealt(spark, sf_dir, name):
     plan = Q.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "n#" not in "".join(x.split("]")[0] for x in plan.splitlines() if "Exchange hashpartitioning" in x and "term#" in x)
+
+
+@pytest.fixture
+def hot(spark):
+    rows = [("hot", k, f"alpha beta gamma alpha beta r{k}") for k in range(90)] + [("small", k, f"alpha s{k}") for k in range(4)]
+    rows += [("hot", 3, "beta again"), ("hot", None, "alpha null"), ("small", 90, " "), ("small", 91, "! ?"), ("rare", 1, "x1 y1"), ("rare", 2, "x2")]
+    return DS.with_roles(spark.createDataFrame(rows, SCHEMA))
+
+
+def test_buckets_follow_the_size_of_their_set(spark, hot, monkeypatch):
+    monkeypatch.setattr(FQ, "BUCKET_BYTES", 500)
+    counts = FQ.bucket_totals(hot.docs, 2, (1, 2))
+    found = {r[0]: r[1] for r in counts.groupBy("set_id").agg(F.countDistinct("bucket")).collect()}
+    assert found["small"] == found["rare"] == 1 and 5 <= found["hot"] <= 9
+    want = TF.vocabulary(TF.raw_ngram_counts(hot.docs, 2, (1, 2), ()), 3, ("set_id", "n"))
+    got = FQ.frequent_terms(hot.texts, 3, 2, (1, 2))
+    assert rows(got) == rows(want.select(got.columns)) != []
+
+
+def test_a_bucket_without_stored_terms_still_lowers_the_threshold(spark):
+    counts = spark.createDataFrame([("a", 0, 1, TF.MARK, 2), ("a", 1, 1, TF.MARK, 9), ("a", 0, 1, "x", 6), ("a", 1, 1, "y", 1)],
+                                   "set_id string, bucket int, n int, term string, total bigint")
+    stored = FQ.stored_totals(counts)
+    assert sorted(r.term for r in stored.collect()) == [TF.MARK, TF.MARK, "x"]
+    assert [tuple(r) for r in FQ.thresholds(stored, 1).collect()] == [("a", 1, 3.0)]
+    assert FQ.thresholds(stored, 2).collect()[0].least == 0.0
