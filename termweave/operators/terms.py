@@ -97,10 +97,11 @@ def drop_table_words(tokens: DataFrame, words: DataFrame, cols: Sequence[str]) -
 
 
 def raw_word_tokens(docs: DataFrame, min_chars: int, text_col: str = "text",
-                    keep: Sequence[str] = ()) -> DataFrame:
-    """T14/T15 per document (TF-IDF token stream, no cleaning / stopwords)."""
+                    keep: Sequence[str] = (), by_doc: bool = True) -> DataFrame:
+    """T14/T15 per document (TF-IDF token stream, no cleaning / stopwords); ``by_doc`` as in
+    ``doc_tokens``."""
     out = docs.select(*DOC_KEYS, *keep, T.word_tokens(F.col(text_col), min_chars).alias("tokens"))
-    return by_document(out)
+    return by_document(out) if by_doc else out
 
 
 def terms(tokens: DataFrame, ns: Sequence[int] = (1, 2, 3), keep: Sequence[str] = ()) -> DataFrame:

@@ -61,10 +61,10 @@ def _counts(toks: DataFrame, ns, keep, by: tuple = (), mark: str | None = MARK)
     return rows.groupBy(*DOC_KEYS, *keep, *by, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def raw_ngram_counts(docs: DataFrame, min_chars: int, ns=(1, 2, 3), keep=("role",)) -> DataFrame:
+def raw_ngram_counts(docs: DataFrame, min_chars: int, ns=(1, 2, 3), keep=("role",), by_doc: bool = True) -> DataFrame:
     """Counts per (document, n, term) for several n in one pass over the texts:
     ``(set_id, doc_id, *keep, n, term, tf)``, with a marker row for each n."""
-    return _counts(TM.raw_word_tokens(nonblank(docs), min_chars, keep=keep), ns, keep, ("n",))
+    return _counts(TM.raw_word_tokens(nonblank(docs), min_chars, keep=keep, by_doc=by_doc), ns, keep, ("n",))
 
 
 def raw_term_counts(docs: DataFrame, min_chars: int, ngram_range: tuple[int, int] = (1, 1),
@@ -205,10 +205,18 @@ def analyze_ngrams(sets: DocSets, ngram_range: tuple[int, int], max_features: in
 
 
 def analyze_each_n(sets: DocSets, ns=(1, 2, 3), max_features: int = 200, keep=("role",)) -> DataFrame:
-    """V9 for each n by itself (own vocabulary and norm), in one pass:
-    ``(set_id, doc_id, *keep, n, term, frequency, weight, tfidf_score)``."""
-    tf, by = raw_ngram_counts(sets.docs, 2, ns, keep), ("set_id", "n")
-    return weights(tf, idf(vocabulary(tf, max_features, by)), keep, by)
+    """V9 for each n by itself (own vocabulary and norm), all n together:
+    ``(set_id, doc_id, *keep, n, term, frequency, weight, tfidf_score)``.  The vocabulary is
+    made by thresholds (``frequent``), without moving the rare n-grams."""
+    from termweave.operators import frequent as FQ
+
+    by = ("set_id", "n")
+    # with ``texts`` the documents come dealt by document from their roles
+    tf = raw_ngram_counts(sets.docs, 2, ns, keep, by_doc=sets.texts is None)
+    if not max_features:
+        return weights(tf, idf(vocabulary(tf, max_features, by)), keep, by)
+    vocab = FQ.frequent_terms(sets.docs if sets.texts is None else sets.texts, max_features, 2, ns)
+    return weights(tf, idf(vocab), keep, by)
 
 
 def ranked(scores: DataFrame, k: int | None, score_col: str | None = None,

@@ -87,3 +87,14 @@ def test_a_bucket_without_stored_terms_still_lowers_the_threshold(spark):
     assert sorted(r.term for r in stored.collect()) == [TF.MARK, TF.MARK, "x"]
     assert [tuple(r) for r in FQ.thresholds(stored, 1).collect()] == [("a", 1, 3.0)]
     assert FQ.thresholds(stored, 2).collect()[0].least == 0.0
+
+
+def test_each_n_moves_no_rare_n_grams(spark, hot, monkeypatch):
+    tf, by = TF.raw_ngram_counts(hot.docs, 2, (1, 2)), ("set_id", "n")
+    want = TF.weights(tf, TF.idf(TF.vocabulary(tf, 4, by)), by=by)
+    near = {c: F.round(c, 9) for c in ("weight", "tfidf_score")}
+    want = rows(want.withColumns(near))
+    assert rows(TF.analyze_each_n(DS.DocSets(hot.docs), (1, 2), 4).withColumns(near)) == want != []
+    assert len(rows(TF.analyze_each_n(hot, (1, 2), None))) > len(want)
+    monkeypatch.setattr(TF, "vocabulary", None)  # it deals every n-gram by its term
+    assert rows(TF.analyze_each_n(hot, (1, 2), 4).withColumns(near)) == want
